@@ -1,80 +1,95 @@
-"""The two greedy scans over shards of connected pieces.
+"""The two greedy road-building scans, as seen by one task.
 
-A frame holds whole shards, sorted by shard and, inside one, in scan order; it
-carries ids and end points only.
+Frames hold whole groups, sorted by group and, inside one, in scan order. They
+carry ids and end points only, never geometry.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import count
 
 import numpy as np
 import pandas as pd
 
+HEAD, TAIL = 0, 1
+END_ARM, START_ARM = 0, 1
+_FIRST = (-math.inf, 0)
+_NEVER = (math.inf, 0)
 
-class _Road:
-    """A growing road: pieces in order with their direction. Turning the road round
-    only flips a flag."""
+# A claim: a piece, the end it is joined by, the seed, arm and count of the arm, the
+# time of joining and the arm's last joining by a head before; ``support`` names the
+# claim of another tile by which the arm entered this one, if it did.
+CLAIM_COLUMNS = ("seq", "via", "s_n", "s_seq", "arm", "k", "cm_n", "cm_seq", "h_n", "h_seq", "support")
 
-    def __init__(self, first: int):
-        self.pieces = deque([(first, False)])
-        self.joined = [first]
-        self.turned = False
 
-    def _put(self, piece: int, reverse: bool, at_end: bool) -> None:
-        if at_end != self.turned:
-            self.pieces.append((piece, reverse != self.turned))
-        else:
-            self.pieces.appendleft((piece, reverse != self.turned))
-        self.joined.append(piece)
-
-    def append(self, piece: int, reverse: bool = False) -> None:
-        self._put(piece, reverse, at_end=True)
-
-    def prepend(self, piece: int) -> None:
-        self._put(piece, False, at_end=False)
-
-    def first(self) -> tuple[int, bool]:
-        piece, reverse = self.pieces[-1 if self.turned else 0]
-        return piece, reverse != self.turned
-
-    def in_order(self) -> list[tuple[int, bool]]:
-        if self.turned:
-            return [(p, not r) for p, r in reversed(self.pieces)]
-        return list(self.pieces)
-
-
-class _FreeEnds:
-    """Ends of unused pieces by grid cell, in scan order."""
-
-    def __init__(self, ends: np.ndarray, shards: np.ndarray, tol: float):
-        self.tol = tol
-        self.cell = tol * 1.25
-        self.ends = ends.tolist()
-        self.shards = shards.tolist()
-        self.used = bytearray(len(self.ends))
-        self.by_cell: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for piece, (a_lat, a_lon, b_lat, b_lon) in enumerate(self.ends):
-            shard = self.shards[piece]
-            here, there = self._cell(a_lat, a_lon), self._cell(b_lat, b_lon)
-            self.by_cell[shard, *here].append(piece)
+def whole_groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Regroup sorted batches so that no frame cuts a group."""
+    open_group: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        ids = batch[key].to_numpy()
+        last_start = int(np.searchsorted(ids, ids[-1], side="left"))
+        if last_start > 0 or (open_group and open_group[-1][key].iloc[-1] != ids[0]):
+            yield pd.concat([*open_group, batch.iloc[:last_start]], ignore_index=True)
+            open_group = []
+        open_group.append(batch.iloc[last_start:])
+    if open_group:
+        yield pd.concat(open_group, ignore_index=True)
+
+
+class _Tile:
+    """Road building inside one tile of the map, given the claims of other tiles.
+
+    A road grows from a seed by two *arms*, one at either end. All happens in a total
+    order of events ``(seed, cm, ...)``: seeds by rank; inside a road, an arm's next
+    piece waits until every better ranked piece in reach of the other arm is taken,
+    so the time of joining is ``cm``, the worst rank the arm has taken so far. When
+    both arms want the same piece at the same time, the end of the road goes first;
+    the end is the arm that last joined a piece by its head (``h``).
+
+    Claims of other tiles are events like our own. The tile plays only the arms
+    whose tip lies in its core; where an arm leaves, the next tile takes over.
+    """
+
+    def __init__(self, pieces: pd.DataFrame, tol: float):
+        self.tol, self.cell = tol, tol * 1.25
+        self.seq = pieces["seq"].tolist()
+        self.rank = list(zip((-pieces["n_nodes"]).tolist(), self.seq))
+        self.street = pieces["street"].tolist()
+        heads = zip(pieces["start_lat"].tolist(), pieces["start_lon"].tolist())
+        tails = zip(pieces["end_lat"].tolist(), pieces["end_lon"].tolist())
+        self.ends = list(zip(heads, tails))
+        self.in_core = list(zip(pieces["start_in"].tolist(), pieces["end_in"].tolist()))
+        self.used = bytearray(len(self.seq))
+        self.waiting: dict[tuple, list[int]] = defaultdict(list)
+        for piece, (head, tail) in enumerate(self.ends):
+            here, there = self._cell(*head), self._cell(*tail)
+            self.waiting[self.street[piece], *here].append(piece)
             if there != here:
-                self.by_cell[shard, *there].append(piece)
+                self.waiting[self.street[piece], *there].append(piece)
+        self.events: list[tuple] = []
+        self.serial = count()
+        self.claims: list[tuple] = []
 
     def _cell(self, lat: float, lon: float) -> tuple[int, int]:
-        return int(lat // self.cell), int(lon // self.cell)
+        return math.floor(lat / self.cell), math.floor(lon / self.cell)
 
-    def meets(self, lat: float, lon: float, piece: int, at: int) -> bool:
-        end = self.ends[piece]
-        return abs(lat - end[at]) < self.tol and abs(lon - end[at + 1]) < self.tol
+    def _meets(self, tip: tuple[float, float], piece: int, end: int) -> bool:
+        lat, lon = self.ends[piece][end]
+        return abs(tip[0] - lat) < self.tol and abs(tip[1] - lon) < self.tol
 
-    def first_near(self, shard: int, lat: float, lon: float) -> int | None:
-        """First unused piece of a shard with an end in the box around a point."""
-        ci, cj = self._cell(lat, lon)
+    def _first_near(self, street: str, tip: tuple[float, float]) -> int | None:
+        """First unused piece, in rank order, with an end in the box around the tip."""
+        ci, cj = self._cell(*tip)
         best = None
         for i in (ci - 1, ci, ci + 1):
             for j in (cj - 1, cj, cj + 1):
-                waiting = self.by_cell.get((shard, i, j))
+                waiting = self.waiting.get((street, i, j))
                 if not waiting:
                     continue
                 passed = 0
@@ -83,67 +98,93 @@ class _FreeEnds:
                         break
                     if self.used[piece]:
                         passed += 1
-                    elif self.meets(lat, lon, piece, 0) or self.meets(lat, lon, piece, 2):
+                    elif self._meets(tip, piece, HEAD) or self._meets(tip, piece, TAIL):
                         best = piece
                         break
                 if passed > 8:
                     waiting[:] = [p for p in waiting if not self.used[p]]
         return best
 
-
-def chain_by_endpoint(group: pd.DataFrame, tol: float) -> pd.DataFrame:
-    """Greedy road building by end-point boxes (``seq, start_*, end_*`` in scan order)."""
-    ends = group[["start_lat", "start_lon", "end_lat", "end_lon"]].to_numpy(dtype=float)
-    shards = group["shard"].to_numpy()
-    free = _FreeEnds(ends, shards, tol)
-    n = len(ends)
-    lone = np.ones(n, bool)
-    lone[1:] &= shards[1:] != shards[:-1]
-    lone[:-1] &= shards[:-1] != shards[1:]
-    drop_head, drop_tail = np.zeros(n, bool), np.zeros(n, bool)
-    roads = []
-    for seed in range(n):
-        if free.used[seed]:
-            continue
-        free.used[seed] = 1
-        road = _Road(seed)
-        start, end = tuple(free.ends[seed][:2]), tuple(free.ends[seed][2:])
-        near_start = near_end = seed  # used: forces a first lookup
-        shard = free.shards[seed]
-        while not lone[seed]:
-            # Pieces only get used up, so a still unused answer stays the first.
-            if near_start is not None and free.used[near_start]:
-                near_start = free.first_near(shard, *start)
-            if near_end is not None and free.used[near_end]:
-                near_end = free.first_near(shard, *end)
-            found = [p for p in (near_start, near_end) if p is not None]
-            if not found:
-                break
-            piece = min(found)
-            head, tail = tuple(free.ends[piece][:2]), tuple(free.ends[piece][2:])
-            # When several ends meet, this order decides.
-            if free.meets(*end, piece, 0):
-                road.append(piece)
-                drop_head[piece] = True
-                end, near_end = tail, piece
-            elif free.meets(*end, piece, 2):
-                road.append(piece, reverse=True)
-                drop_tail[piece] = True
-                end, near_end = head, piece
-            elif free.meets(*start, piece, 0):
-                road.turned = not road.turned
-                road.append(piece)
-                drop_head[piece] = True
-                start, end = end, tail
-                near_start, near_end = near_end, piece
-            else:
-                outer, reverse = road.first()
-                (drop_tail if reverse else drop_head)[outer] = True
-                road.prepend(piece)
-                start, near_start = head, piece
-            free.used[piece] = 1
-        roads.append(road)
-    return _members(group["seq"].to_numpy(), roads, drop_head, drop_tail)
+    def _grow(self, street: str, tip, s, arm: int, k: int, cm, h, support) -> None:
+        """Queue the next joining of an arm, if anything is in reach."""
+        piece = self._first_near(street, tip)
+        if piece is not None:
+            self._queue(s, max(cm, self.rank[piece]), arm, k + 1, h, piece, (street, tip, k, cm, h, support))
+
+    def _queue(self, s, cm, arm: int, k: int, h, piece: int, event: tuple) -> None:
+        """The piece of rank ``cm`` is what both arms may reach for at once, so it comes
+        first, for the arm whose turn it is; what follows at the same time is all the
+        winner's, in its own count."""
+        if self.rank[piece] == cm:
+            order = (0, _NEVER if h is None else (-h[0], -h[1]), arm)
+        else:
+            order = (1, k)
+        heappush(self.events, (s, cm, order, next(self.serial), arm, k, piece, event))
+
+    def _leave(self, piece: int, via: int, s, arm: int, k: int, cm, h, support) -> None:
+        """Go on from the far end of a joined piece, if that end is ours."""
+        far = TAIL if via == HEAD else HEAD
+        if self.in_core[piece][far]:
+            self._grow(self.street[piece], self.ends[piece][far], s, arm, k, cm, cm if via == HEAD else h, support)
+
+    def play(self, foreign: list[tuple]) -> list[tuple]:
+        """All claims made in this tile. ``foreign`` holds CLAIM_COLUMNS tuples with
+        the name of the claim itself as ``support``."""
+        index = {seq: piece for piece, seq in enumerate(self.seq)}
+        for seq, via, s_n, s_seq, arm, k, cm_n, cm_seq, h_n, h_seq, name in foreign:
+            h = None if h_seq is None else (h_n, h_seq)
+            event = (via, (s_n, s_seq), arm, k, (cm_n, cm_seq), h, name)
+            self._queue((s_n, s_seq), (cm_n, cm_seq), arm, k, h, index[seq], event)
+        # Seeds come in rank order, so they need no place in the queue.
+        for seed, rank in enumerate(self.rank):
+            self._play_until((rank, _FIRST))
+            if not self.used[seed]:
+                self.used[seed] = 1
+                if self.in_core[seed][TAIL]:
+                    self._grow(self.street[seed], self.ends[seed][TAIL], rank, END_ARM, 0, rank, None, None)
+                if self.in_core[seed][HEAD]:
+                    self._grow(self.street[seed], self.ends[seed][HEAD], rank, START_ARM, 0, rank, None, None)
+        self._play_until((_NEVER,))
+        return self.claims
+
+    def _play_until(self, limit: tuple) -> None:
+        while self.events and self.events[0][:2] < limit:
+            s, cm, _, _, arm, k, piece, event = heappop(self.events)
+            if len(event) == 7:  # a claim of another tile
+                if not self.used[piece]:
+                    self.used[piece] = 1
+                    self._leave(piece, *event)
+                continue
+            street, tip, k_before, cm_before, h, support = event
+            if self.used[piece]:
+                self._grow(street, tip, s, arm, k_before, cm_before, h, support)
+                continue
+            self.used[piece] = 1
+            via = HEAD if self._meets(tip, piece, HEAD) else TAIL
+            self.claims.append((self.seq[piece], via, *s, arm, k, *cm, *(h or (None, None)), support))
+            self._leave(piece, via, s, arm, k, cm, h, support)
+
+
+def play_tiles(frame: pd.DataFrame, tol: float) -> pd.DataFrame:
+    """Claims of every tile in a frame of whole tiles. A tile's rows are its pieces in
+    rank order, then the claims other tiles make on them."""
+    ids = frame["tile"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    out: list[tuple] = []
+    for start, stop in zip(starts, np.r_[starts[1:], len(ids)]):
+        if stop - start == 1:
+            continue  # one piece alone has nothing to join
+        rows = frame.iloc[start:stop]
+        is_claim = rows["is_claim"].to_numpy(bool)
+        theirs = rows[is_claim]
+        foreign = [
+            (*claim[:8], *(claim[8:10] if has_h else (None, None)), claim[10])
+            for has_h, *claim in zip(theirs["has_h"].tolist(), *[theirs[c].tolist() for c in CLAIM_COLUMNS])
+        ]
+        claims = _Tile(rows[~is_claim], tol).play(foreign)
+        out += [(int(ids[start]), *claim) for claim in claims]
+    claims = pd.DataFrame(out, columns=["tile", *CLAIM_COLUMNS], dtype=object)
+    return claims.astype({c: "Int64" for c in claims.columns})
 
 
 def chain_by_node(group: pd.DataFrame) -> pd.DataFrame:
@@ -155,43 +196,17 @@ def chain_by_node(group: pd.DataFrame) -> pd.DataFrame:
     for piece, head in enumerate(heads):
         waiting[head].append(piece)
     used = bytearray(len(heads))
-    drop_head = np.zeros(len(heads), bool)
-    roads = []
+    road_of, place = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int32)
     for seed in range(len(heads)):
         if used[seed]:
             continue
-        used[seed] = 1
-        road, tail = _Road(seed), tails[seed]
-        while True:
-            queue = waiting.get(tail)
+        piece, k = seed, 0
+        while piece is not None:
+            used[piece] = 1
+            road_of[piece], place[piece] = seed, k
+            queue = waiting.get(tails[piece], ())
             while queue and used[queue[0]]:
                 queue.popleft()
-            if not queue:
-                break
-            piece = queue.popleft()
-            used[piece] = 1
-            drop_head[piece] = True
-            road.append(piece)
-            tail = tails[piece]
-        roads.append(road)
-    return _members(group["seq"].to_numpy(), roads, drop_head, np.zeros(len(heads), bool))
-
-
-def _members(seq: np.ndarray, roads: list[_Road], drop_head: np.ndarray, drop_tail: np.ndarray) -> pd.DataFrame:
-    rows = []
-    for road in roads:
-        attach_no = {piece: k for k, piece in enumerate(road.joined)}
-        road_id = road.joined[0]
-        rows += [(road_id, piece, attach_no[piece], pos, reverse) for pos, (piece, reverse) in enumerate(road.in_order())]
-    road_id, piece, attach_no, pos, reverse = (np.array(c) for c in zip(*rows))
-    return pd.DataFrame(
-        {
-            "road_id": seq[road_id],
-            "seq": seq[piece],
-            "attach_no": attach_no.astype(np.int32),
-            "road_pos": pos.astype(np.int32),
-            "reversed": reverse.astype(bool),
-            "drop_head": drop_head[piece],
-            "drop_tail": drop_tail[piece],
-        }
-    )
+            piece, k = (queue.popleft() if queue else None), k + 1
+    seq = group["seq"].to_numpy()
+    return pd.DataFrame({"road_id": seq[road_of], "seq": seq, "attach_no": place})

@@ -1,10 +1,8 @@
 """Joining road pieces into continuous roads.
 
-Both merges are greedy and depend on order, so they are defined by a scan. What
-makes them distributable: a piece only ever meets pieces it is connected to, so
-each connected component can be scanned on its own. Components come from
-DataFrame joins; only ids, counts and end points reach the scan, never geometry;
-it returns where each piece goes, and Spark rebuilds the roads from that.
+Both merges are greedy scans whose outcome depends on order. Only ids, counts and
+end points take part in them, never geometry; they say where each piece goes, and
+Spark rebuilds the roads from that.
 
 ``members`` (one row per piece): ``road_id`` (``seq`` of the first piece), ``seq``,
 ``attach_no`` (order of joining), ``road_pos`` (order along the road),
@@ -14,139 +12,287 @@ piece's own direction).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_climbs.materialize import materialize
-from spark_climbs.operators.chains import chain_by_endpoint, chain_by_node
+from spark_climbs.materialize import broadcast_if_small, materialize
+from spark_climbs.operators.chains import (
+    CLAIM_COLUMNS,
+    END_ARM,
+    HEAD,
+    START_ARM,
+    TAIL,
+    chain_by_node,
+    play_tiles,
+    whole_groups,
+)
 from spark_climbs.operators.graph import components
 from spark_climbs.operators.roads import segment_ends
 
 DEFAULT_TOLERANCE_DEG = 0.002
 
-_ENDS = ("start_lat", "start_lon", "end_lat", "end_lon")
+# A tile is this many tolerances wide; one with more ends than the limit is cut finer.
+TILE_TOLERANCES = 80
+FINE_TILE_TOLERANCES = 5
+TILE_LIMIT = 200_000
 
-MEMBERS_SCHEMA = (
-    "road_id long, seq long, attach_no int, road_pos int, reversed boolean, drop_head boolean, drop_tail boolean"
-)
+_CLAIM = ", ".join(f"{c} long" for c in CLAIM_COLUMNS)
 
 
-def endpoint_members(ends: DataFrame, tol_deg: float = DEFAULT_TOLERANCE_DEG, split_on_surface: bool = False) -> DataFrame:
-    """Cross-chunk merge of ``segment_ends`` rows to ``members``.
+def endpoint_members(
+    ends: DataFrame,
+    tol_deg: float = DEFAULT_TOLERANCE_DEG,
+    split_on_surface: bool = False,
+    tile_deg: float | None = None,
+    tile_limit: int = TILE_LIMIT,
+) -> DataFrame:
+    """Cross-chunk merge of ``segment_ends`` rows (with two or more nodes) to ``members``.
 
     Per street, longest piece (most nodes) first: attach the first unused piece
     with an end inside the tolerance box of either end of the road, until none is
-    left, then start the next road. ``ends`` is read more than once: pass a table.
+    left, then start the next road.
+
+    The map is cut into tiles, and every tile scans its own pieces. A tile claims
+    pieces for roads; claims on pieces that another tile also knows are handed to
+    that tile, and tiles with new input scan again, until no claim changes. Claims
+    carry their place in the order of the scan and each depends only on earlier
+    ones, so what remains is exactly the result of one scan over everything. A
+    street of any size is thus never brought into one task, and after the first
+    round only tiles along a changed border work.
     """
-    street = ["street_name", "surface"] if split_on_surface else ["street_name"]
-    pieces = ends.select("seq", *street, "n_nodes", *_ENDS)
-    shards = pieces.drop(*street).join(_street_components(pieces, street, tol_deg), "seq")
-    order = [F.desc("n_nodes"), F.asc("seq")]
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        return chain_by_endpoint(group, tol_deg)
-
-    return _scan_shards(shards, order, scan)
+    parts = ["street_name", "surface"] if split_on_surface else ["street_name"]
+    pieces = ends.select("seq", F.concat_ws("\0", *parts).alias("street"), "n_nodes", "start_lat", "start_lon", "end_lat", "end_lon")
+    known = materialize(_known_pieces(pieces, tol_deg, tile_deg or tol_deg * TILE_TOLERANCES, tile_limit), "tiles")
+    shared = known.filter("shared").select("tile", "seq")
+
+    first = _play(known, None, tol_deg)
+    later, runs = None, None
+    border = materialize(_on_border(first, shared), "border")
+    before, visible = None, border
+    round_no = 0
+    while not (dirty := materialize(_tiles_with_news(visible, before, shared), "dirty")).isEmpty():
+        round_no += 1
+        again = _play(known.join(dirty, "tile", "left_semi"), visible, tol_deg).withColumn("round", F.lit(round_no))
+        later = again if later is None else later.unionByName(again)
+        run = dirty.withColumn("round", F.lit(round_no))
+        runs = run if runs is None else runs.unionByName(run)
+        redone = border.join(dirty, "tile", "left_anti").unionByName(_on_border(again.drop("round"), shared))
+        border = materialize(redone, "border")
+        before, visible = visible, _supported(border)
+    if runs is None:
+        return _members_of_claims(pieces, first)
+    last = runs.groupBy("tile").agg(F.max("round").alias("round"))
+    final = first.join(last, "tile", "left_anti").unionByName(later.join(last, ["tile", "round"], "left_semi").drop("round"))
+    return _members_of_claims(pieces, final)
+
+
+def _tile_key(street: Column, lat: Column, lon: Column, size: float) -> Column:
+    return F.xxhash64(street, F.lit(size), F.floor(lat / size), F.floor(lon / size))
+
+
+def _known_pieces(pieces: DataFrame, tol: float, size: float, limit: int) -> DataFrame:
+    """``(tile, piece)`` rows: a piece is known to the tiles of its ends and to those
+    whose core lies within the tolerance of an end. ``start_in`` / ``end_in`` tell
+    which ends lie in the core; ``shared`` pieces are known to other tiles too."""
+    fine = min(size, tol * FINE_TILE_TOLERANCES)
+    reach = tol * 1.001
+    street = F.col("street")
+
+    def corners(key) -> list[Column]:
+        return [
+            key(F.col(f"{end}_lat") + F.lit(i * reach), F.col(f"{end}_lon") + F.lit(j * reach))
+            for end in ("start", "end")
+            for i in (-1, 1)
+            for j in (-1, 1)
+        ]
+
+    def coarse_key(lat: Column, lon: Column) -> Column:
+        return _tile_key(street, lat, lon, size)
+
+    def fine_key(lat: Column, lon: Column) -> Column:
+        return _tile_key(street, lat, lon, fine)
+
+    per_tile = pieces.select(F.explode(F.array(coarse_key(F.col("start_lat"), F.col("start_lon")), coarse_key(F.col("end_lat"), F.col("end_lon")))).alias("tile"))
+    crowded = materialize(per_tile.groupBy("tile").count().filter(F.col("count") > limit).select("tile"), "crowded")
+
+    if crowded.isEmpty():
+        tiles = F.array_distinct(F.array(*corners(coarse_key)))
+        known = pieces.withColumn("shared", F.size(tiles) > 1).withColumn("tile", F.explode(tiles))
+        homes = {end: coarse_key(F.col(f"{end}_lat"), F.col(f"{end}_lon")) for end in ("start", "end")}
+        return known.withColumns({f"{end}_in": home == F.col("tile") for end, home in homes.items()})
+
+    # Tiles per corner, finer where the coarse one is crowded.
+    both = [
+        F.struct(c.alias("coarse"), f.alias("fine"), F.lit(end).alias("end"))
+        for c, f, end in zip(
+            corners(coarse_key) + [coarse_key(F.col(f"{e}_lat"), F.col(f"{e}_lon")) for e in ("start", "end")],
+            corners(fine_key) + [fine_key(F.col(f"{e}_lat"), F.col(f"{e}_lon")) for e in ("start", "end")],
+            [""] * 8 + ["start", "end"],
+        )
+    ]
+    cut = broadcast_if_small(crowded.select(F.col("tile").alias("coarse"), F.lit(True).alias("cut")))
+    placed = pieces.select("*", F.inline(F.array(*both))).join(cut, "coarse", "left")
+    tile = F.when(F.col("cut"), F.col("fine")).otherwise(F.col("coarse"))
+    return (
+        placed.withColumn("tile", tile)
+        .groupBy(*pieces.columns, "tile")
+        .agg(F.bool_or(F.col("end") == "start").alias("start_in"), F.bool_or(F.col("end") == "end").alias("end_in"))
+        .withColumn("shared", F.lit(True))
+    )
 
 
-def _street_components(pieces: DataFrame, street: list[str], tol_deg: float) -> DataFrame:
-    """``(seq, shard)``: pieces of one street that could ever meet share a shard.
+def _play(known: DataFrame, visible: DataFrame | None, tol: float) -> DataFrame:
+    """One round of scanning, given what other tiles claim. Rows arrive sorted by tile,
+    so a task walks through many small tiles in one Arrow stream instead of paying
+    per group."""
+    piece = known.drop("shared")
+    rows = piece.withColumns(
+        {"is_claim": F.lit(False), "has_h": F.lit(False), **{c: F.lit(0).cast("long") for c in CLAIM_COLUMNS[1:]}}
+    )
+    if visible is not None:
+        theirs = visible.drop("support").withColumnsRenamed({"tile": "from", "name": "support"})
+        theirs = known.select("tile", "seq").join(theirs, "seq").filter(F.col("tile") != F.col("from"))
+        rows = rows.unionByName(
+            theirs.drop("from").withColumns({"is_claim": F.lit(True), "has_h": F.col("h_seq").isNotNull()}),
+            allowMissingColumns=True,
+        )
+        # Whole numbers stay whole in pandas only without NULLs.
+        rows = rows.fillna(0, ["n_nodes", "h_n", "h_seq"]).fillna(False, ["start_in", "end_in"])
 
-    Linking works on grid cells and not on pairs of pieces: all ends in a cell are
-    one vertex, and two neighbouring cells are linked when the bounding boxes of
-    their ends come within the tolerance. This may join components that no pair
-    of ends joins, which is harmless for sharding, and a crowded cell costs one
-    vertex instead of a quadratic number of pairs.
-    """
-    cell = tol_deg * 1.25
-    ends = pieces.select(
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, "tile"):
+            yield play_tiles(frame, tol)
+
+    in_order = rows.repartition("tile").sortWithinPartitions("tile", "is_claim", F.desc("n_nodes"), "seq")
+    return materialize(in_order.mapInPandas(walk, f"tile long, {_CLAIM}"), "claims")
+
+
+def _on_border(claims: DataFrame, shared: DataFrame) -> DataFrame:
+    """Claims that other tiles need to know, each with a name made of its content."""
+    return claims.join(shared, ["tile", "seq"], "left_semi").withColumn("name", F.xxhash64("tile", *CLAIM_COLUMNS))
+
+
+def _supported(border: DataFrame) -> DataFrame:
+    """Claims whose arm can be traced back, tile by tile, to its seed. A claim built on
+    one that has been withdrawn must not be seen, or two tiles could keep handing an
+    arm without a beginning to each other."""
+    while True:
+        names = border.select(F.col("name").alias("support")).distinct()
+        lost = border.filter(F.col("support").isNotNull()).join(names, "support", "left_anti").select("name")
+        lost = materialize(lost, "lost")
+        if lost.isEmpty():
+            return border
+        border = materialize(border.join(lost, "name", "left_anti"), "supported")
+
+
+def _tiles_with_news(now: DataFrame, before: DataFrame | None, shared: DataFrame) -> DataFrame:
+    """Tiles that know a piece on which another tile has changed its claim."""
+    changed = now.select("seq", "tile", "name")
+    if before is not None:
+        old = before.select("seq", "tile", "name")
+        changed = changed.join(old, "name", "left_anti").unionByName(old.join(changed, "name", "left_anti"))
+    news = changed.select("seq", F.col("tile").alias("from")).distinct()
+    return shared.join(news, "seq").filter(F.col("tile") != F.col("from")).select("tile").distinct()
+
+
+def _members_of_claims(pieces: DataFrame, claims: DataFrame) -> DataFrame:
+    """Lay out roads from claims.
+
+    Along the seed's direction, the end arm counts up from the seed and the start arm
+    down. The road ends at the arm that last joined a piece by its head. Joining
+    leaves out the joined piece's own joint node; only a piece put before the start
+    by its tail makes the road lose its first node instead."""
+    own = F.col("s_seq").isNull()
+    joined = pieces.select("seq", "n_nodes").join(claims.drop("tile"), "seq", "left").select(
         "seq",
-        *street,
-        F.inline(
-            F.array(
-                F.struct((F.col("seq") * 2).alias("end_id"), F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")),
-                F.struct((F.col("seq") * 2 + 1).alias("end_id"), F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon")),
-            )
-        ),
-    ).withColumns({"ci": F.floor(F.col("lat") / cell), "cj": F.floor(F.col("lon") / cell)})
-    key = [*street, "ci", "cj"]
-    cells = materialize(
-        ends.groupBy(*key).agg(
-            F.min("end_id").alias("vertex"),
-            F.min("lat").alias("lat_low"),
-            F.max("lat").alias("lat_high"),
-            F.min("lon").alias("lon_low"),
-            F.max("lon").alias("lon_high"),
-        ),
-        "cells",
+        F.coalesce("s_seq", "seq").alias("road_id"),
+        F.when(own, -F.col("n_nodes")).otherwise(F.col("cm_n")).alias("cm_n"),
+        F.when(own, F.col("seq")).otherwise(F.col("cm_seq")).alias("cm_seq"),
+        F.coalesce("k", F.lit(0)).alias("k"),
+        F.coalesce("arm", F.lit(END_ARM)).alias("arm"),
+        F.coalesce("via", F.lit(HEAD)).alias("via"),
+        own.alias("is_seed"),
     )
-    placed = ends.join(cells.select(*key, "vertex"), key).groupBy("seq").agg(
-        F.min("vertex").alias("u"), F.max("vertex").alias("v")
+    in_time = Window.partitionBy("road_id").orderBy("cm_n", "cm_seq", "k")
+    by_head = F.when(F.col("via") == HEAD, F.col("arm"))
+    timed = joined.withColumns(
+        {
+            "attach_no": (F.row_number().over(in_time) - 1).cast("int"),
+            "end_before": F.last(by_head, ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, -1)),
+            "end_last": F.last(by_head, ignorenulls=True).over(
+                in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
+        }
+    )
+    at_start = F.col("arm") != F.col("end_before")
+    before_start = ~F.col("is_seed") & at_start & (F.col("via") == TAIL)
+    placed = timed.withColumns(
+        {
+            "along": F.when(F.col("arm") == END_ARM, F.col("k")).otherwise(-F.col("k")),
+            "backward": F.when(F.col("arm") == END_ARM, F.col("via") == TAIL).otherwise(F.col("via") == HEAD),
+            "spares_own": before_start,
+        }
+    )
+    along = Window.partitionBy("road_id").orderBy("along")
+    after, before = F.lead("spares_own").over(along), F.lag("spares_own").over(along)
+    after_arm, before_arm = F.lead("arm").over(along), F.lag("arm").over(along)
+    lost = placed.withColumns(
+        {
+            "lost_after": F.coalesce(after & (after_arm == END_ARM), F.lit(False)),
+            "lost_before": F.coalesce(before & (before_arm == START_ARM), F.lit(False)),
+        }
+    )
+    own_joint = ~F.col("is_seed") & ~F.col("spares_own")
+    turned = F.col("end_last") == START_ARM
+    order = F.when(turned, -F.col("along")).otherwise(F.col("along"))
+    first = F.min(order).over(Window.partitionBy("road_id"))
+    return lost.select(
+        "road_id",
+        "seq",
+        "attach_no",
+        (order - first).cast("int").alias("road_pos"),
+        (F.col("backward") != turned).alias("reversed"),
+        (
+            (own_joint & (F.col("via") == HEAD)) | F.when(F.col("backward"), F.col("lost_after")).otherwise(F.col("lost_before"))
+        ).alias("drop_head"),
+        (
+            (own_joint & (F.col("via") == TAIL)) | F.when(F.col("backward"), F.col("lost_before")).otherwise(F.col("lost_after"))
+        ).alias("drop_tail"),
     )
-    placed = materialize(placed, "placed")
-
-    half_ring = [(0, 1), (1, -1), (1, 0), (1, 1)]
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in half_ring]))
-    a = cells.withColumn("shift", shifts)
-    a = a.withColumns({"ci": F.col("ci") + F.col("shift.di"), "cj": F.col("cj") + F.col("shift.dj")}).alias("a")
-    b = cells.alias("b")
-
-    def gap(axis: str) -> Column:
-        return F.greatest(
-            F.col(f"a.{axis}_low") - F.col(f"b.{axis}_high"), F.col(f"b.{axis}_low") - F.col(f"a.{axis}_high"), F.lit(0.0)
-        )
-
-    touching = a.join(
-        b,
-        [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [gap("lat") < tol_deg, gap("lon") < tol_deg],
-    ).select(F.col("a.vertex").alias("u"), F.col("b.vertex").alias("v"))
-
-    labels = components(placed.select("u", "v").unionByName(touching))
-    return placed.join(labels, placed["u"] == labels["vertex"]).select("seq", F.col("component").alias("shard"))
 
 
 def node_members(ways: DataFrame) -> DataFrame:
     """In-chunk merge of ways ``(seq, scope, street_name, head_id, tail_id)`` that
     share a node: from each unused way in order, append the first unused way that
     begins at the node the road ends at. Ways meet only inside a scope (a chunk) and
-    street. Hashes only shard the work; the scan compares the ids themselves."""
+    street, so the connected ways of one chunk are the unit of work. Hashes only
+    shard the work; the scan compares the ids themselves."""
     ways = materialize(ways.select("seq", "scope", "street_name", "head_id", "tail_id"), "ways")
     head, tail = F.xxhash64("scope", "street_name", "head_id"), F.xxhash64("scope", "street_name", "tail_id")
     labels = components(ways.select(head.alias("u"), tail.alias("v")))
     shards = ways.join(labels, head == F.col("vertex")).select(*ways.columns, F.col("component").alias("shard"))
-    return _scan_shards(shards, [F.asc("seq")], chain_by_node)
-
-
-def _scan_shards(shards: DataFrame, order: list[Column], scan: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Run a greedy scan over shards. Rows arrive sorted, so a task walks through many
-    small shards in one Arrow stream instead of paying per group."""
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in _whole_shards(batches):
-            yield scan(whole)
-
-    by_shard = shards.repartition("shard").sortWithinPartitions("shard", *order)
-    return by_shard.mapInPandas(walk, MEMBERS_SCHEMA)
-
-
-def _whole_shards(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches so that no frame cuts a shard."""
-    open_shard: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        shard = batch["shard"].to_numpy()
-        last_start = int(np.searchsorted(shard, shard[-1], side="left"))
-        if last_start > 0 or (open_shard and open_shard[-1]["shard"].iloc[-1] != shard[0]):
-            yield pd.concat([*open_shard, batch.iloc[:last_start]], ignore_index=True)
-            open_shard = []
-        open_shard.append(batch.iloc[last_start:])
-    if open_shard:
-        yield pd.concat(open_shard, ignore_index=True)
+        for frame in whole_groups(batches, "shard"):
+            yield chain_by_node(frame)
+
+    chained = (
+        shards.repartition("shard")
+        .sortWithinPartitions("shard", "seq")
+        .mapInPandas(walk, "road_id long, seq long, attach_no int")
+    )
+    return chained.select(
+        "road_id",
+        "seq",
+        "attach_no",
+        F.col("attach_no").alias("road_pos"),
+        F.lit(False).alias("reversed"),
+        (F.col("attach_no") > 0).alias("drop_head"),
+        F.lit(False).alias("drop_tail"),
+    )
 
 
 def merged_roads(members: DataFrame, ends: DataFrame) -> DataFrame:

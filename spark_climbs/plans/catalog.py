@@ -526,7 +526,7 @@ def _gazetteer(spark, d) -> DataFrame:
     street = F.concat(F.initcap("c_mktsegment"), F.lit(" St, Town "), k % 60, F.lit(", NC, us"))
     customers = X.table(spark, d, "customer")
     full = customers.filter(k % 6 == 0).select(
-        F.concat(k, F.lit(" "), street).alias("query"), (k * 0.001).alias("lat"), (k * -0.001).alias("lon"), F.lit("full").alias("address")
+        F.concat(k, F.lit(" "), street).alias("query"), (k / 1000.0).alias("lat"), (k / -1000.0).alias("lon"), F.lit("full").alias("address")
     )
     streets = customers.filter(k % 6 == 2).select(
         street.alias("query"), (k % 60 + 0.5).alias("lat"), (k % 60 - 0.5).alias("lon"), F.lit("street").alias("address")

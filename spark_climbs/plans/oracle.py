@@ -96,7 +96,7 @@ member as (
   select *, chain * 4 + step - row_number() over (partition by chain order by step) as island from {source}),
 road as (
   select chain, island, min(way_id) as first_way, any_value(street_name) as street_name, count(*) as n_ways,
-    string_agg(way_id::varchar, ',' order by way_id::varchar) as way_ids, sum(n) - count(*) + 1 as n_nodes,
+    string_agg(way_id::varchar, ',' order by way_id) as way_ids, sum(n) - count(*) + 1 as n_nodes,
     arg_min(start_lat, step) as start_lat, arg_min(start_lon, step) as start_lon,
     arg_max(end_lat, step) as end_lat, arg_max(end_lon, step) as end_lon
   from member group by chain, island),
@@ -310,7 +310,7 @@ tries as (
   union all select k, 1, seg || ' St, ' || town || ', NC' || tail from customers where k % 9 <> 0
   union all select k, 2, town || ', NC' || tail from customers where k % 9 <> 0),
 known as (
-  select k || ' ' || seg || ' St, ' || town || ', NC, us' as query, k * 0.001 as lat, k * -0.001 as lon, 'full' as address from customers where k % 6 = 0
+  select k || ' ' || seg || ' St, ' || town || ', NC, us' as query, k / 1000.0 as lat, k / -1000.0 as lon, 'full' as address from customers where k % 6 = 0
   union all select seg || ' St, ' || town || ', NC, us', k % 60 + 0.5, k % 60 - 0.5, 'street' from customers where k % 6 = 2
   union all select town || ', NC', (k % 60) * 1.0, (k % 60) * -1.0, 'town' from customers where k % 60 < 40),
 hit as (select query, lat::double as lat, lon::double as lon, address from known qualify row_number() over (partition by query order by lat, lon, address) = 1)
