@@ -20,6 +20,8 @@ END_ARM, START_ARM = 0, 1
 _FIRST = (-math.inf, 0)
 _NEVER = (math.inf, 0)
 
+PIECE_COLUMNS = ("seq", "n_nodes", "street", "start_lat", "start_lon", "end_lat", "end_lon", "start_in", "end_in")
+
 # A claim: a piece, the end it is joined by, the seed, arm and count of the arm, the
 # time of joining and the arm's last joining by a head before; ``support`` names the
 # claim of another tile by which the arm entered this one, if it did.
@@ -56,15 +58,13 @@ class _Tile:
     whose tip lies in its core; where an arm leaves, the next tile takes over.
     """
 
-    def __init__(self, pieces: pd.DataFrame, tol: float):
+    def __init__(self, tol: float, seq, n_nodes, street, start_lat, start_lon, end_lat, end_lon, start_in, end_in):
         self.tol, self.cell = tol, tol * 1.25
-        self.seq = pieces["seq"].tolist()
-        self.rank = list(zip((-pieces["n_nodes"]).tolist(), self.seq))
-        self.street = pieces["street"].tolist()
-        heads = zip(pieces["start_lat"].tolist(), pieces["start_lon"].tolist())
-        tails = zip(pieces["end_lat"].tolist(), pieces["end_lon"].tolist())
-        self.ends = list(zip(heads, tails))
-        self.in_core = list(zip(pieces["start_in"].tolist(), pieces["end_in"].tolist()))
+        self.seq = seq
+        self.rank = [(-n, s) for n, s in zip(n_nodes, seq)]
+        self.street = street
+        self.ends = list(zip(zip(start_lat, start_lon), zip(end_lat, end_lon)))
+        self.in_core = list(zip(start_in, end_in))
         self.used = bytearray(len(self.seq))
         self.waiting: dict[tuple, list[int]] = defaultdict(list)
         for piece, (head, tail) in enumerate(self.ends):
@@ -170,19 +170,22 @@ def play_tiles(frame: pd.DataFrame, tol: float) -> pd.DataFrame:
     rank order, then the claims other tiles make on them."""
     ids = frame["tile"].to_numpy()
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    stops = np.r_[starts[1:], len(ids)]
+    claims_before = np.r_[0, np.cumsum(frame["is_claim"].to_numpy(bool))]
+    n_foreign = (claims_before[stops] - claims_before[starts]).tolist()
+    piece_columns = [frame[c].tolist() for c in PIECE_COLUMNS]
+    claim_columns = [frame[c].tolist() for c in CLAIM_COLUMNS]
+    has_h = frame["has_h"].tolist()
     out: list[tuple] = []
-    for start, stop in zip(starts, np.r_[starts[1:], len(ids)]):
+    for tile, start, stop, n in zip(ids[starts].tolist(), starts.tolist(), stops.tolist(), n_foreign):
         if stop - start == 1:
             continue  # one piece alone has nothing to join
-        rows = frame.iloc[start:stop]
-        is_claim = rows["is_claim"].to_numpy(bool)
-        theirs = rows[is_claim]
         foreign = [
-            (*claim[:8], *(claim[8:10] if has_h else (None, None)), claim[10])
-            for has_h, *claim in zip(theirs["has_h"].tolist(), *[theirs[c].tolist() for c in CLAIM_COLUMNS])
+            (*claim[:8], *(claim[8:10] if h else (None, None)), claim[10])
+            for h, *claim in zip(has_h[stop - n : stop], *[c[stop - n : stop] for c in claim_columns])
         ]
-        claims = _Tile(rows[~is_claim], tol).play(foreign)
-        out += [(int(ids[start]), *claim) for claim in claims]
+        claims = _Tile(tol, *[c[start : stop - n] for c in piece_columns]).play(foreign)
+        out += [(tile, *claim) for claim in claims]
     claims = pd.DataFrame(out, columns=["tile", *CLAIM_COLUMNS], dtype=object)
     return claims.astype({c: "Int64" for c in claims.columns})
 

@@ -144,6 +144,12 @@ def _known_pieces(pieces: DataFrame, tol: float, size: float, limit: int) -> Dat
     )
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Partition for a scan. The number is fixed, because the work of a scan is in its
+    steps and not in its bytes, which is what adaptive coalescing goes by."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _play(known: DataFrame, visible: DataFrame | None, tol: float) -> DataFrame:
     """One round of scanning, given what other tiles claim. Rows arrive sorted by tile,
     so a task walks through many small tiles in one Arrow stream instead of paying
@@ -166,7 +172,7 @@ def _play(known: DataFrame, visible: DataFrame | None, tol: float) -> DataFrame:
         for frame in whole_groups(batches, "tile"):
             yield play_tiles(frame, tol)
 
-    in_order = rows.repartition("tile").sortWithinPartitions("tile", "is_claim", F.desc("n_nodes"), "seq")
+    in_order = _spread(rows, "tile").sortWithinPartitions("tile", "is_claim", F.desc("n_nodes"), "seq")
     return materialize(in_order.mapInPandas(walk, f"tile long, {_CLAIM}"), "claims")
 
 
@@ -280,7 +286,7 @@ def node_members(ways: DataFrame) -> DataFrame:
             yield chain_by_node(frame)
 
     chained = (
-        shards.repartition("shard")
+        _spread(shards, "shard")
         .sortWithinPartitions("shard", "seq")
         .mapInPandas(walk, "road_id long, seq long, attach_no int")
     )

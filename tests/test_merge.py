@@ -64,3 +64,52 @@ def test_same_roads_as_one_scan(spark, seed, n, box, options):
             nodes += own[::-1] if m.reversed else own
         roads.append(([m.seq for m in sorted(group, key=lambda m: m.attach_no)], nodes))
     assert sorted(roads) == want
+
+
+def test_three_roads_in_one_point(spark):
+    meet = (0.05, 0.05)
+    pieces = [(k, "A", [meet, (0.05 + dx, 0.05 + dy)]) for k, (dx, dy) in enumerate([(0.01, 0), (0, 0.01), (-0.01, -0.01)])]
+    roads = merged(spark, pieces)
+    assert [ids for ids, _ in roads] == [[0, 1], [2]]
+    # Start to start: the first is turned round, the second loses its first node.
+    assert roads[0][1] == [(0.060000000000000005, 0.05), meet, (0.05, 0.060000000000000005)]
+
+
+def test_tolerance_is_strict(spark):
+    pieces = [(0, "A", [(0.0, 0.0), (0.01, 0.0)]), (1, "A", [(0.01, 0.002), (0.02, 0.0)])]
+    assert [ids for ids, _ in merged(spark, pieces)] == [[0], [1]]
+    pieces[1] = (1, "A", [(0.01, 0.0019), (0.02, 0.0)])
+    assert [ids for ids, _ in merged(spark, pieces)] == [[0, 1]]
+
+
+def test_surface_of_merged_road(spark):
+    pieces = [(k, "A", [(0.01 * k, 0.0), (0.01 * (k + 1), 0.0)]) for k in range(3)]
+    surface = {0: "unknown", 1: "gravel", 2: "asphalt"}
+    row = merge.merge_by_endpoint(segments(spark, pieces, surface)).first()
+    assert (row.surface, row.first_way_id, row.n_pieces, row.n_nodes) == ("gravel", 0, 3, 4)
+    split = merge.merge_by_endpoint(segments(spark, pieces, surface), split_on_surface=True)
+    assert split.count() == 3
+
+
+def test_crowded_street_has_no_pairs(spark):
+    """Many pieces from one point: joined two by two, in order."""
+    rnd = random.Random(4)
+    pieces = [(k, "service", [(1.0, 1.0), (1.0 + rnd.uniform(0.01, 0.5), 1.0 + rnd.uniform(0.01, 0.5))]) for k in range(400)]
+    roads = build_roads(pieces)
+    members = merge.endpoint_members(merge.segment_ends(segments(spark, pieces)), tile_limit=100)
+    assert members.select("road_id").distinct().count() == len(roads)
+
+
+def test_merge_by_node_id(spark):
+    rows = [
+        (0, [0], "A", "x", "y", "z", [(0, "c", 0.0, 0.0), (1, "d", 0.0, 1.0)]),
+        (1, [1], "A", "x", "y", "z", [(0, "a", 0.0, 0.0), (1, "b", 0.0, 1.0)]),
+        (2, [2], "A", "x", "y", "z", [(0, "b", 0.0, 1.0), (1, "c", 0.0, 2.0)]),
+        (3, [3], "A", "x", "y", "z", [(0, "b", 0.0, 1.0), (1, "e", 0.0, 3.0)]),
+        (4, [4], "B", "x", "y", "z", [(0, "d", 0.0, 1.0), (1, "a", 0.0, 3.0)]),
+    ]
+    out = merge.merge_by_node_id(spark.createDataFrame(rows, SCHEMA)).collect()
+    # 0 is taken as a start before 2 could reach it; 3 begins where 2 does.
+    assert sorted(list(r.way_ids) for r in out) == [[0], [1, 2], [3], [4]]
+    joined = next(r for r in out if r.road_id == 1)
+    assert [n.node_id for n in joined.nodes] == ["a", "b", "c"]
