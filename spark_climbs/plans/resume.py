@@ -124,7 +124,7 @@ def process_chunks(
     if resume:
         todo = remaining_chunks(chunks, read_table(spark, f"{base}/status", schemas.CHUNK_STATUS))
     todo = materialize(todo.withColumn("batch", F.pmod(F.xxhash64("chunk_index"), F.lit(n_batches))), "todo")
-    chosen = surface_filter(ways, surface)
+    chosen = surface_filter(ways, surface).select("way_id", "tags", "nodes")
     nodes = chosen.select(F.lit(analysis_id).alias("area_id"), "way_id", F.inline("nodes"))
 
     for batch in sorted(row["batch"] for row in todo.select("batch").distinct().collect()):
