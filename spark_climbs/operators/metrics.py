@@ -26,7 +26,8 @@ def piece_profiles(nodes: DataFrame) -> DataFrame:
     """Summaries of pieces from long nodes ``(road_id, road_pos, seq, reversed, pos,
     lat, lon, elevation)``. Nodes without elevation do not count: a step leads from
     one elevation-bearing node to the next. Window and aggregation share one
-    exchange on ``seq``, which the join that added ``road_id`` has already made."""
+    exchange and one sort: both are keyed by ``seq`` alone, on which ``road_id``,
+    ``road_pos`` and ``reversed`` depend."""
     along = Window.partitionBy("seq").orderBy("pos")
     valid = nodes.filter(F.col("elevation").isNotNull())
     steps = valid.withColumns({f"p_{c}": F.lag(c).over(along) for c in _POINT})
@@ -35,8 +36,9 @@ def piece_profiles(nodes: DataFrame) -> DataFrame:
     steps = steps.withColumns({"km": km, "rise": rise})
     point = F.struct(*_POINT)
     return (
-        steps.groupBy("seq", "road_id", "road_pos", "reversed")
+        steps.groupBy("seq")
         .agg(
+            *[F.first(c).alias(c) for c in ("road_id", "road_pos", "reversed")],
             F.count("*").alias("n_valid"),
             F.min("elevation").alias("low"),
             F.max("elevation").alias("high"),

@@ -29,9 +29,14 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _road_table(spark, d) -> DataFrame:
+    """All ways, copies included, as the stored table an analysis starts from."""
+    return materialize(X.ways(spark, d), "ways")
+
+
 def _segments(spark, d) -> DataFrame:
     """Segments of every way, copies included."""
-    return roads.segments_from_ways(X.ways(spark, d), X.seq())
+    return roads.segments_from_ways(_road_table(spark, d), X.seq())
 
 
 def _plain_segments(spark, d) -> DataFrame:
@@ -424,7 +429,7 @@ def attach_location(spark, d):
 
 def _analysis(spark, d, unit_system: str, **options) -> DataFrame:
     return pipeline.analyze_area(
-        X.ways(spark, d),
+        _road_table(spark, d),
         X.elevation(spark, d, X.REPORT_SCALE),
         X.places(spark, d),
         CENTER,

@@ -50,7 +50,9 @@ def locate_and_report(
     unit_system: str = "imperial",
     min_score: float = DEFAULT_MIN_SCORE,
 ) -> DataFrame:
-    kept = climbs.filter(F.col("climb_score") >= min_score)
+    """Report of the climbs that score enough. Locating them and sorting them by range
+    each read the climbs again, so they are written once."""
+    kept = materialize(climbs.filter(F.col("climb_score") >= min_score).drop("way_ids", "osm_links"), "climbs")
     return report(attach_location(kept, places, center), unit_system)
 
 
