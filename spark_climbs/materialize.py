@@ -27,14 +27,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def _session_dir(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/spark_climbs/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and return it as a scan of the written table."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/spark_climbs/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete every table this application has materialized. DataFrames built on them
+    can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint behind a row count; a larger table is joined by shuffle, where
     adaptive execution splits skewed keys."""

@@ -91,11 +91,17 @@ def assign_chunks(
     The grid is regular, so the cells that can hold a node follow from arithmetic:
     nodes are never compared with every chunk. They shrink to distinct way-cell
     rows (combined map-side) before the equi-join that looks up the chunk number.
-    ``way_nodes`` carries ``area_id``; ``square`` tiles the area without gaps,
-    ``circle`` is the disc of the chunk radius.
+    ``way_nodes`` carries ``area_id`` when there are several areas. ``square`` tiles
+    the area without gaps, ``circle`` is the disc of the chunk radius.
     """
     centers = chunks.select("area_id", "center_lat", "center_lon", "radius_km").distinct()
-    located = way_nodes.select("area_id", "way_id", "lat", "lon").join(broadcast_if_small(centers), "area_id")
+    if "area_id" in way_nodes.columns:
+        located = way_nodes.select("area_id", "way_id", "lat", "lon").join(broadcast_if_small(centers), "area_id")
+    else:
+        found = centers.limit(2).collect()
+        if len(found) != 1:
+            raise ValueError("nodes without area_id need chunks of exactly one area")
+        located = way_nodes.select("way_id", "lat", "lon", *[F.lit(v).alias(c) for c, v in found[0].asDict().items()])
 
     single = F.col("radius_km") <= size_km
     n = F.when(single, F.lit(0)).otherwise(F.ceil(F.col("radius_km") / size_km)).cast("int")

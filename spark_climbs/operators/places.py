@@ -117,13 +117,16 @@ def geocode(addresses: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _parts(text: Column) -> Column:
-    """Every distinct substring, the empty one included."""
+def _parts(text: Column, longest: int) -> Column:
+    """Every distinct substring up to a length, the empty one included."""
     length = F.length(text)
     starts = F.sequence(F.lit(1), F.greatest(length, F.lit(1)))
     cut = F.flatten(
         F.transform(
-            starts, lambda s: F.transform(F.sequence(F.lit(0), length - s + 1), lambda n: F.substr(text, s, n))
+            starts,
+            lambda s: F.transform(
+                F.sequence(F.lit(0), F.least(length - s + 1, F.lit(longest))), lambda n: F.substr(text, s, n)
+            ),
         )
     )
     return F.array_distinct(F.when(length > 0, cut).otherwise(F.array(F.lit(""))))
@@ -140,8 +143,9 @@ def resolve_region(names: DataFrame, bounds: DataFrame, kind: str) -> DataFrame:
     )
     wanted = names.select("name").distinct().withColumn("key", F.lower(strip(F.col("name"))))
     keys = wanted.select("key").distinct()
-    around = listed.select("listed_name", "ord", "area", F.explode(_parts(F.col("listed_name"))).alias("key"))
-    inside = keys.select("key", F.explode(_parts(F.col("key"))).alias("listed_name")).join(listed, "listed_name")
+    longest = listed.agg(F.coalesce(F.max(F.length("listed_name")), F.lit(0))).first()[0]
+    around = listed.select("listed_name", "ord", "area", F.explode(_parts(F.col("listed_name"), longest)).alias("key"))
+    inside = keys.select("key", F.explode(_parts(F.col("key"), longest)).alias("listed_name")).join(listed, "listed_name")
     matches = keys.join(around, "key").unionByName(inside)
     best = matches.groupBy("key").agg(
         F.min_by(

@@ -62,10 +62,8 @@ def run_metrics(nodes: DataFrame, roads: DataFrame, climbs: DataFrame) -> DataFr
     )
     merged = roads.agg(F.sum("n_pieces").alias("n_segments"), F.count("*").alias("n_roads"))
     found = climbs.agg(F.count("*").alias("n_climbs"))
-    one = F.lit(1).alias("one")
-    return (
-        coords.select("*", one).join(merged.select("*", one), "one").join(found.select("*", one), "one").drop("one")
-    )
+    rows = coords.unionByName(merged, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 # Upper limits in metres.

@@ -175,9 +175,8 @@ def chunk_grid(spark, d):
 
 
 def _assigned(spark, d, cover: str) -> DataFrame:
-    nodes = X.way_nodes(spark, d).withColumn("area_id", F.lit(1).cast("long"))
     grid = area.chunk_grid(_area(spark, 60.0), 8.0)
-    return area.assign_chunks(nodes, grid, 8.0, cover).select("chunk_index", "way_id")
+    return area.assign_chunks(X.way_nodes(spark, d), grid, 8.0, cover).select("chunk_index", "way_id")
 
 
 @query

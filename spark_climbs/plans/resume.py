@@ -123,17 +123,21 @@ def process_chunks(
     todo = chunks
     if resume:
         todo = remaining_chunks(chunks, read_table(spark, f"{base}/status", schemas.CHUNK_STATUS))
-    todo = materialize(todo.withColumn("batch", F.pmod(F.xxhash64("chunk_index"), F.lit(n_batches))), "todo")
+    todo = materialize(todo.withColumn("batch", F.pmod(F.xxhash64("chunk_index"), F.lit(n_batches)).cast("int")), "todo")
+    if todo.isEmpty():
+        return read_stage(spark, f"{base}/segments", SEGMENTS, analysis_id)
     chosen = surface_filter(ways, surface).select("way_id", "tags", "nodes")
-    nodes = chosen.select(F.lit(analysis_id).alias("area_id"), "way_id", F.inline("nodes"))
+    nodes = chosen.select("way_id", F.inline("nodes"))
+    placed = assign_chunks(nodes, todo, size_km, cover).join(todo.select("chunk_index", "batch"), "chunk_index")
+    # Split by batch once, so that the ways are not scanned again for every batch.
+    placed_ways = materialize(chosen.join(placed.drop("area_id"), "way_id"), "placed-ways", partition_by="batch")
 
     for batch in sorted(row["batch"] for row in todo.select("batch").distinct().collect()):
         mine = todo.filter(F.col("batch") == batch)
         try:
-            placed = assign_chunks(nodes, mine, size_km, cover).select("chunk_index", "way_id")
-            placed_ways = chosen.join(placed, "way_id")
             seq = F.col("chunk_index").cast("long") * SEQ_PER_CHUNK + F.col("way_id")
-            segments = materialize(segments_from_ways(placed_ways, seq), "chunk-segments")
+            in_batch = placed_ways.filter(F.col("batch") == batch)
+            segments = materialize(segments_from_ways(in_batch, seq), "chunk-segments")
             chunk = F.floor(F.col("seq") / SEQ_PER_CHUNK).cast("int")
             merged = merge_by_node_id(segments, chunk).select(
                 F.lit(analysis_id).alias("analysis_id"),

@@ -37,6 +37,7 @@ def test_resumed_equals_straight(spark, tmp_path):
     columns = ["chunk_index", "seq", "way_ids", "street_name", "surface", "tracktype"]
     assert got.count() > 0
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    assert run(spark, base, "run_1").count() == got.count()  # nothing left to do
     assert set(r.status for r in status.collect()) <= {"ok", "empty"}
 
     analyses = spark.createDataFrame([("run_1", chunks(spark, "run_1").count())], "analysis_id string, total_chunks int")
