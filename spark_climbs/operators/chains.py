@@ -92,17 +92,18 @@ class _Tile:
                 waiting = self.waiting.get((street, i, j))
                 if not waiting:
                     continue
-                passed = 0
+                passed = scanned = 0
                 for piece in waiting:
                     if best is not None and piece >= best:
                         break
+                    scanned += 1
                     if self.used[piece]:
                         passed += 1
                     elif self._meets(tip, piece, HEAD) or self._meets(tip, piece, TAIL):
                         best = piece
                         break
-                if passed > 8:
-                    waiting[:] = [p for p in waiting if not self.used[p]]
+                if passed > 8:  # forget the used ones that were scanned
+                    waiting[:scanned] = [p for p in waiting[:scanned] if not self.used[p]]
         return best
 
     def _grow(self, street: str, tip, s, arm: int, k: int, cm, h, support) -> None:
