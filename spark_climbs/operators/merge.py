@@ -39,6 +39,8 @@ TILE_TOLERANCES = 80
 FINE_TILE_TOLERANCES = 5
 TILE_LIMIT = 200_000
 
+ROWS_PER_TASK = 2_000
+
 _CLAIM = ", ".join(f"{c} long" for c in CLAIM_COLUMNS)
 
 
@@ -63,19 +65,22 @@ def endpoint_members(
     street of any size is thus never brought into one task, and after the first
     round only tiles along a changed border work.
     """
+    if tile_deg is not None and tile_deg < tol_deg * 2.5:
+        raise ValueError("a tile must be wider than two tolerances")
     parts = ["street_name", "surface"] if split_on_surface else ["street_name"]
     pieces = ends.select("seq", F.concat_ws("\0", *parts).alias("street"), "n_nodes", "start_lat", "start_lon", "end_lat", "end_lon")
     known = materialize(_known_pieces(pieces, tol_deg, tile_deg or tol_deg * TILE_TOLERANCES, tile_limit), "tiles")
     shared = known.filter("shared").select("tile", "seq")
 
-    first = _play(known, None, tol_deg)
+    n_tasks = _scan_tasks(known)
+    first = _play(known, None, tol_deg, n_tasks)
     later, runs = None, None
     border = materialize(_on_border(first, shared), "border")
     before, visible = None, border
     round_no = 0
     while not (dirty := materialize(_tiles_with_news(visible, before, shared), "dirty")).isEmpty():
         round_no += 1
-        again = _play(known.join(dirty, "tile", "left_semi"), visible, tol_deg).withColumn("round", F.lit(round_no))
+        again = _play(known.join(dirty, "tile", "left_semi"), visible, tol_deg, n_tasks).withColumn("round", F.lit(round_no))
         later = again if later is None else later.unionByName(again)
         run = dirty.withColumn("round", F.lit(round_no))
         runs = run if runs is None else runs.unionByName(run)
@@ -144,13 +149,14 @@ def _known_pieces(pieces: DataFrame, tol: float, size: float, limit: int) -> Dat
     )
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """Partition for a scan. The number is fixed, because the work of a scan is in its
-    steps and not in its bytes, which is what adaptive coalescing goes by."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def _scan_tasks(rows: DataFrame) -> int:
+    """Tasks for a scan of a written table: its work is in its steps and not in its
+    bytes, which is what adaptive coalescing goes by."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, rows.count() // ROWS_PER_TASK))
 
 
-def _play(known: DataFrame, visible: DataFrame | None, tol: float) -> DataFrame:
+def _play(known: DataFrame, visible: DataFrame | None, tol: float, n_tasks: int) -> DataFrame:
     """One round of scanning, given what other tiles claim. Rows arrive sorted by tile,
     so a task walks through many small tiles in one Arrow stream instead of paying
     per group."""
@@ -172,7 +178,7 @@ def _play(known: DataFrame, visible: DataFrame | None, tol: float) -> DataFrame:
         for frame in whole_groups(batches, "tile"):
             yield play_tiles(frame, tol)
 
-    in_order = _spread(rows, "tile").sortWithinPartitions("tile", "is_claim", F.desc("n_nodes"), "seq")
+    in_order = rows.repartition(n_tasks, "tile").sortWithinPartitions("tile", "is_claim", F.desc("n_nodes"), "seq")
     return materialize(in_order.mapInPandas(walk, f"tile long, {_CLAIM}"), "claims")
 
 
@@ -286,7 +292,7 @@ def node_members(ways: DataFrame) -> DataFrame:
             yield chain_by_node(frame)
 
     chained = (
-        _spread(shards, "shard")
+        shards.repartition(_scan_tasks(ways), "shard")
         .sortWithinPartitions("shard", "seq")
         .mapInPandas(walk, "road_id long, seq long, attach_no int")
     )
