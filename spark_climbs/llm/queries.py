@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_climbs.llm import mixing, quality_rules, simhash
+from spark_climbs.llm import html_text, mixing, multi_index, quality_rules, simhash, token_output, tokenizers_at
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,17 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_multi_index(spark, sf_dir):
+    return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_token_output(spark, sf_dir):
+    return token_output.round_trip(_table(spark, sf_dir, "documents"), tokenizers_at.path("word_bpe_49k.json"))
+
+
 def all_queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
