@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_climbs.llm import html_text, mixing, multi_index, quality_rules, simhash, token_output, tokenizers_at
+from spark_climbs.llm import crf_quality, html_text, mixing, multi_index, pieces, quality_rules, simhash, token_output, tokenizers_at
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_mixing(spark, sf_dir):
     return mixing.shares(_table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark, sf_dir):
+    return pieces.digests(_table(spark, sf_dir, "documents"), tokenizers_at.path("piece_bpe_32k.model"))
+
+
+def op4_crf_quality(spark, sf_dir):
+    return crf_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
