@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_climbs.llm import mixing, quality_rules, simhash
+from spark_climbs.llm import mixing, pieces, quality_rules, simhash, suffix_dedup, tokenizers_at
 from spark_climbs.materialize import materialize
 
 
@@ -18,15 +18,27 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.first_of_each(docs)
 
 
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that start anywhere else too."""
+    return suffix_dedup.cut(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order, a row for every time a document is taken."""
     return mixing.mix(docs)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as piece ids, and as they decode."""
+    return pieces.encode(docs, tokenizers_at.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("quality_rules", rules),
     ("simhash", near_copies),
+    ("suffix_dedup", unrepeated),
     ("mixing", mixed),
+    ("pieces", encoded),
 ]
 
 #: The fingerprint stage hashes with XXH64 and follows links to any depth: not SQL's work.
