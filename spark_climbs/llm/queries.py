@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_climbs.llm import crf_quality, html_text, mixing, multi_index, pieces, quality_rules, simhash, suffix_dedup, token_output, tokenizers_at
+from spark_climbs.llm import crf_quality, html_text, interpolated_lm, mixing, multi_index, pieces, quality_rules, simhash, suffix_dedup, token_output, tokenizers_at
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op6_interpolated_lm(spark, sf_dir):
+    return interpolated_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.spans(_table(spark, sf_dir, "documents"))
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spark_climbs.llm import huffman
+from spark_climbs.llm.kept import kept
 from spark_climbs.materialize import checkpoint_dir, materialize
 
 END = 1
@@ -44,8 +45,6 @@ RANGE_ROWS, MAX_RANGES = 500, 100_000
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 600_000
 
-_TOKENIZERS: dict = {}
-
 
 class _Pieces(dict):
     """Ids of pieces as bytes, encoded in batches when they are missing."""
@@ -77,9 +76,7 @@ def _pieces(path: str) -> _Pieces:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = _Pieces(path)
-    return _TOKENIZERS[path]
+    return kept(("tokenizer", path), lambda: _Pieces(path))
 
 
 def encode(text: str | None, pieces: _Pieces) -> np.ndarray:
