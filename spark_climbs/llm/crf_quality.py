@@ -142,12 +142,12 @@ class Model:
     """Weights of the features, of the pairs of labels, and the share of good documents."""
 
     def __init__(self, width: int, prior: float):
-        self.weights, self.pair, self.prior = np.zeros(width), np.zeros((2, 2)), prior
+        self.weights, self.pair, self.prior, self.trained = np.zeros(width), np.zeros((2, 2)), prior, False
 
     def scores(self, measures: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(measures), self.prior)
         some = [k for k, m in enumerate(measures) if len(m)]
-        if not some:
+        if not some or not self.trained:
             return out
         x, packed = features([measures[k] for k in some])
         good, _ = forward_backward(x @ self.weights, self.pair, packed)
@@ -178,7 +178,7 @@ def train(measures: list[np.ndarray], labels: np.ndarray) -> Model:
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         theta += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    model.weights, model.pair = theta[:-4], theta[-4:].reshape(2, 2)
+    model.weights, model.pair, model.trained = theta[:-4], theta[-4:].reshape(2, 2), True
     return model
 
 

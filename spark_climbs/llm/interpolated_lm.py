@@ -280,7 +280,7 @@ def learn_weights(kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         share = parts * weights[bucket].T
         share *= counts / np.maximum(share.sum(axis=0), 1e-300)
-        sums = np.stack([np.bincount(bucket, s, minlength=BUCKETS) for s in share], axis=1)
+        sums = np.stack([np.bincount(bucket, s, minlength=BUCKETS) for s in share], axis=1).astype(float)
         # a part of one token for the uniform estimate: nothing is impossible
         sums[:, 2] += 1e-3
         seen = np.bincount(bucket, counts, minlength=BUCKETS) > 0

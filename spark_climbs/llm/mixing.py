@@ -15,7 +15,7 @@ Defined results: a null text has no words; a null source is a source of its own,
 ordered last; documents without words take part (they cost nothing); equal ids are
 told apart by their size, equal rows are interchangeable; an empty table gives an
 empty mix; columns of the documents are carried along untouched, whatever their
-names (those of this operator start with ``__mix_``).
+names.
 """
 
 from __future__ import annotations
@@ -140,9 +140,10 @@ def assign(documents: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=S
 def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:
     """The training order: a row for every time a document is taken, sorted by
     position over the partitions, with the columns of ``documents``."""
-    placed = assign(documents, weights, schedules, cap).withColumn("__mix_position", F.explode("__mix_positions"))
+    inner, outer = words.carried(documents, "doc_id", "source", "text")
+    placed = assign(inner, weights, schedules, cap).withColumn("__mix_position", F.explode("__mix_positions"))
     spread = placed.repartitionByRange("__mix_position", RANK).sortWithinPartitions("__mix_position", RANK)
-    return spread.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return outer(spread)
 
 
 def shares(documents: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:

@@ -37,8 +37,10 @@ from spark_climbs.operators.graph import components
 
 COSINE = 0.95
 #: Codewords of each half, the sample they are fitted on, and the recall to reach on it.
-CODEWORDS, SAMPLE, RECALL, ROUNDS = 64, 4000, 0.999, 12
+CODEWORDS, SAMPLE, RECALL, ROUNDS = 64, 4000, 1.0, 12
 CELLS = CODEWORDS * CODEWORDS
+#: Cells visited at least, for partners outside the sample.
+MIN_VISITS = 4
 #: Listed vectors of a part of a cell.
 PART = 500
 #: Queries compared at a time.
@@ -90,8 +92,9 @@ class Index:
 
     def __init__(self, sample: np.ndarray):
         half = sample.shape[1] // 2
-        self.half, self.visits = half, 1
+        self.half = half
         self.first, self.second = kmeans(sample[:, :half], CODEWORDS), kmeans(sample[:, half:], CODEWORDS)
+        self.visits = min(MIN_VISITS, len(self.first) * len(self.second))
         cells = self.cells(sample)
         ranks = []
         for start in range(0, len(sample), BLOCK):
@@ -100,9 +103,9 @@ class Index:
                 held = cells[np.flatnonzero(near[row])]
                 d1, d2 = self._distances(sample[start + row : start + row + 1])
                 grid = (d1[0][:, None] + d2[0]).ravel()
-                ranks += [int((grid < grid[c]).sum()) + 1 for c in held]
+                ranks.append(np.searchsorted(np.sort(grid), grid[held]) + 1)
         if ranks:
-            self.visits = int(np.quantile(ranks, RECALL, method="higher"))
+            self.visits = max(self.visits, int(np.quantile(np.concatenate(ranks), RECALL, method="higher")))
 
     def _distances(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return distances(points[:, : self.half], self.first), distances(points[:, self.half :], self.second)

@@ -189,4 +189,5 @@ def verdicts(documents: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(documents).filter("__kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+    inner, outer = words.carried(documents, "lang", "text")
+    return outer(judge(inner).filter("__kept"))

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spark_climbs.llm import words
 from spark_climbs.materialize import materialize
 from spark_climbs.operators.graph import components
 
@@ -165,11 +165,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def first_of_each(documents: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest id, and of equal ids the one
     with the smallest text hash. Documents keep their own columns."""
-    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    kept = groups(documents).withColumn("__group", F.coalesce("component_id", "fp")).groupBy("__group", F.col("component_id").isNull().alias("__none")).agg(F.min(key).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__doc"), F.col("k.text_key").alias("__key")).distinct()
-    rows = documents.withColumn("__text_key", F.xxhash64("text"))
+    inner, outer = words.carried(documents, "doc_id", "text")
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")
+    # a component without ids goes by its fingerprint
+    of = [F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("unnamed")]
+    kept = groups(inner).groupBy(*of).agg(smallest).select(F.col("k.doc_id").alias("__doc"), F.col("k.text_key").alias("__key"))
+    rows = inner.withColumn("__text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key"))
     once = Window.partitionBy("__doc", "__key").orderBy(F.lit(0))
-    found = rows.join(kept, same).withColumn("__copy", F.row_number().over(once)).filter("__copy = 1")
-    return found.select(*[F.col(f"`{c}`") for c in documents.columns])
+    found = rows.join(kept.distinct(), same).withColumn("__copy", F.row_number().over(once)).filter("__copy = 1")
+    return outer(found)

@@ -23,7 +23,7 @@ more can be repeated, and two equal strings lie alike around theirs.
 4. Spans are merged in each text and cut out.
 
 Tasks hold one text, or ``BATCH`` fragments, or the differing fragments of one core (58 bytes
-each). Grams, cores and texts are told apart by 64-bit hashes.
+each). Grams, cores, fragments and texts are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes and lose none; matches never cross
 documents; equal texts of 400 bytes or more are removed whole, in all rows, whatever
@@ -105,30 +105,34 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Core, both sides (padded beyond the text) and first start of every range."""
+    """Core, both sides (with their lengths, shorter at a text's ends), a hash of both and the
+    first start of every range."""
     import xxhash
 
     for batch in batches:
         for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places"))):
             raw = text.encode()
-            cores, sides, starts, last = [], [], [], len(raw) - LENGTH
+            cores, sides, kinds, starts, last = [], [], [], [], len(raw) - LENGTH
             for base in sorted({a - STARTS + 1 + r * WIDTH for a in places for r in range(RANGES)}):
                 low, high = max(base, 0), min(base + SIDE, last)
                 if low > high:
                     continue
-                cores.append(xxhash.xxh64_intdigest(raw[base + SIDE : base + LENGTH]))
+                core = xxhash.xxh64_intdigest(raw[base + SIDE : base + LENGTH])
                 left, right = raw[low : base + SIDE], raw[base + LENGTH : high + LENGTH]
                 # the sides with their lengths, so that padding is told from bytes
                 sides.append(bytes([len(left), len(right)]) + left + right)
+                cores.append(core)
+                kinds.append(xxhash.xxh64_intdigest(sides[-1], core))
                 starts.append(base)
             if cores:
                 columns = [
                     pa.array(np.array(cores, dtype=np.uint64).view(np.int64)),
                     pa.array(sides, pa.binary()),
+                    pa.array(np.array(kinds, dtype=np.uint64).view(np.int64)),
                     pa.array(np.full(len(cores), key, dtype=np.int64)),
                     pa.array(starts, pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["core", "sides", "key", "base"])
+                yield pa.RecordBatch.from_arrays(columns, ["core", "sides", "kind", "key", "base"])
 
 
 def _insert(order: np.ndarray, common: np.ndarray, group: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,30 +187,30 @@ def _spans_of(flags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated starts of every fragment of sorted ``core, sides``."""
+    """Runs of repeated starts of every fragment of sorted ``core, sides, kind``."""
 
-    def done(cores: np.ndarray, sides: list[bytes]) -> pa.RecordBatch:
+    def done(cores: np.ndarray, sides: list[bytes], kinds: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.r_[False, cores[1:] != cores[:-1]])
         found = _spans_of(repeated_starts(group, sides))
         columns = [
-            pa.array(cores[[r for r, _, _ in found]] if found else np.zeros(0, np.int64)),
-            pa.array([sides[r] for r, _, _ in found], pa.binary()),
+            pa.array(kinds[np.array([r for r, _, _ in found], dtype=np.int64)]),
             pa.array([a for _, a, _ in found], pa.int32()),
             pa.array([b for _, _, b in found], pa.int32()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["core", "sides", "first", "last"])
+        return pa.RecordBatch.from_arrays(columns, ["kind", "first", "last"])
 
-    cores, sides = np.zeros(0, np.int64), []
+    cores, kinds, sides = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for batch in batches:
         cores = np.concatenate([cores, batch.column("core").to_numpy()])
+        kinds = np.concatenate([kinds, batch.column("kind").to_numpy()])
         sides += batch.column("sides").to_pylist()
         if len(sides) >= BATCH:
             cut = int(np.searchsorted(cores, cores[-1]))
             if cut:
-                yield done(cores[:cut], sides[:cut])
-                cores, sides = cores[cut:], sides[cut:]
+                yield done(cores[:cut], sides[:cut], kinds[:cut])
+                cores, sides, kinds = cores[cut:], sides[cut:], kinds[cut:]
     if sides:
-        yield done(cores, sides)
+        yield done(cores, sides, kinds)
 
 
 def unique_texts(documents: DataFrame) -> DataFrame:
@@ -231,18 +235,17 @@ def repeated(texts: DataFrame) -> DataFrame:
     hits = materialize(listed.join(grams, F.col("gram") == F.col("twice")).select("key", "at", "mixed"), "hits")
     mixed = hits.filter("mixed").groupBy("key").agg(F.collect_list("at").alias("places")).withColumnRenamed("key", "own")
     fragments = texts.join(mixed, F.col("key") == F.col("own")).select("key", "text", "places")
-    rows = materialize(fragments.mapInArrow(_fragment_rows, "core long, sides binary, key long, base int"), "fragments")
-    kinds = rows.groupBy("core", "sides").agg(F.count("*").alias("members"))
-    kinds = materialize(kinds, "kinds")
+    schema = "core long, sides binary, kind long, key long, base int"
+    rows = materialize(fragments.mapInArrow(_fragment_rows, schema), "fragments")
+    kinds = materialize(rows.groupBy("core", "sides", "kind").agg(F.count("*").alias("members")), "kinds")
     cores = kinds.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core").alias("shared"))
-    varied = kinds.join(cores, F.col("core") == F.col("shared")).select("core", "sides")
+    varied = kinds.join(cores, F.col("core") == F.col("shared")).select("core", "sides", "kind")
     dealt = varied.repartition("core").sortWithinPartitions("core")
-    runs = dealt.mapInArrow(_repeated_rows, "core long, sides binary, first int, last int")
-    left = F.conv(F.hex(F.substring("sides", 1, 1)), 16, 10).cast("int")
-    right = F.conv(F.hex(F.substring("sides", 2, 1)), 16, 10).cast("int")
-    whole = kinds.filter("members > 1").select("core", "sides", (F.lit(SIDE) - left).alias("first"), right.alias("last"))
-    runs = runs.unionByName(whole).select(F.col("core").alias("c"), F.col("sides").alias("s"), "first", "last")
-    some = rows.join(runs, (F.col("core") == F.col("c")) & (F.col("sides") == F.col("s")))
+    runs = dealt.mapInArrow(_repeated_rows, "kind long, first int, last int")
+    length = lambda k: F.conv(F.hex(F.substring("sides", k, 1)), 16, 10).cast("int")
+    whole = kinds.filter("members > 1").select("kind", (F.lit(SIDE) - length(1)).alias("first"), length(2).alias("last"))
+    runs = runs.unionByName(whole).select(F.col("kind").alias("found"), "first", "last")
+    some = rows.select("kind", "key", "base").join(runs, F.col("kind") == F.col("found"))
     some = some.select("key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + LENGTH).alias("end"))
     alike = hits.filter(~F.col("mixed")).select("key", (F.col("at") - (STARTS - 1)).alias("start"), (F.col("at") + LENGTH).alias("end"))
     every = some.unionByName(alike).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -304,8 +307,8 @@ def spans(documents: DataFrame) -> DataFrame:
 def cut(documents: DataFrame) -> DataFrame:
     """The documents with what is left of their texts (characters cut in two go whole);
     those of which nothing is left are dropped. ``n_chars``, if there, is counted anew."""
-    kept = _cut_texts(documents).select(F.col("key").alias("__own"), F.col("kept").alias("__kept")).filter("__kept != ''")
-    rows = documents.withColumn("__key", _key()).drop("text")
-    joined = rows.join(kept, F.col("__key") == F.col("__own"))
-    new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
+    inner, outer = words.carried(documents, "text", "n_chars")
+    kept = _cut_texts(inner).filter("kept != ''").select(F.col("key").alias("own"), F.col("kept").alias("text"))
+    rows = inner.withColumn("key", _key()).drop("text").join(kept, F.col("key") == F.col("own"))
+    counted = {"n_chars": F.length("text").cast("long")} if "n_chars" in documents.columns else {}
+    return outer(rows.withColumns(counted))
