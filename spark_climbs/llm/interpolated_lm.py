@@ -334,6 +334,8 @@ def score(documents: DataFrame) -> DataFrame:
     counts = materialize(met.mapInArrow(_counted, schema), "lm_counts")
     kinds = counts.mapInArrow(_histogram(n, v), "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(kinds["kind"].to_numpy(dtype=np.int64), kinds["n"].to_numpy(dtype=np.float64))
+    if not n:
+        weights[:] = (0.0, 0.0, 1.0)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = counts.mapInArrow(_scored(n, v, weights), schema)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
