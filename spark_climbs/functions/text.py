@@ -9,12 +9,20 @@ NED_TILE_BASE_URL = "https://prd-tnm.s3.amazonaws.com/StagedProducts/Elevation/1
 
 
 def analysis_base_id(address: Column, surface_filter: Column, radius_km: Column) -> Column:
-    """``address_filter_radiuskm`` reduced to letters, digits, '_' and '-', 40 long."""
+    """``address_filter_radiuskm`` reduced to letters, digits, '_' and '-', 40 long. For
+    display: long addresses cut off filter and radius, see ``analysis_key``."""
     radius = F.replace(radius_km.cast("string"), F.lit("."), F.lit(""))
     raw = F.concat(address, F.lit("_"), surface_filter, F.lit("_"), radius, F.lit("km"))
     return F.substring(F.regexp_replace(raw, r"[^\p{L}\p{N}_-]", ""), 1, 40)
 
 
+def analysis_key(address: Column, surface_filter: Column, radius_km: Column) -> Column:
+    """The base id with a hash of the whole address, filter and radius: different
+    analyses never share it."""
+    whole = F.md5(F.concat_ws("\n", address, surface_filter, radius_km.cast("string")))
+    return F.concat(analysis_base_id(address, surface_filter, radius_km), F.lit("_"), F.substring(whole, 1, 16))
+
+
 def export_name(area: Column, surface_filter: Column, scope: Column, radius_km: Column) -> Column:
     """File name (no extension) of an exported report. Places named by the user
     (state, country) only have spaces replaced; addresses are also cleaned and

@@ -7,24 +7,16 @@ next round exact sizes, which is what the optimizer picks join strategies from.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the context's folder; only a single-machine
-    session without either gets a temporary one."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="spark-climbs-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """``spark.checkpoint.dir``, or the context's folder; else a folder of the session's
+    warehouse, which every executor reaches too. Never a machine's temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediates").rstrip("/")
 
 
 def _session_dir(spark: SparkSession) -> str:
@@ -36,19 +28,26 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     spark = df.sparkSession
     path = f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.__dict__["_materialized_at"] = path
+    return written
 
 
-def drop_intermediates(spark: SparkSession) -> None:
-    """Delete every table this application has materialized. DataFrames built on them
-    can no longer be computed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a row count; a larger table is joined by shuffle, where
-    adaptive execution splits skewed keys."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return broadcast(df)
-    return df
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more, as those of the round
+    before the last. Anything else is left alone."""
+    for table in tables:
+        path = None if table is None else table.__dict__.pop("_materialized_at", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete every table this application has materialized. DataFrames built on them
+    can no longer be computed."""
+    _delete(spark, _session_dir(spark))

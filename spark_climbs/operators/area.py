@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_climbs.functions.geo import KM_PER_DEGREE, haversine_km, lon_difference
-from spark_climbs.materialize import broadcast_if_small
 
 DEFAULT_CHUNK_KM = 8.0
 
@@ -96,7 +95,7 @@ def assign_chunks(
     """
     centers = chunks.select("area_id", "center_lat", "center_lon", "radius_km").distinct()
     if "area_id" in way_nodes.columns:
-        located = way_nodes.select("area_id", "way_id", "lat", "lon").join(broadcast_if_small(centers), "area_id")
+        located = way_nodes.select("area_id", "way_id", "lat", "lon").join(centers, "area_id")
     else:
         found = centers.limit(2).collect()
         if len(found) != 1:

@@ -5,21 +5,14 @@ Both steps work on the narrow form of segments (``segment_ends``).
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_climbs.functions.geo import EARTH_RADIUS_KM, cartesian_m, haversine_km, is_valid_coord
-from spark_climbs.materialize import materialize
+from spark_climbs.functions.geo import cartesian_m, haversine_km, is_valid_coord
+from spark_climbs.materialize import discard, materialize
 
 DEFAULT_TOLERANCE_M = 10.0
 
-# Contested segments that one task may finish; more of them take another round.
-FINISH_ROWS = 50_000
-
 _ENDS = ("start_lat", "start_lon", "end_lat", "end_lon")
 
 
@@ -76,19 +69,18 @@ def _first_kept(ends: DataFrame, tol_m: float) -> DataFrame:
     * everything alike to a kept segment is dropped.
 
     Offers are at most one per cell pair, so a crowded place costs rows, not
-    pairs of rows. Undecided rows are the only input of the next round; a small
-    remainder, counted first, is finished in one task.
+    pairs of rows. Undecided rows are the only input of the next round, whatever
+    their number; the first of them is decided in each, so the rounds end.
     """
     first = ends.groupBy(*_ENDS).agg(F.min("seq").alias("seq"))
     undecided = materialize(_with_cells(first, tol_m), "undecided")
     kept = None
-    while kept is None or (n_left := undecided.count()) > FINISH_ROWS:
+    while kept is None or not undecided.isEmpty():
         winners = materialize(_unopposed(_offers(undecided), tol_m), "kept")
         kept = winners if kept is None else kept.unionByName(winners)
-        undecided = materialize(_without_alike(undecided, winners, tol_m), "undecided")
-    if n_left:
-        rest = undecided.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: _scan(pdf, tol_m), undecided.schema)
-        kept = kept.unionByName(rest)
+        before, undecided = undecided, materialize(_without_alike(undecided, winners, tol_m), "undecided")
+        discard(before)
+    discard(undecided)
     return kept
 
 
@@ -158,37 +150,3 @@ def _unopposed(offers: DataFrame, tol_m: float) -> DataFrame:
 def _without_alike(undecided: DataFrame, winners: DataFrame, tol_m: float) -> DataFrame:
     here, there = _in_block(undecided).alias("m"), _in_reached_blocks(winners).alias("r")
     return here.join(there, (F.col("m.block") == F.col("r.block")) & _alike("m", "r", tol_m), "left_anti").drop("block")
-
-
-def _scan(pdf: pd.DataFrame, tol_m: float) -> pd.DataFrame:
-    """Greedy scan of a small, counted remainder."""
-    pdf = pdf.sort_values("seq", ignore_index=True)
-    points = pdf[list(_ENDS)].to_numpy()
-    radians = np.radians(points)
-    rows = {}
-    for name, column in (("start", 0), ("end", 2)):
-        lat, lon = radians[:, column], radians[:, column + 1]
-        rows[name] = np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
-    cells = np.floor(rows["start"] * EARTH_RADIUS_KM * 1000.0 / (tol_m * 1.2)).astype(np.int64)
-    kept_in: dict[tuple, list[int]] = defaultdict(list)
-    keep = []
-    for k, (x, y, z) in enumerate(cells.tolist()):
-        near = [
-            other
-            for dx in (-1, 0, 1)
-            for dy in (-1, 0, 1)
-            for dz in (-1, 0, 1)
-            for other in kept_in.get((x + dx, y + dy, z + dz), ())
-        ]
-        if not near or not (_arc_m(radians[k], radians[near]) < tol_m).all(axis=1).any():
-            kept_in[x, y, z].append(k)
-            keep.append(k)
-    return pdf.iloc[keep]
-
-
-def _arc_m(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Metres from both ends of one segment to the same ends of many."""
-    sin_lat = np.sin((many[:, [0, 2]] - one[[0, 2]]) / 2)
-    sin_lon = np.sin((many[:, [1, 3]] - one[[1, 3]]) / 2)
-    a = sin_lat**2 + np.cos(one[[0, 2]]) * np.cos(many[:, [0, 2]]) * sin_lon**2
-    return 2 * EARTH_RADIUS_KM * 1000.0 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0)))

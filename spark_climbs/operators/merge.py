@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_climbs.materialize import broadcast_if_small, materialize
+from spark_climbs.materialize import materialize
 from spark_climbs.operators.chains import (
     CLAIM_COLUMNS,
     END_ARM,
@@ -34,10 +34,8 @@ from spark_climbs.operators.roads import segment_ends
 
 DEFAULT_TOLERANCE_DEG = 0.002
 
-# A tile is this many tolerances wide; one with more ends than the limit is cut finer.
+# A tile is this many tolerances wide.
 TILE_TOLERANCES = 80
-FINE_TILE_TOLERANCES = 5
-TILE_LIMIT = 200_000
 
 ROWS_PER_TASK = 2_000
 
@@ -49,7 +47,6 @@ def endpoint_members(
     tol_deg: float = DEFAULT_TOLERANCE_DEG,
     split_on_surface: bool = False,
     tile_deg: float | None = None,
-    tile_limit: int = TILE_LIMIT,
 ) -> DataFrame:
     """Cross-chunk merge of ``segment_ends`` rows (with two or more nodes) to ``members``.
 
@@ -63,13 +60,17 @@ def endpoint_members(
     carry their place in the order of the scan and each depends only on earlier
     ones, so what remains is exactly the result of one scan over everything. A
     street of any size is thus never brought into one task, and after the first
-    round only tiles along a changed border work.
+    round only tiles along a changed border work. Pieces without valid ends are roads
+    of their own.
     """
     if tile_deg is not None and tile_deg < tol_deg * 2.5:
         raise ValueError("a tile must be wider than two tolerances")
     parts = ["street_name", "surface"] if split_on_surface else ["street_name"]
     pieces = ends.select("seq", F.concat_ws("\0", *parts).alias("street"), "n_nodes", "start_lat", "start_lon", "end_lat", "end_lon")
-    known = materialize(_known_pieces(pieces, tol_deg, tile_deg or tol_deg * TILE_TOLERANCES, tile_limit), "tiles")
+    located = pieces
+    for c in ("start_lat", "start_lon", "end_lat", "end_lon"):
+        located = located.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    known = materialize(_known_pieces(located, tol_deg, tile_deg or tol_deg * TILE_TOLERANCES), "tiles")
     shared = known.filter("shared").select("tile", "seq")
 
     n_tasks = _scan_tasks(known)
@@ -98,62 +99,31 @@ def _tile_key(street: Column, lat: Column, lon: Column, size: float) -> Column:
     return F.xxhash64(street, F.lit(size), F.floor(lat / size), F.floor(lon / size))
 
 
-def _known_pieces(pieces: DataFrame, tol: float, size: float, limit: int) -> DataFrame:
+def _known_pieces(pieces: DataFrame, tol: float, size: float) -> DataFrame:
     """``(tile, piece)`` rows: a piece is known to the tiles of its ends and to those
     whose core lies within the tolerance of an end. ``start_in`` / ``end_in`` tell
     which ends lie in the core; ``shared`` pieces are known to other tiles too."""
-    fine = min(size, tol * FINE_TILE_TOLERANCES)
     reach = tol * 1.001
-    street = F.col("street")
-
-    def corners(key) -> list[Column]:
-        return [
-            key(F.col(f"{end}_lat") + F.lit(i * reach), F.col(f"{end}_lon") + F.lit(j * reach))
-            for end in ("start", "end")
-            for i in (-1, 1)
-            for j in (-1, 1)
-        ]
-
-    def coarse_key(lat: Column, lon: Column) -> Column:
-        return _tile_key(street, lat, lon, size)
-
-    def fine_key(lat: Column, lon: Column) -> Column:
-        return _tile_key(street, lat, lon, fine)
-
-    per_tile = pieces.select(F.explode(F.array(coarse_key(F.col("start_lat"), F.col("start_lon")), coarse_key(F.col("end_lat"), F.col("end_lon")))).alias("tile"))
-    crowded = materialize(per_tile.groupBy("tile").count().filter(F.col("count") > limit).select("tile"), "crowded")
-
-    if crowded.isEmpty():
-        tiles = F.array_distinct(F.array(*corners(coarse_key)))
-        known = pieces.withColumn("shared", F.size(tiles) > 1).withColumn("tile", F.explode(tiles))
-        homes = {end: coarse_key(F.col(f"{end}_lat"), F.col(f"{end}_lon")) for end in ("start", "end")}
-        return known.withColumns({f"{end}_in": home == F.col("tile") for end, home in homes.items()})
-
-    # Tiles per corner, finer where the coarse one is crowded.
-    both = [
-        F.struct(c.alias("coarse"), f.alias("fine"), F.lit(end).alias("end"))
-        for c, f, end in zip(
-            corners(coarse_key) + [coarse_key(F.col(f"{e}_lat"), F.col(f"{e}_lon")) for e in ("start", "end")],
-            corners(fine_key) + [fine_key(F.col(f"{e}_lat"), F.col(f"{e}_lon")) for e in ("start", "end")],
-            [""] * 8 + ["start", "end"],
-        )
+
+    def key(lat: Column, lon: Column) -> Column:
+        return _tile_key(F.col("street"), lat, lon, size)
+
+    corners = [
+        key(F.col(f"{end}_lat") + F.lit(i * reach), F.col(f"{end}_lon") + F.lit(j * reach))
+        for end in ("start", "end")
+        for i in (-1, 1)
+        for j in (-1, 1)
     ]
-    cut = broadcast_if_small(crowded.select(F.col("tile").alias("coarse"), F.lit(True).alias("cut")))
-    placed = pieces.select("*", F.inline(F.array(*both))).join(cut, "coarse", "left")
-    tile = F.when(F.col("cut"), F.col("fine")).otherwise(F.col("coarse"))
-    return (
-        placed.withColumn("tile", tile)
-        .groupBy(*pieces.columns, "tile")
-        .agg(F.bool_or(F.col("end") == "start").alias("start_in"), F.bool_or(F.col("end") == "end").alias("end_in"))
-        .withColumn("shared", F.lit(True))
-    )
+    tiles = F.array_distinct(F.array(*corners))
+    known = pieces.withColumn("shared", F.size(tiles) > 1).withColumn("tile", F.explode(tiles))
+    homes = {end: key(F.col(f"{end}_lat"), F.col(f"{end}_lon")) for end in ("start", "end")}
+    return known.withColumns({f"{end}_in": home == F.col("tile") for end, home in homes.items()})
 
 
 def _scan_tasks(rows: DataFrame) -> int:
-    """Tasks for a scan of a written table: its work is in its steps and not in its
-    bytes, which is what adaptive coalescing goes by."""
-    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, rows.count() // ROWS_PER_TASK))
+    """Tasks for a scan of a written table, in proportion to its rows: its work is in
+    its steps and not in its bytes, which is what adaptive coalescing goes by."""
+    return max(1, rows.count() // ROWS_PER_TASK)
 
 
 def _play(known: DataFrame, visible: DataFrame | None, tol: float, n_tasks: int) -> DataFrame:

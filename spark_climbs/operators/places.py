@@ -117,19 +117,15 @@ def geocode(addresses: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _parts(text: Column, longest: int) -> Column:
-    """Every distinct substring up to a length, the empty one included."""
+def _parts(text: Column, lengths: list[int]) -> Column:
+    """Every distinct substring of one of the lengths, the empty one included."""
     length = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(length, F.lit(1)))
-    cut = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(0), F.least(length - s + 1, F.lit(longest))), lambda n: F.substr(text, s, n)
-            ),
-        )
-    )
-    return F.array_distinct(F.when(length > 0, cut).otherwise(F.array(F.lit(""))))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1)))
+        return F.when(length >= n, F.transform(starts, lambda s: F.substr(text, s, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in lengths if n > 0]))
 
 
 def resolve_region(names: DataFrame, bounds: DataFrame, kind: str) -> DataFrame:
@@ -143,9 +139,11 @@ def resolve_region(names: DataFrame, bounds: DataFrame, kind: str) -> DataFrame:
     )
     wanted = names.select("name").distinct().withColumn("key", F.lower(strip(F.col("name"))))
     keys = wanted.select("key").distinct()
-    longest = listed.agg(F.coalesce(F.max(F.length("listed_name")), F.lit(0))).first()[0]
-    around = listed.select("listed_name", "ord", "area", F.explode(_parts(F.col("listed_name"), longest)).alias("key"))
-    inside = keys.select("key", F.explode(_parts(F.col("key"), longest)).alias("listed_name")).join(listed, "listed_name")
+    # a few dozen lengths of names; only such parts can be a listed name, or hold a key
+    lengths = [r[0] for r in listed.select(F.length("listed_name")).distinct().collect() if r[0] is not None]
+    every = list(range(1, max(lengths, default=0) + 1))
+    around = listed.select("listed_name", "ord", "area", F.explode(_parts(F.col("listed_name"), every)).alias("key"))
+    inside = keys.select("key", F.explode(_parts(F.col("key"), lengths)).alias("listed_name")).join(listed, "listed_name")
     matches = keys.join(around, "key").unionByName(inside)
     best = matches.groupBy("key").agg(
         F.min_by(
@@ -167,6 +165,13 @@ def resolve_region(names: DataFrame, bounds: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def suggest_regions(bounds: DataFrame, kind: str, n: int = 20) -> DataFrame:
-    """First listed names of a kind, alphabetically."""
-    return bounds.filter(F.col("kind") == kind).select("name").orderBy("name").limit(n)
+# Fixed value: country names shown; states are listed in full.
+SHOWN_COUNTRIES = 20
+
+
+def suggest_regions(bounds: DataFrame, kind: str, n: int | None = None) -> DataFrame:
+    """Listed names of a kind, alphabetically: all states, the first countries, or ``n``."""
+    if n is None and kind == "country":
+        n = SHOWN_COUNTRIES
+    names = bounds.filter(F.col("kind") == kind).select("name").orderBy("name")
+    return names if n is None else names.limit(n)

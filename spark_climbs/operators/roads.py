@@ -60,7 +60,7 @@ def derive_road_attributes(ways: DataFrame) -> DataFrame:
     )
 
 
-def dedup_ways(ways: DataFrame, *scope: str, order: str = "pos") -> DataFrame:
+def dedup_ways(ways: DataFrame, *scope: str, order: str | Column = "pos") -> DataFrame:
     """First of every way id within a scope (a chunk): an aggregate with map-side
     combine, so many copies of one way never meet in one task."""
     keys = [*scope, "way_id"]
@@ -69,6 +69,12 @@ def dedup_ways(ways: DataFrame, *scope: str, order: str = "pos") -> DataFrame:
     return ways.groupBy(*keys).agg(first).select(*keys, "first.*").select(*ways.columns)
 
 
+def first_of_ways(ways: DataFrame, *scope: str) -> DataFrame:
+    """``dedup_ways`` in the order of the input's ``pos``, or, without one, of the
+    geometry's hash: the same way of every set of copies each time."""
+    return dedup_ways(ways, *scope, order="pos" if "pos" in ways.columns else F.xxhash64("nodes"))
+
+
 def segments_from_ways(ways: DataFrame, seq: Column | None = None) -> DataFrame:
     """One segment per named way with more than one node. Without an explicit
     total order the way id is the order."""

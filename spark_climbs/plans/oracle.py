@@ -413,7 +413,7 @@ def all_sql() -> dict[str, str]:
         "flagship": _area_report(True, 150.0 * 1.60934, "all"),
         "resolve_region": _region("state", "39.0 -98.0 400.0"),
         "resolve_region_country": _region("country", "0.0 0.0 1000.0"),
-        "suggest_regions": _REGIONS + "select name from bounds where kind = 'state' order by name limit 20",
+        "suggest_regions": _REGIONS + "select name from bounds where kind = 'state' order by name",
         "geocode_candidates": _GEOCODE + "select address_id, rank, query from tries",
         "geocode": _GEOCODE + """,
             best as (select address_id, rank, lat, lon, address from tries join hit using (query)

@@ -14,7 +14,7 @@ from spark_climbs.operators.merge import endpoint_members, merged_roads, road_no
 from spark_climbs.operators.metrics import climb_metrics
 from spark_climbs.operators.places import attach_location
 from spark_climbs.operators.report import report
-from spark_climbs.operators.roads import segment_ends, segments_from_ways, surface_filter
+from spark_climbs.operators.roads import first_of_ways, segment_ends, segments_from_ways, surface_filter
 
 DEFAULT_RADIUS_KM = 15.0
 
@@ -63,11 +63,12 @@ def select_segments(
     surface: str = "all",
     seq: Column | None = None,
 ) -> DataFrame:
-    """Segments of the ways of a kind within the radius; everywhere without a centre."""
+    """Segments of the ways of a kind within the radius; everywhere without a centre.
+    A way listed more than once (as in overlapping documents) counts once."""
     chosen = surface_filter(ways, surface)
     if center is not None:
         chosen = ways_within_radius(chosen, *center, radius_km)
-    return segments_from_ways(chosen, seq)
+    return segments_from_ways(first_of_ways(chosen), seq)
 
 
 def analyze_area(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from spark_climbs.materialize import materialize
 from spark_climbs.operators.area import DEFAULT_CHUNK_KM, assign_chunks
 from spark_climbs.operators.elevation import KEY, distinct_coords, missing_elevations
 from spark_climbs.operators.merge import merge_by_node_id
-from spark_climbs.operators.roads import segments_from_ways, surface_filter
+from spark_climbs.operators.roads import first_of_ways, segments_from_ways, surface_filter
 from spark_climbs.plans.pipeline import climbs_from_segments, locate_and_report, long_nodes
 from spark_climbs.sources.stages import (
     append_elevation_cache,
@@ -125,8 +125,8 @@ def process_chunks(
         todo = remaining_chunks(chunks, read_table(spark, f"{base}/status", schemas.CHUNK_STATUS))
     todo = materialize(todo.withColumn("batch", F.pmod(F.xxhash64("chunk_index"), F.lit(n_batches)).cast("int")), "todo")
     if todo.isEmpty():
-        return read_stage(spark, f"{base}/segments", SEGMENTS, analysis_id)
-    chosen = surface_filter(ways, surface).select("way_id", "tags", "nodes")
+        return saved_segments(spark, base, analysis_id)
+    chosen = first_of_ways(surface_filter(ways, surface)).select("way_id", "tags", "nodes")
     nodes = chosen.select("way_id", F.inline("nodes"))
     placed = assign_chunks(nodes, todo, size_km, cover).join(todo.select("chunk_index", "batch"), "chunk_index")
     # Split by batch once, so that the ways are not scanned again for every batch.
@@ -145,14 +145,23 @@ def process_chunks(
                 F.col("road_id").alias("seq"),
                 *[c for c in SEGMENTS.names if c not in ("analysis_id", "chunk_index", "seq")],
             )
+            merged = materialize(merged, "chunk-roads")
             write_stage(merged, f"{base}/segments")
         except Exception:
             _save_status(mine, base, F.lit("failed"), F.lit(0))
             raise
-        saved = read_stage(spark, f"{base}/segments", SEGMENTS, analysis_id).groupBy("chunk_index").agg(F.count("*").alias("n"))
+        saved = merged.groupBy("chunk_index").agg(F.count("*").alias("n"))
         counted = mine.join(saved, "chunk_index", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         _save_status(counted, base, F.when(F.col("n") > 0, "ok").otherwise("empty"), F.col("n"))
-    return read_stage(spark, f"{base}/segments", SEGMENTS, analysis_id)
+    return saved_segments(spark, base, analysis_id)
+
+
+def saved_segments(spark: SparkSession, base: str, analysis_id: str) -> DataFrame:
+    """Saved segments of the chunks whose last status says that they hold some. What an
+    earlier run left in a chunk that is empty now, or failed since, is not read."""
+    status = read_table(spark, f"{base}/status", schemas.CHUNK_STATUS).filter(F.col("analysis_id") == analysis_id)
+    last = status.groupBy("chunk_index").agg(F.max_by("status", "ts").alias("status")).filter("status = 'ok'")
+    return read_stage(spark, f"{base}/segments", SEGMENTS, analysis_id).join(last.select("chunk_index"), "chunk_index", "left_semi").select(*SEGMENTS.names)
 
 
 def _save_status(chunks: DataFrame, base: str, status, n_segments) -> None:
@@ -192,6 +201,6 @@ def finish_analysis(
 ) -> DataFrame:
     """Report of an analysis from its saved segments."""
     spark = places.sparkSession
-    segments = read_stage(spark, f"{base}/segments", SEGMENTS, analysis_id).drop("analysis_id", "chunk_index")
+    segments = saved_segments(spark, base, analysis_id).drop("analysis_id", "chunk_index")
     elevation = enrich_incremental(distinct_coords(long_nodes(segments)), elevation_source, f"{base}/elevation")
     return locate_and_report(climbs_from_segments(segments, elevation), places, center, unit_system, min_score)

@@ -31,9 +31,8 @@ def test_drops_only_what_a_kept_segment_rules_out(spark):
     assert kept(spark, line) == [0, 2]
 
 
-@pytest.mark.parametrize("seed,n,spread,finish", [(1, 60, 30, 50_000), (2, 80, 25, 0), (3, 60, 12, 0)])
-def test_same_as_one_scan(spark, monkeypatch, seed, n, spread, finish):
-    monkeypatch.setattr(dedup, "FINISH_ROWS", finish)
+@pytest.mark.parametrize("seed,n,spread", [(1, 60, 30), (2, 80, 25), (3, 60, 12)])
+def test_same_as_one_scan(spark, seed, n, spread):
     segments = crowd(seed, n, spread)
     segments += [(1000 + s, a, b) for s, a, b in segments[:20]]  # exact copies
     random.Random(seed).shuffle(segments)

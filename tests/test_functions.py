@@ -133,3 +133,11 @@ def test_geo(spark):
 
 def test_osm_link(spark):
     assert one(spark, scoring.osm_link(F.lit(7))) == "[7](https://www.openstreetmap.org/way/7)"
+
+
+def test_long_addresses_keep_their_analyses_apart(spark):
+    rows = [("a very long address of more than forty letters, somewhere", kind, radius) for kind in ("paved", "dirt") for radius in (10.0, 50.0)]
+    df = spark.createDataFrame(rows, "address string, kind string, radius double")
+    args = (F.col("address"), F.col("kind"), F.col("radius"))
+    assert df.select(text.analysis_base_id(*args)).distinct().count() == 1
+    assert df.select(text.analysis_key(*args)).distinct().count() == 4

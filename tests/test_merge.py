@@ -44,7 +44,7 @@ def random_pieces(seed, n, box):
     [
         (1, 150, 0.1, {}),
         (2, 150, 0.05, {"tile_deg": 0.02}),
-        (3, 120, 0.05, {"tile_deg": 0.03, "tile_limit": 20}),
+        (3, 120, 0.05, {"tile_deg": 0.01}),
     ],
 )
 def test_same_roads_as_one_scan(spark, seed, n, box, options):
@@ -96,7 +96,7 @@ def test_crowded_street_has_no_pairs(spark):
     rnd = random.Random(4)
     pieces = [(k, "service", [(1.0, 1.0), (1.0 + rnd.uniform(0.01, 0.5), 1.0 + rnd.uniform(0.01, 0.5))]) for k in range(400)]
     roads = build_roads(pieces)
-    members = merge.endpoint_members(merge.segment_ends(segments(spark, pieces)), tile_limit=100)
+    members = merge.endpoint_members(merge.segment_ends(segments(spark, pieces)))
     assert members.select("road_id").distinct().count() == len(roads)
 
 
@@ -113,3 +113,12 @@ def test_merge_by_node_id(spark):
     assert sorted(list(r.way_ids) for r in out) == [[0], [1, 2], [3], [4]]
     joined = next(r for r in out if r.road_id == 1)
     assert [n.node_id for n in joined.nodes] == ["a", "b", "c"]
+
+
+def test_pieces_without_ends_are_roads_of_their_own(spark):
+    pieces = [(0, "A", []), (1, "A", []), (2, "A", [(0.0, 0.0), (0.01, 0.0)]), (3, "A", [(0.01, 0.0), (0.02, 0.0)])]
+    members = merge.endpoint_members(merge.segment_ends(segments(spark, pieces))).collect()
+    roads = {}
+    for m in members:
+        roads.setdefault(m.road_id, set()).add(m.seq)
+    assert sorted(map(sorted, roads.values())) == [[0], [1], [2, 3]]

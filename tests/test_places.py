@@ -95,3 +95,10 @@ def test_observed_counts(spark):
     seen, counts = observed(spark.range(10), "run", n=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
     seen.write.format("noop").mode("overwrite").save()
     assert counts.get == {"n": 10, "even": 5}
+
+
+def test_all_states_and_the_first_countries(spark):
+    rows = [(f"{kind} {k:02d}", kind) for kind in ("state", "country") for k in range(25)]
+    bounds = spark.createDataFrame(rows, "name string, kind string")
+    assert places.suggest_regions(bounds, "state").count() == 25
+    assert [r.name for r in places.suggest_regions(bounds, "country").collect()] == [f"country {k:02d}" for k in range(20)]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spark_climbs import fixtures as X
-from spark_climbs.materialize import broadcast_if_small, drop_intermediates, materialize
+from spark_climbs.materialize import discard, drop_intermediates, materialize
 from spark_climbs.operators import area, dedup, elevation, metrics, places, roads
 from spark_climbs.plans import catalog
 
@@ -65,11 +65,6 @@ def test_crowded_coordinate_joins_whole(spark):
     assert elevation.attach_elevation(nodes, elev).filter("elevation = 5").count() == 3000
 
 
-def test_broadcast_needs_a_small_table(spark):
-    assert "BROADCAST" in str(broadcast_if_small(spark.range(5), 10)._jdf.queryExecution().logical().toString()).upper()
-    assert "ResolvedHint" not in broadcast_if_small(spark.range(50), 10)._jdf.queryExecution().analyzed().toString()
-
-
 def test_intermediates_can_be_dropped(spark):
     table = materialize(spark.range(3).toDF("x"), "t")
     assert table.count() == 3
@@ -79,3 +74,12 @@ def test_intermediates_can_be_dropped(spark):
     assert os.path.isdir(folder)
     drop_intermediates(spark)
     assert not os.path.isdir(folder)
+
+
+def test_tables_of_earlier_rounds_can_be_deleted(spark):
+    import os
+
+    table = materialize(spark.range(3).toDF("x"), "t")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    discard(table, None, spark.range(2))
+    assert not os.path.isdir(folder)

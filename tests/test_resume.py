@@ -90,3 +90,20 @@ def test_find_resumable(spark):
     cached = spark.createDataFrame([("a_2",), ("a_2",)], "analysis_id string")
     found = resume.find_resumable(analyses, status, cached, "a").first()
     assert (found.analysis_id, found.phase, found.percentage, found.elevation_coords) == ("a_2", "elevation_fetching", 100.0, 2)
+
+
+def test_ways_given_twice_count_once(spark, tmp_path):
+    ways = X.plain_ways(spark, SF)
+    grid = chunks(spark, "twice")
+    options = {"size_km": 16.0, "n_batches": 2}
+    want = resume.process_chunks(ways, grid, str(tmp_path / "a"), "twice", **options)
+    got = resume.process_chunks(ways.unionByName(ways), grid, str(tmp_path / "b"), "twice", **options)
+    columns = ["chunk_index", "seq", "way_ids", "street_name"]
+    assert want.count() and sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_chunk_that_is_empty_now_is_not_read(spark, tmp_path):
+    base = str(tmp_path)
+    paved = run(spark, base, "again", surface="paved").count()
+    none = resume.process_chunks(X.plain_ways(spark, SF).limit(0), chunks(spark, "again"), base, "again", size_km=16.0, n_batches=2, resume=False)
+    assert paved > 0 and none.count() == 0
