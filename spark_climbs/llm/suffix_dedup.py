@@ -34,7 +34,6 @@ processed whole; other columns are not read by ``spans`` and are carried by ``cu
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_climbs.llm import words
-from spark_climbs.materialize import materialize
+from spark_climbs.materialize import materialize, save_bucketed
 
 LENGTH, GRAM, RANGES = 400, 256, 5
 STARTS = LENGTH - GRAM + 1
@@ -215,15 +214,11 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def unique_texts(documents: DataFrame) -> DataFrame:
     """``key, n, text`` of every different text, in buckets of the key."""
-    spark = documents.sparkSession
     text = words.whole(F.col("text"))
     found = documents.select(F.xxhash64(text).alias("key"), text.alias("text")).groupBy("key").agg(
         F.count("*").alias("n"), F.first("text").alias("text")
     )
-    name = f"unique_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.write.format("parquet").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
-    return spark.table(name)
+    return save_bucketed(found, "unique_texts", "key")
 
 
 def repeated(texts: DataFrame) -> DataFrame:
