@@ -8,6 +8,8 @@ next round exact sizes, which is what the optimizer picks join strategies from.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,49 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     df.write.parquet(path, partitionBy=partition_by)
     written = spark.read.schema(df.schema).parquet(path)
     written.__dict__["_materialized_at"] = path
+    for made in _OPEN:
+        made.append((spark, path, None))
     return written
 
 
+def save_bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed and sorted by a column, so that joins on it
+    read the table without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    for made in _OPEN:
+        made.append((spark, f"/{name}", name))
+    return spark.table(name)
+
+
+#: Lists in which open ``made_here`` blocks note tables.
+_OPEN: list[list] = []
+
+
+@contextmanager
+def made_here() -> Iterator[Callable[[list[str]], None]]:
+    """Note the tables written inside the block; gives what deletes them, but for those
+    that hold one of the given files (which something still reads)."""
+    made: list = []
+
+    def delete(read: list[str]) -> None:
+        for spark, path, table in made:
+            if any(path in f for f in read):
+                continue
+            if table is None:
+                _delete(spark, path)
+            else:
+                spark.sql(f"drop table if exists {table}")
+
+    _OPEN.append(made)
+    try:
+        yield delete
+    finally:
+        _OPEN.remove(made)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
