@@ -69,10 +69,12 @@ def dedup_ways(ways: DataFrame, *scope: str, order: str | Column = "pos") -> Dat
     return ways.groupBy(*keys).agg(first).select(*keys, "first.*").select(*ways.columns)
 
 
-def first_of_ways(ways: DataFrame, *scope: str) -> DataFrame:
-    """``dedup_ways`` in the order of the input's ``pos``, or, without one, of the
-    geometry's hash: the same way of every set of copies each time."""
-    return dedup_ways(ways, *scope, order="pos" if "pos" in ways.columns else F.xxhash64("nodes"))
+def first_of_ways(ways: DataFrame, order: Column | None = None) -> DataFrame:
+    """``dedup_ways`` in a given order, else in that of the input's ``pos``, else by a hash
+    of the content: the same one of every set of copies each time."""
+    if order is None:
+        order = F.col("pos") if "pos" in ways.columns else F.xxhash64("nodes", F.to_json("tags"))
+    return dedup_ways(ways, order=order)
 
 
 def segments_from_ways(ways: DataFrame, seq: Column | None = None) -> DataFrame:

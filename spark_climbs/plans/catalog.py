@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from spark_climbs import fixtures as X
 from spark_climbs.functions import geo, scoring, tags, text
-from spark_climbs.materialize import materialize
+from spark_climbs.materialize import checkpoint_dir, materialize
 from spark_climbs.operators import area, dedup, elevation, graph, merge, metrics, places, report, roads
 from spark_climbs.plans import pipeline, resume
-from spark_climbs.sources import overpass, tiles
+from spark_climbs.sources import overpass, tables, tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -342,6 +343,21 @@ def missing_elevations(spark, d):
     return elevation.missing_elevations(coords, X.elevation(spark, d))
 
 
+def _folder(spark, label: str) -> str:
+    """A new folder beside the intermediate tables."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def elevation_cache(spark, d):
+    """Elevations looked up for every second coordinate, then for all: the second call looks
+    up only what the cache does not hold, and reads the rest from it."""
+    path = _folder(spark, "elevation-cache")
+    coords = elevation.distinct_coords(X.way_nodes(spark, d).drop("lat_e6", "lon_e6"))
+    resume.enrich_incremental(coords.filter(F.col("lat_e6") % 2 == 0), X.elevation(spark, d), path)
+    return resume.enrich_incremental(coords, X.elevation(spark, d), path)
+
+
 def _way_climbs(spark, d) -> DataFrame:
     """Climbs of single ways, no merging."""
     segments = _plain_segments(spark, d)
@@ -464,6 +480,14 @@ def single_way_report(spark, d):
     return pipeline.locate_and_report(climbs, X.places(spark, d), CENTER, "imperial")
 
 
+@query
+def report_roundtrip(spark, d):
+    """The report of single ways as a user reads it from its files."""
+    path = _folder(spark, "report")
+    tables.write_report(single_way_report(spark, d), path, "parquet")
+    return spark.read.parquet(path)
+
+
 @query
 def flagship(spark, d):
     """Ranked report of an area: select, deduplicate, merge, measure, locate."""

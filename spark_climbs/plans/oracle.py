@@ -378,6 +378,7 @@ def all_sql() -> dict[str, str]:
         "distinct_coords": nodes + "select distinct lat_e6, lon_e6 from nodes",
         "attach_elevation": nodes + "select way_id, idx::int as idx, lat_e6, lon_e6, elevation from nodes left join elev using (lat_e6, lon_e6)",
         "missing_elevations": nodes + "select distinct lat_e6, lon_e6 from nodes except select lat_e6, lon_e6 from elev",
+        "elevation_cache": nodes + "select lat_e6, lon_e6, elevation from elev",
         "sample_elevation_grid": nodes + """,
             coord as (select distinct lat_e6, lon_e6, floor(lat_e6 / 500.0)::bigint as i, floor(lon_e6 / 500.0)::bigint as j from nodes),
             need as (select *, lat_e6 <> i * 500 as up, lon_e6 <> j * 500 as side from coord),
@@ -449,6 +450,7 @@ def all_sql() -> dict[str, str]:
         "resumable_analyses": _STATUS + "select * from resumable",
         "find_resumable": _STATUS + "select * from resumable order by analysis_id desc limit 1",
     }
+    sql["report_roundtrip"] = sql["single_way_report"]
     for kind, where in _FILTERS.items():
         sql[f"filter_{kind}"] = ways + f"select way_id from way where {where}"
     return sql

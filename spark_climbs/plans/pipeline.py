@@ -68,7 +68,7 @@ def select_segments(
     chosen = surface_filter(ways, surface)
     if center is not None:
         chosen = ways_within_radius(chosen, *center, radius_km)
-    return segments_from_ways(first_of_ways(chosen), seq)
+    return segments_from_ways(first_of_ways(chosen, seq), seq)
 
 
 def analyze_area(
