@@ -44,8 +44,8 @@ CLASSES = {
 PLAIN = "[a-z\\x20\\x09-\\x0D]+"
 WINDOW, MIN_WORDS, MAX_REPEATED_PCT = 8, 20, 30
 #: Lengths from which the histograms count, and the divergences that reject.
-MIN_CHARS, MIN_COMMON = 100, 30
-MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.06, 0.35
+MIN_CHARS, MIN_COMMON = 100, 60
+MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.06, 0.08
 
 VOCABULARY = sorted({w for listed in COMMON_WORDS.values() for w in listed.split()})
 
