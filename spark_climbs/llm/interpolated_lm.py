@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from spark_climbs.materialize import materialize
 
-BLOCK, RANGE, MIN_RANGES = 2_000_000, 1_000_000, 64
+BLOCK, RANGE, MIN_RANGES = 1_000_000, 1_000_000, 64
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
 ROUNDS, BUCKETS, STEPS = 60, 40, 8
@@ -126,7 +126,7 @@ class Block:
     def __init__(self, row: dict):
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.keys = unpack_sorted(row["a"], row["n"])
-        self.ids = unpack(row["b"], int(self.sizes.sum()), "<u4").astype(np.int64)
+        self.ids = unpack(row["b"], int(self.sizes.sum()), "<u4").astype(np.int32)
         self.learn = np.repeat(np.array(row["train"], dtype=bool), self.sizes)
         # each document's first token follows the end of another
         ends = np.cumsum(self.sizes) - 1
