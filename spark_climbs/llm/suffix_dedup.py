@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_climbs.llm import words
-from spark_climbs.materialize import materialize, save_bucketed
+from spark_climbs.materialize import discard, materialize, save_bucketed
 
 LENGTH, GRAM, RANGES = 400, 256, 5
 STARTS = LENGTH - GRAM + 1
@@ -228,6 +228,7 @@ def repeated(texts: DataFrame) -> DataFrame:
     grams = listed.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
     grams = grams.filter("n > 1").select(F.col("gram").alias("twice"), (F.col("low") != F.col("high")).alias("mixed"))
     hits = materialize(listed.join(grams, F.col("gram") == F.col("twice")).select("key", "at", "mixed"), "hits")
+    discard(listed)
     mixed = hits.filter("mixed").groupBy("key").agg(F.collect_list("at").alias("places")).withColumnRenamed("key", "own")
     fragments = texts.join(mixed, F.col("key") == F.col("own")).select("key", "text", "places")
     schema = "core long, sides binary, kind long, key long, base int"
@@ -244,7 +245,9 @@ def repeated(texts: DataFrame) -> DataFrame:
     some = some.select("key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + LENGTH).alias("end"))
     alike = hits.filter(~F.col("mixed")).select("key", (F.col("at") - (STARTS - 1)).alias("start"), (F.col("at") + LENGTH).alias("end"))
     every = some.unionByName(alike).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return materialize(every, "spans")
+    spans = materialize(every, "spans")
+    discard(hits, rows, kinds)
+    return spans
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:
