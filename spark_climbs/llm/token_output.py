@@ -14,7 +14,7 @@ id of the vocabulary.
 
 Encoding splits texts at ASCII white space: the tokenizer drops white space and no token
 of it crosses any, so the ids of a text are those of its pieces in turn, and a piece seen
-before is not encoded again. Texts with a special token's opening ``<|`` are encoded
+before is not encoded again, nor is one with a full stop or comma after a letter. Texts with a special token's opening ``<|`` are encoded
 whole.
 
 Defined results: a null or empty text has no ids but the end id; a null doc_id sorts
@@ -42,12 +42,13 @@ END = 1
 BLOCK = 1 << 18
 #: Documents in a range, if there are not too many of them.
 RANGE_ROWS, MAX_RANGES = 500, 100_000
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Pieces of each of the two generations whose ids a worker remembers.
+REMEMBERED = 500_000
 
 
-class _Pieces(dict):
-    """Ids of pieces as bytes, encoded in batches when they are missing."""
+class _Pieces:
+    """Ids of pieces as bytes. Pieces are remembered in two generations: when the young
+    one is full it becomes the old one, and what is used again moves on."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,21 +56,43 @@ class _Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # a full stop or comma after a letter is a token of its own
+        self.stops = {ord(c): self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def __missing__(self, piece: bytes) -> bytes:
-        found = self.whole(piece.decode())
-        self[piece] = found
-        return found
-
-    def learn(self, pieces: list[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list({p for p in pieces if p not in self})
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _ended(self, piece: bytes) -> bool:
+        return piece[-1] in self.stops and len(piece) > 1 and 97 <= piece[-2] <= 122
+
+    def ids(self, cut: list[bytes]) -> bytes:
+        """Ids of the pieces in turn; those not met before are encoded together."""
+        found = list(map(self.young.get, cut))
+        at = [k for k, f in enumerate(found) if f is None]
+        if not at:
+            return b"".join(found)
+        stems = [cut[k][:-1] if self._ended(cut[k]) else cut[k] for k in at]
+        young, old = self.young, self.old
+        new = []
+        for stem in set(stems):
+            if stem not in young:
+                known = old.get(stem)
+                if known is None:
+                    new.append(stem)
+                else:
+                    young[stem] = known
         done = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        self.update((p, np.array(e.ids, dtype=self.kind).tobytes()) for p, e in zip(new, done))
+        young.update((p, self._packed(e.ids)) for p, e in zip(new, done))
+        for k, stem in zip(at, stems):
+            found[k] = young[stem] if len(stem) == len(cut[k]) else young[stem] + self.stops[cut[k][-1]]
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return b"".join(found)
 
 
 def _pieces(path: str) -> _Pieces:
@@ -86,9 +109,7 @@ def encode(text: str | None, pieces: _Pieces) -> np.ndarray:
     if "<|" in text:
         raw = pieces.whole(text)
     else:
-        cut = text.encode().lower().split()
-        pieces.learn(cut)
-        raw = b"".join([pieces[p] for p in cut])
+        raw = pieces.ids(text.encode().lower().split())
     return np.frombuffer(raw, dtype=pieces.kind).astype(np.uint32)
 
 
