@@ -6,13 +6,17 @@ histograms summed over all documents of a language. The verdict compares by the
 Jensen-Shannon divergence (base 2), with the closest language; each histogram counts
 only above a minimum length, for a short text has no distribution to speak of.
 
+Languages without a list get one from the table: the words that most of their documents
+hold. Their documents are judged by the words of their own language only, and not at all
+by words while it has too few documents for a reference.
+
 All of it is column expressions inside one pass over the documents, and one small
-aggregation (a row for each language). Windows of eight words are compared by their
-64-bit hash, inside one text.
+aggregation (a row for each language); documents of unlisted languages are read again
+for their words. Windows of eight words are compared by their 64-bit hash, inside one text.
 
-Defined results: a null text has no words, so it fails the base rules; a null or
-unlisted language is compared with every reference (unlisted ones stay without a
-reference of their own); without any reference no text is rejected by divergence;
+Defined results: a null text has no words, so it fails the base rules; a null language
+has no reference words, so its documents are judged by their characters only, with the
+closest listed language; without any reference no text is rejected by divergence;
 repeated rows are judged alike; an empty table gives an empty result.
 """
 
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_climbs.llm import words
@@ -46,6 +50,8 @@ WINDOW, MIN_WORDS, MAX_REPEATED_PCT = 8, 20, 30
 #: Lengths from which the histograms count, and the divergences that reject.
 MIN_CHARS, MIN_COMMON = 100, 60
 MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.06, 0.08
+#: Common words found for an unlisted language, and the documents that it takes.
+FOUND_WORDS, MIN_DOCUMENTS = 12, 30
 
 VOCABULARY = sorted({w for listed in COMMON_WORDS.values() for w in listed.split()})
 
@@ -143,10 +149,43 @@ def references(measured: DataFrame) -> list[dict]:
     return [r.asDict() for r in sums.orderBy("lang").collect() if sum(r["common"]) > 0]
 
 
-def divergence(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon divergence in bits of a histogram (an array) from a reference."""
-    whole = sum(reference)
-    q = F.array(*[F.lit(x / whole) for x in reference])
+def found_references(others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Measured documents of unlisted languages with ``__own``, the counts of their
+    language's words, and a row for each such language: ``__lang`` and the histograms as
+    shares (``__common`` is null for a language of too few documents)."""
+    listed = F.explode(F.array_distinct(words.words(F.col("text")))).alias("word")
+    held = others.select("lang", listed).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = held.withColumn("place", place).filter(F.col("place") <= FOUND_WORDS)
+    lists = top.groupBy(F.col("lang").alias("__lang")).agg(F.sort_array(F.collect_list("word")).alias("__list"))
+    lists = materialize(lists, "common_words")
+
+    def counts(of: Column) -> Column:
+        each = [F.coalesce(F.size(of) - F.size(F.array_remove(of, F.get("__list", F.lit(k)))), F.lit(0)) for k in range(FOUND_WORDS)]
+        return _let(F.array(*each), lambda x: F.concat(x, F.array(F.size(of) - F.aggregate(x, F.lit(0), lambda a, b: a + b))))
+
+    counted = others.join(lists, F.col("lang") == F.col("__lang"), "left").withColumn("__own", _let(words.words(F.col("text")), counts))
+    counted = counted.drop("__lang", "__list")
+
+    def shares(column: str, n: int) -> Column:
+        sums = F.array(*[F.sum(F.col(column)[k]).cast("double") for k in range(n)])
+        return F.transform(sums, lambda x: F.try_divide(x, F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)))
+
+    enough = lambda x: F.when(F.count("*") >= MIN_DOCUMENTS, x)
+    own = counted.groupBy(F.col("lang").alias("__lang")).agg(
+        shares("__q.classes", len(CLASSES) + 2).alias("__classes"), enough(shares("__own", FOUND_WORDS + 1)).alias("__common")
+    )
+    return counted, materialize(own, "references")
+
+
+def divergence(counts: Column, reference: list[float] | Column) -> Column:
+    """Jensen-Shannon divergence in bits of a histogram (an array) from a reference (of
+    counts, or a column of shares)."""
+    if isinstance(reference, Column):
+        q = reference
+    else:
+        whole = sum(reference)
+        q = F.array(*[F.lit(x / whole) for x in reference])
 
     def against(total: Column) -> Column:
         def term(c: Column, b: Column) -> Column:
@@ -160,9 +199,8 @@ def divergence(counts: Column, reference: list[float]) -> Column:
     return F.when(total > 0, _let(total, against)).otherwise(F.lit(0.0))
 
 
-def _closest(column: str, own: list[dict], which: str) -> Column:
-    found = [divergence(F.col(column), r[which]) for r in own]
-    return F.least(*found) if len(found) > 1 else found[0]
+def _closest(found: list[Column]) -> Column:
+    return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(0.0)
 
 
 def judge(documents: DataFrame) -> DataFrame:
@@ -171,13 +209,24 @@ def judge(documents: DataFrame) -> DataFrame:
     measured = materialize(measure(documents), "measured")
     known = references(measured)
     q = F.col("__q")
+    classes = [divergence(q["classes"], r["classes"]) for r in known]
+    common = [divergence(q["common"], r["common"]) for r in known]
+    unlisted = F.coalesce(~F.col("lang").isin(*COMMON_WORDS), F.lit(False))
+    by_words = F.when(F.col("lang").isNotNull(), _closest(common)).otherwise(F.lit(0.0))
+    out = measured.filter(~unlisted).withColumns({"__class_divergence": _closest(classes), "__word_divergence": by_words})
+    others = measured.filter(unlisted)
+    if not others.isEmpty():
+        counted, own = found_references(others)
+        counted = counted.join(own, F.col("lang") == F.col("__lang"), "left")
+        by_words = F.coalesce(divergence(F.col("__own"), F.col("__common")), F.lit(0.0))
+        by_classes = _closest([*classes, divergence(q["classes"], F.col("__classes"))])
+        counted = counted.withColumns({"__class_divergence": by_classes, "__word_divergence": by_words})
+        out = out.unionByName(counted.select(*out.columns))
     base = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PCT * q["n_words"])
-    far = lambda column: _closest(f"__q.{column}", known, column) if known else F.lit(0.0)
-    out = measured.withColumns({"__base_failed": base, "__class_divergence": far("classes"), "__word_divergence": far("common")})
     odd = ((q["word_chars"] >= MIN_CHARS) & (F.col("__class_divergence") > MAX_CLASS_DIVERGENCE)) | (
         (q["n_words"] >= MIN_COMMON) & (F.col("__word_divergence") > MAX_WORD_DIVERGENCE)
     )
-    return out.withColumn("__kept", ~F.col("__base_failed") & ~odd)
+    return out.withColumns({"__base_failed": base, "__kept": ~base & ~odd})
 
 
 def verdicts(documents: DataFrame) -> DataFrame:

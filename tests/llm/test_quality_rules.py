@@ -1,4 +1,5 @@
 import math
+import random
 import unicodedata
 
 import cases
@@ -82,3 +83,25 @@ def test_planted_junk_goes_and_prose_stays(spark):
     good = judged.filter("quality = 1 and not base_failed")
     assert good.filter("kept").count() >= 0.99 * good.count()
     assert judged.filter("quality = 0 and not kept").count() >= 0.7 * judged.filter("quality = 0").count()
+
+
+def test_clean_documents_of_any_language_stay(spark):
+    rng = random.Random(11)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    known = [tuple(r) for r in d.collect()]
+    common = "i w na z do nie się jest że o jak po".split()
+    rare = ["".join(rng.choices("acekmnoprstwyz", k=rng.randint(4, 9))) for _ in range(3000)]
+
+    def prose(n: int) -> str:
+        of = [rng.choice(common) if rng.random() < 0.3 else rng.choice(rare) for _ in range(n)]
+        return ". ".join(" ".join(of[k : k + 12]).capitalize() for k in range(0, n, 12)) + "."
+
+    clean = [(10_000 + k, "pl", prose(rng.randint(100, 400))) for k in range(60)]
+    lists = [(20_000 + k, "pl", ". ".join(" ".join(rng.choices(rare, k=12)).capitalize() for _ in range(12))) for k in range(3)]
+    few = [(30_000 + k, lang, prose(150)) for k, lang in enumerate(["cs", "cs", "sk", None])]
+    rows = spark.createDataFrame([*known, *clean, *lists, *few], d.schema)
+    kept = {r["doc_id"]: r["kept"] for r in Q.verdicts(rows).collect()}
+    assert all(kept[k] for k, _, _ in [*clean, *few])
+    assert not any(kept[k] for k, _, _ in lists)
+    before = {r["doc_id"]: r["kept"] for r in Q.verdicts(d).collect()}
+    assert all(kept[k] == v for k, v in before.items())
