@@ -8,8 +8,9 @@ learnt on a sample: the rank of the cell that holds a true partner, up to the ta
 recall. Visited cells' vectors are verified by their cosine in double precision.
 
 A cell is verified in blocks, a product of queries and listed vectors at a time; it gives
-for each query the number of links and the smallest partner, and links of a spanning
-forest, but no list of pairs. Equal vectors are one entry with a count. Large cells are
+for each query the number of links and the smallest partner, for each listed vector the
+number of links that it does not find as a query itself, and links of a spanning forest,
+but no list of pairs. Equal vectors are one entry with a count. Large cells are
 split: their listed vectors are dealt to parts, and each query visits every part. The
 number of parts follows from the cell's count, so none grows with the data.
 
@@ -124,7 +125,8 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _listing(index: Index, size: int, parts: dict[int, int]):
-    """Each vector listed in (a part of) its cell, and as a query in those it visits."""
+    """Each vector listed in (a part of) its cell, with the cells that it visits, and as a
+    query in those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,22 +135,24 @@ def _listing(index: Index, size: int, parts: dict[int, int]):
             points = unit(_matrix(batch.column("embedding"), size))
             cells, visited = index.cells(points), index.visited(points)
             keys = batch.column("key").to_numpy()
-            at, cell, part, query = [], [], [], []
+            at, cell, part, query, visits = [], [], [], [], []
             for k, own in enumerate(visited):
                 at.append(k)
                 cell.append(int(cells[k]))
                 part.append(int(keys[k]) % parts.get(int(cells[k]), 1))
                 query.append(False)
+                visits.append(own)
                 for c in own:
                     for p in range(parts.get(c, 1)):
                         at.append(k)
                         cell.append(c)
                         part.append(p)
                         query.append(True)
+                        visits.append(None)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(query), batch.column("key").take(take), batch.column("n").take(take), batch.column("embedding").take(take)],
-                ["cell", "part", "query", "key", "n", "embedding"],
+                [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(query), batch.column("key").take(take), batch.column("n").take(take), pa.array(cells.astype(np.int32)).take(take), pa.array(visits, pa.list_(pa.int32())), batch.column("embedding").take(take)],
+                ["cell", "part", "query", "key", "n", "home", "visits", "embedding"],
             )
 
     return run
@@ -166,11 +170,12 @@ def _smallest(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.nda
 
 
 def _verified(size: int):
-    """For the queries of each part: links with its listed vectors."""
+    """For the queries of each part: links with its listed vectors. A link counts for the
+    query, and for the listed vector too if that does not visit the query's cell."""
 
-    def compare(listed: list, queries: np.ndarray, keys: np.ndarray):
-        own = np.concatenate([x for _, _, x in listed])
-        own_keys, own_n = np.concatenate([k for k, _, _ in listed]), np.concatenate([n for _, n, _ in listed])
+    def compare(listed: list, queries: np.ndarray, keys: np.ndarray, weights: np.ndarray, homes: np.ndarray):
+        own_keys, own_n, own = (np.concatenate([x[k] for x in listed]) for k in range(3))
+        own_visits = [v for x in listed for v in x[3]]
         for start in range(0, len(queries), BLOCK):
             part, names = queries[start : start + BLOCK], keys[start : start + BLOCK]
             near = (part @ own.T >= COSINE) & (names[:, None] != own_keys)
@@ -179,9 +184,14 @@ def _verified(size: int):
             if not len(some):
                 continue
             back = np.flatnonzero(near.any(axis=0))
+            linked = near[np.ix_(some, back)]
             u = np.concatenate([names[some], own_keys[back]])
-            v = _smallest(near[np.ix_(some, back)], names[some], own_keys[back])
-            n = np.concatenate([found[some], np.zeros(len(back), np.int64)])
+            v = _smallest(linked, names[some], own_keys[back])
+            returned = np.zeros((len(back), CELLS), dtype=bool)
+            for k, b in enumerate(back):
+                returned[k, own_visits[b]] = True
+            unseen = linked & ~returned[:, homes[start : start + BLOCK][some]].T
+            n = np.concatenate([found[some], weights[start : start + BLOCK][some] @ unseen])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,16 +203,17 @@ def _verified(size: int):
             query = batch.column("query").to_numpy(zero_copy_only=False)
             group = (cell << 32 | part) * 2 + query
             points = unit(_matrix(batch.column("embedding"), size))
-            keys, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            keys, n, home = (batch.column(c).to_numpy() for c in ("key", "n", "home"))
             cuts = np.flatnonzero(np.diff(group)) + 1
             for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(group)]):
                 place, is_query = group[start] // 2, bool(query[start])
                 if place != now:
                     now, listed = place, []
                 if not is_query:
-                    listed.append((keys[start:end], n[start:end], points[start:end]))
+                    visits = batch.column("visits").slice(start, end - start).to_pylist()
+                    listed.append((keys[start:end], n[start:end], points[start:end], visits))
                 elif listed:
-                    yield from compare(listed, points[start:end], keys[start:end])
+                    yield from compare(listed, points[start:end], keys[start:end], n[start:end], home[start:end])
 
     return run
 
@@ -231,7 +242,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     distinct = materialize(distinct, "distinct_vectors")
     sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("embedding").toPandas()["embedding"]
     index = Index(unit(np.stack(sample.to_numpy()).astype(np.float64)))
-    schema = "cell int, part int, query boolean, key long, n long, embedding array<double>"
+    schema = "cell int, part int, query boolean, key long, n long, home int, visits array<int>, embedding array<double>"
     counts = distinct.select("embedding").mapInArrow(_cell_of(index, size), "cell int").groupBy("cell").count()
     parts = {r["cell"]: -(-r["count"] // PART) for r in counts.filter(F.col("count") > PART).collect()}
     listed = distinct.select("key", "n", "embedding").mapInArrow(_listing(index, size, parts), schema)

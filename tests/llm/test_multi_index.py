@@ -68,3 +68,30 @@ def test_nothing(spark):
     assert X.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     only = spark.createDataFrame([(1, None, 1, 1, 1)], SCHEMA)
     assert [tuple(r) for r in X.near_duplicates(only).collect()] == [(1, 0, 1, True)]
+
+
+def test_a_link_found_from_one_side_counts_for_both(spark, monkeypatch):
+    monkeypatch.setattr(X, "RECALL", 0.0)
+    monkeypatch.setattr(X, "MIN_VISITS", 1)
+    monkeypatch.setattr(X.Index, "learn", lambda *_: None, raising=False)
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(150):
+        centre = rng.normal(size=8)
+        rows += [(len(rows), centre.tolist()), (len(rows) + 1, (centre + rng.normal(size=8) * 0.1 * np.linalg.norm(centre)).tolist())]
+    far = lambda p: (np.abs(p[..., 1]) * 1e4).astype(int) % 2 == 0
+
+    # some vectors visit every cell and the others their own: many links are found from one side
+    def visited(self, points):
+        d1, d2 = self._distances(points)
+        every = len(self.first) * len(self.second)
+        return [X.multi_sequence(x, y, every if far(p) else 1) for p, x, y in zip(points, d1, d2)]
+    monkeypatch.setattr(X.Index, "visited", visited)
+    found = X.near_duplicates(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA)).collect()
+    n = {r["vec_id"]: r["n_links"] for r in found}
+    unit = X.unit(np.array([np.array(e, dtype=np.float32) for _, e in rows]).astype(float))
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near & (far(unit)[:, None] | far(unit))
+    assert all(n[k] >= want[k].sum() for k in n) and want.sum() > 50
+    assert all(n[k] <= near[k].sum() for k in n)
