@@ -4,8 +4,8 @@ Vectors are scaled to length one and cut into two halves. Each half has its own
 fitted by k-means on a bounded sample; the pairs of codewords make a grid of cells, and
 every vector is listed in its cell. A query visits cells from the nearest on, by the
 multi-sequence order (the sums of both halves' distances, ascending). How far it must go is
-learnt on a sample: the rank of the cell that holds a true partner, up to the target
-recall. Visited cells' vectors are verified by their cosine in double precision.
+learnt from a sample of queries compared with all rows: the highest rank of a cell that
+holds a true partner, and a high rank of planted ones for tables with few. Visited cells' vectors are verified by their cosine in double precision.
 
 A cell is verified in blocks, a product of queries and listed vectors at a time; it gives
 for each query the number of links and the smallest partner, for each listed vector the
@@ -14,7 +14,8 @@ but no list of pairs. Equal vectors are one entry with a count. Large cells are
 split: their listed vectors are dealt to parts, and each query visits every part. The
 number of parts follows from the cell's count, so none grows with the data.
 
-Bounds: codebooks and ranks come from at most ``SAMPLE`` vectors (chosen by hash); they
+Bounds: codebooks and queries of the sample are at most ``SAMPLE`` vectors (chosen by hash),
+which each task compares with its rows in blocks; they
 and the table of split cells (at most ``CELLS``) are all that leaves the tasks.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or with
@@ -37,11 +38,11 @@ from spark_climbs.materialize import materialize
 from spark_climbs.operators.graph import components
 
 COSINE = 0.95
-#: Codewords of each half, the sample they are fitted on, and the recall to reach on it.
-CODEWORDS, SAMPLE, RECALL, ROUNDS = 64, 4000, 1.0, 12
+#: Codewords of each half, and the sample they are fitted on.
+CODEWORDS, SAMPLE, ROUNDS = 64, 4000, 12
 CELLS = CODEWORDS * CODEWORDS
-#: Cells visited at least, for partners outside the sample.
-MIN_VISITS = 4
+#: Cells visited at least, and the share of partners planted at the least cosine to reach.
+MIN_VISITS, PLANTED = 4, 0.99
 #: Listed vectors of a part of a cell.
 PART = 500
 #: Queries compared at a time.
@@ -96,17 +97,24 @@ class Index:
         self.half = half
         self.first, self.second = kmeans(sample[:, :half], CODEWORDS), kmeans(sample[:, half:], CODEWORDS)
         self.visits = min(MIN_VISITS, len(self.first) * len(self.second))
-        cells = self.cells(sample)
-        ranks = []
-        for start in range(0, len(sample), BLOCK):
-            near = sample[start : start + BLOCK] @ sample.T >= COSINE
-            for row in np.flatnonzero(near.sum(axis=1) > 1):
-                held = cells[np.flatnonzero(near[row])]
-                d1, d2 = self._distances(sample[start + row : start + row + 1])
-                grid = (d1[0][:, None] + d2[0]).ravel()
-                ranks.append(np.searchsorted(np.sort(grid), grid[held]) + 1)
-        if ranks:
-            self.visits = max(self.visits, int(np.quantile(np.concatenate(ranks), RECALL, method="higher")))
+
+    def ranks(self, points: np.ndarray) -> np.ndarray:
+        """For every point, the visits it takes to reach each cell."""
+        d1, d2 = self._distances(points)
+        grid = (d1[:, :, None] + d2[:, None, :]).reshape(len(points), -1)
+        return np.stack([np.searchsorted(np.sort(g), g, side="right") for g in grid]).astype(np.int32)
+
+    def learn(self, rows: DataFrame, keys: np.ndarray, sample: np.ndarray) -> None:
+        """Visits that reach every partner that the sampled vectors have among all rows, and
+        most of the partners set at the least cosine from them in random directions."""
+        rng = np.random.default_rng(1)
+        away = rng.normal(size=sample.shape)
+        away = unit(away - (away * sample).sum(axis=1, keepdims=True) * sample)
+        planted = self.cells(COSINE * sample + (1 - COSINE**2) ** 0.5 * away)
+        found = [self.ranks(sample[k : k + BLOCK])[np.arange(len(sample[k : k + BLOCK])), planted[k : k + BLOCK]] for k in range(0, len(sample), BLOCK)]
+        least = int(np.quantile(np.concatenate(found), PLANTED, method="higher"))
+        highest = rows.select("key", "embedding").mapInArrow(_partner_ranks(self, keys, sample), "rank int").agg(F.max("rank")).first()[0]
+        self.visits = max(self.visits, least, highest or 0)
 
     def _distances(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return distances(points[:, : self.half], self.first), distances(points[:, self.half :], self.second)
@@ -124,6 +132,32 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+def _partner_ranks(index: Index, keys: np.ndarray, sample: np.ndarray):
+    """The highest rank of a cell of the rows that holds a partner of a sampled vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, ranks, known = 0, None, np.zeros(len(sample), dtype=bool)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                points = unit(_matrix(part.column("embedding"), sample.shape[1]))
+                near = (sample @ points.T >= COSINE) & (keys[:, None] != part.column("key").to_numpy())
+                rows = np.flatnonzero(near.any(axis=1))
+                if not len(rows):
+                    continue
+                if ranks is None:
+                    ranks = np.zeros((len(sample), len(index.first) * len(index.second)), dtype=np.int32)
+                new = rows[~known[rows]]
+                for k in range(0, len(new), BLOCK):
+                    ranks[new[k : k + BLOCK]] = index.ranks(sample[new[k : k + BLOCK]])
+                known[new] = True
+                at, column = np.nonzero(near)
+                most = max(most, int(ranks[at, index.cells(points)[column]].max()))
+        yield pa.RecordBatch.from_arrays([pa.array([most], pa.int32())], ["rank"])
+
+    return run
+
+
 def _listing(index: Index, size: int, parts: dict[int, int]):
     """Each vector listed in (a part of) its cell, with the cells that it visits, and as a
     query in those."""
@@ -240,8 +274,10 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         .withColumn("key", F.xxhash64("embedding"))
     )
     distinct = materialize(distinct, "distinct_vectors")
-    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    index = Index(unit(np.stack(sample.to_numpy()).astype(np.float64)))
+    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key", "embedding").toPandas()
+    points = unit(np.stack(sample["embedding"].to_numpy()).astype(np.float64))
+    index = Index(points)
+    index.learn(distinct, sample["key"].to_numpy(), points)
     schema = "cell int, part int, query boolean, key long, n long, home int, visits array<int>, embedding array<double>"
     counts = distinct.select("embedding").mapInArrow(_cell_of(index, size), "cell int").groupBy("cell").count()
     parts = {r["cell"]: -(-r["count"] // PART) for r in counts.filter(F.col("count") > PART).collect()}

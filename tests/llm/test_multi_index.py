@@ -71,7 +71,7 @@ def test_nothing(spark):
 
 
 def test_a_link_found_from_one_side_counts_for_both(spark, monkeypatch):
-    monkeypatch.setattr(X, "RECALL", 0.0)
+    monkeypatch.setattr(X, "RECALL", 0.0, raising=False)
     monkeypatch.setattr(X, "MIN_VISITS", 1)
     monkeypatch.setattr(X.Index, "learn", lambda *_: None, raising=False)
     rng = np.random.default_rng(8)
@@ -95,3 +95,17 @@ def test_a_link_found_from_one_side_counts_for_both(spark, monkeypatch):
     want = near & (far(unit)[:, None] | far(unit))
     assert all(n[k] >= want[k].sum() for k in n) and want.sum() > 50
     assert all(n[k] <= near[k].sum() for k in n)
+
+
+def test_recall_of_pairs_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE", 100)
+    rng = np.random.default_rng(9)
+    x = X.unit(np.ones(32) / 32**0.5 + rng.normal(size=(3000, 32)) * 0.09)
+    away = rng.normal(size=(3000, 32))
+    away = X.unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    rows = np.concatenate([x, 0.951 * x + (1 - 0.951**2) ** 0.5 * away]).astype(np.float32)
+    df = spark.createDataFrame([(k, e.tolist(), 1, 2, 3) for k, e in enumerate(rows)], SCHEMA)
+    exact = X.unit(rows.astype(float))
+    links = (exact @ exact.T >= 0.95).sum(axis=1) - 1
+    found = X.near_duplicates(df).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    assert (found <= links).all() and links.sum() >= 6000 and found.sum() >= 0.9 * links.sum()
