@@ -22,8 +22,11 @@ more can be repeated, and two equal strings lie alike around theirs.
    linear in fragments instead of the square of the longest text.
 4. Spans are merged in each text and cut out.
 
-Tasks hold one text, or ``BATCH`` fragments, or the differing fragments of one core (58 bytes
-each). Grams, cores, fragments and texts are told apart by 64-bit hashes.
+   A core with more than ``BATCH`` differing fragments is not one task's: its strings are
+   counted by place and added bytes instead, with the same result.
+
+Tasks hold one text, or twice ``BATCH`` fragments (some 650 bytes each at work) and a batch
+of rows. Grams, cores, fragments and texts are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes and lose none; matches never cross
 documents; equal texts of 400 bytes or more are removed whole, in all rows, whatever
@@ -212,6 +215,24 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield done(cores, sides, kinds)
 
 
+def _length(side: int) -> Column:
+    """Bytes of the left (1) or the right (2) side of a fragment."""
+    return F.conv(F.hex(F.substring("sides", side, 1)), 16, 10).cast("int")
+
+
+def _crowded_runs(varied: DataFrame) -> DataFrame:
+    """Repeated starts of fragments whose core has too many for one task. Strings of one core
+    that start at the same place are equal if the ``SIDE`` bytes that they add to it are, so
+    counts by place and bytes give what the columns would, for any number of fragments."""
+    places = varied.select("core", "sides", "kind", _length(1).alias("left"), _length(2).alias("right"))
+    places = places.withColumn("first", F.explode(F.sequence(F.lit(SIDE) - F.col("left"), F.col("right"))))
+    added = F.col("sides").substr(F.lit(3 - SIDE) + F.col("first") + F.col("left"), F.lit(SIDE))
+    strings = places.select("kind", "first", F.xxhash64("core", "first", added).alias("string"))
+    twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("string").alias("twice"))
+    found = strings.join(twice, F.col("string") == F.col("twice"))
+    return found.select("kind", F.col("first").cast("int").alias("first"), F.col("first").cast("int").alias("last"))
+
+
 def unique_texts(documents: DataFrame) -> DataFrame:
     """``key, n, text`` of every different text, in buckets of the key."""
     text = words.whole(F.col("text"))
@@ -234,19 +255,22 @@ def repeated(texts: DataFrame) -> DataFrame:
     schema = "core long, sides binary, kind long, key long, base int"
     rows = materialize(fragments.mapInArrow(_fragment_rows, schema), "fragments")
     kinds = materialize(rows.groupBy("core", "sides", "kind").agg(F.count("*").alias("members")), "kinds")
-    cores = kinds.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core").alias("shared"))
-    varied = kinds.join(cores, F.col("core") == F.col("shared")).select("core", "sides", "kind")
+    cores = kinds.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core").alias("shared"), "n")
+    cores = materialize(cores, "cores")
+    of = lambda some: kinds.join(some, F.col("core") == F.col("shared")).select("core", "sides", "kind")
+    varied, crowded = of(cores.filter(F.col("n") <= BATCH)), cores.filter(F.col("n") > BATCH)
     dealt = varied.repartition("core").sortWithinPartitions("core")
     runs = dealt.mapInArrow(_repeated_rows, "kind long, first int, last int")
-    length = lambda k: F.conv(F.hex(F.substring("sides", k, 1)), 16, 10).cast("int")
-    whole = kinds.filter("members > 1").select("kind", (F.lit(SIDE) - length(1)).alias("first"), length(2).alias("last"))
+    if not crowded.isEmpty():
+        runs = runs.unionByName(_crowded_runs(of(crowded)))
+    whole = kinds.filter("members > 1").select("kind", (F.lit(SIDE) - _length(1)).alias("first"), _length(2).alias("last"))
     runs = runs.unionByName(whole).select(F.col("kind").alias("found"), "first", "last")
     some = rows.select("kind", "key", "base").join(runs, F.col("kind") == F.col("found"))
     some = some.select("key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + LENGTH).alias("end"))
     alike = hits.filter(~F.col("mixed")).select("key", (F.col("at") - (STARTS - 1)).alias("start"), (F.col("at") + LENGTH).alias("end"))
     every = some.unionByName(alike).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = materialize(every, "spans")
-    discard(hits, rows, kinds)
+    discard(hits, rows, kinds, cores)
     return spans
 
 

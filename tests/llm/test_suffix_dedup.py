@@ -66,3 +66,26 @@ def test_cut_keeps_columns_and_drops_what_is_empty(spark):
 
 def test_empty(spark):
     assert S.spans(cases.nothing(spark)).count() == 0
+
+
+def test_no_task_takes_a_crowded_core_whole(spark, monkeypatch):
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choices("abcd", k=n))
+    passage = noise(410)
+    rows = [(k, noise(rng.randint(0, 40)) + passage[rng.randint(0, 9) :] + noise(rng.randint(0, 40))) for k in range(60)]
+    one_task = S._repeated_rows
+
+    def bounded(batches):
+        def checked():
+            seen = {}
+            for batch in batches:
+                for core in batch.column("core").to_pylist():
+                    seen[core] = seen.get(core, 0) + 1
+                    assert seen[core] <= 4
+                yield batch
+
+        yield from one_task(checked())
+
+    monkeypatch.setattr(S, "BATCH", 4)
+    monkeypatch.setattr(S, "_repeated_rows", bounded)
+    same(spark, rows)
