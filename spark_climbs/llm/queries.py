@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_climbs.llm import crf_quality, html_text, interpolated_lm, merkle_manifest, mixing, multi_index, pieces, quality_rules, simhash, suffix_dedup, token_output, tokenizers_at
+from spark_climbs.llm import bpe_lexicon, crf_quality, html_text, interpolated_lm, merkle_manifest, mixing, multi_index, pieces, quality_rules, simhash, suffix_dedup, token_output, tokenizers_at
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest.tampering(_table(spark, sf_dir, "documents"))
 
 
+def op13_bpe_lexicon(spark, sf_dir):
+    return bpe_lexicon.digests(_table(spark, sf_dir, "documents"), tokenizers_at.path("byte_bpe_50k.json"))
+
+
 def all_queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
