@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_climbs.llm import bpe_lexicon, crf_quality, html_text, interpolated_lm, merkle_manifest, mixing, multi_index, pieces, quality_rules, simhash, suffix_dedup, token_output, tokenizers_at
+from spark_climbs.llm import bpe_lexicon, crf_quality, html_text, interpolated_lm, merkle_manifest, mixing, multi_index, pieces, quality_rules, simhash, suffix_dedup, token_alignment, token_output, tokenizers_at
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_token_output(spark, sf_dir):
     return token_output.round_trip(_table(spark, sf_dir, "documents"), tokenizers_at.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment.digests(_table(spark, sf_dir, "documents"), tokenizers_at.path("byte_bpe_50k.json"), tokenizers_at.path("piece_bpe_32k.model"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest.tampering(_table(spark, sf_dir, "documents"))
 
