@@ -15,6 +15,8 @@ import json
 import numpy as np
 
 _ALIGN = 64
+#: Places that are tried together for a state's edges.
+_WINDOW = 256
 
 
 def build(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -57,26 +59,30 @@ def build(words: list[bytes]) -> dict[str, np.ndarray]:
 
 def _packed(final, edges, counts, root) -> dict[str, np.ndarray]:
     n = len(final)
-    room = 512 + sum(map(len, edges)) * 2
-    free = np.ones(room, dtype=bool)
+    free = np.ones(1024 + 2 * sum(map(len, edges)), dtype=bool)
     base = np.zeros(n, dtype=np.int32)
-    order = sorted(range(n), key=lambda s: -len(edges[s]))
+    # states of many edges first; those of one edge fill what is left free
     low = 256
-    for s in order:
-        if not edges[s]:
-            continue
-        at = [b for b, _ in edges[s]]
-        while not free[low]:
-            low += 1
-        place = low - at[0]
+    for s in sorted((s for s in range(n) if len(edges[s]) > 1), key=lambda s: -len(edges[s])):
+        at = np.array([b for b, _ in edges[s]])
         while True:
-            if place + 256 >= len(free):
+            if low + 1024 >= len(free):
                 free = np.concatenate([free, np.ones(len(free), dtype=bool)])
-            if all(free[place + b] for b in at):
+            open_ = np.flatnonzero(free[low : low + _WINDOW]) + low - at[0]
+            fits = np.flatnonzero(free[open_[:, None] + at].all(axis=1))
+            if len(fits):
                 break
-            place += 1 + int(np.argmax(free[place + at[0] + 1 : place + at[0] + 4097]))
-        base[s] = place
-        free[[place + b for b in at]] = False
+            low += _WINDOW
+        base[s] = open_[fits[0]]
+        free[base[s] + at] = False
+        if fits[0] > _WINDOW // 4:
+            low += _WINDOW // 8
+    single = [s for s in range(n) if len(edges[s]) == 1]
+    open_ = np.flatnonzero(free[256:]) + 256
+    if len(open_) < len(single):
+        open_ = np.r_[open_, len(free) + np.arange(len(single))]
+    for s, k in zip(single, open_.tolist()):
+        base[s] = k - edges[s][0][0]
     size = int(base.max(initial=0)) + 512
     check = np.full(size, -1, dtype=np.int32)
     target, output = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
