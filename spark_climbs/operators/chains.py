@@ -20,12 +20,11 @@ END_ARM, START_ARM = 0, 1
 _FIRST = (-math.inf, 0)
 _NEVER = (math.inf, 0)
 
-PIECE_COLUMNS = ("seq", "n_nodes", "street", "start_lat", "start_lon", "end_lat", "end_lon", "start_in", "end_in")
+PIECE_COLUMNS = ("seq", "n_nodes", "street", "start_lat", "start_lon", "end_lat", "end_lon")
 
 # A claim: a piece, the end it is joined by, the seed, arm and count of the arm, the
-# time of joining and the arm's last joining by a head before; ``support`` names the
-# claim of another tile by which the arm entered this one, if it did.
-CLAIM_COLUMNS = ("seq", "via", "s_n", "s_seq", "arm", "k", "cm_n", "cm_seq", "h_n", "h_seq", "support")
+# time of joining and the arm's last joining by a head before.
+CLAIM_COLUMNS = ("seq", "via", "s_n", "s_seq", "arm", "k", "cm_n", "cm_seq", "h_n", "h_seq")
 
 
 def whole_groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -45,7 +44,7 @@ def whole_groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataF
 
 
 class _Tile:
-    """Road building inside one tile of the map, given the claims of other tiles.
+    """Road building inside a group of tiles of the map, given the claims of other tiles.
 
     A road grows from a seed by two *arms*, one at either end. All happens in a total
     order of events ``(seed, cm, ...)``: seeds by rank; inside a road, an arm's next
@@ -54,17 +53,19 @@ class _Tile:
     both arms want the same piece at the same time, the end of the road goes first;
     the end is the arm that last joined a piece by its head (``h``).
 
-    Claims of other tiles are events like our own. The tile plays only the arms
-    whose tip lies in its core; where an arm leaves, the next tile takes over.
+    Claims of other tiles are events like our own. The group plays only the arms
+    whose tip lies in the core of one of its tiles (``homes``: the tile of either end, None
+    outside), which is the tile the claim is told under; where an arm leaves, the next
+    group takes over. ``support`` names the claim by which an arm entered the group.
     """
 
-    def __init__(self, tol: float, seq, n_nodes, street, start_lat, start_lon, end_lat, end_lon, start_in, end_in):
+    def __init__(self, tol: float, homes: list[tuple], seq, n_nodes, street, start_lat, start_lon, end_lat, end_lon):
         self.tol, self.cell = tol, tol * 1.25
         self.seq = seq
         self.rank = [(-n, s) for n, s in zip(n_nodes, seq)]
         self.street = street
         self.ends = list(zip(zip(start_lat, start_lon), zip(end_lat, end_lon)))
-        self.in_core = list(zip(start_in, end_in))
+        self.homes = homes
         self.used = bytearray(len(self.seq))
         self.waiting: dict[tuple, list[int]] = defaultdict(list)
         for piece, (head, tail) in enumerate(self.ends):
@@ -106,11 +107,11 @@ class _Tile:
                     waiting[:scanned] = [p for p in waiting[:scanned] if not self.used[p]]
         return best
 
-    def _grow(self, street: str, tip, s, arm: int, k: int, cm, h, support) -> None:
+    def _grow(self, street: str, tip, home, s, arm: int, k: int, cm, h, support) -> None:
         """Queue the next joining of an arm, if anything is in reach."""
         piece = self._first_near(street, tip)
         if piece is not None:
-            self._queue(s, max(cm, self.rank[piece]), arm, k + 1, h, piece, (street, tip, k, cm, h, support))
+            self._queue(s, max(cm, self.rank[piece]), arm, k + 1, h, piece, (street, tip, home, k, cm, h, support))
 
     def _queue(self, s, cm, arm: int, k: int, h, piece: int, event: tuple) -> None:
         """The piece of rank ``cm`` is what both arms may reach for at once, so it comes
@@ -125,12 +126,13 @@ class _Tile:
     def _leave(self, piece: int, via: int, s, arm: int, k: int, cm, h, support) -> None:
         """Go on from the far end of a joined piece, if that end is ours."""
         far = TAIL if via == HEAD else HEAD
-        if self.in_core[piece][far]:
-            self._grow(self.street[piece], self.ends[piece][far], s, arm, k, cm, cm if via == HEAD else h, support)
+        home = self.homes[piece][far]
+        if home is not None:
+            self._grow(self.street[piece], self.ends[piece][far], home, s, arm, k, cm, cm if via == HEAD else h, support)
 
     def play(self, foreign: list[tuple]) -> list[tuple]:
-        """All claims made in this tile. ``foreign`` holds CLAIM_COLUMNS tuples with
-        the name of the claim itself as ``support``."""
+        """All claims made in this group: piece, tile, CLAIM_COLUMNS and support. ``foreign``
+        holds CLAIM_COLUMNS tuples with the name of the claim itself."""
         index = {seq: piece for piece, seq in enumerate(self.seq)}
         for seq, via, s_n, s_seq, arm, k, cm_n, cm_seq, h_n, h_seq, name in foreign:
             h = None if h_seq is None else (h_n, h_seq)
@@ -141,54 +143,72 @@ class _Tile:
             self._play_until((rank, _FIRST))
             if not self.used[seed]:
                 self.used[seed] = 1
-                if self.in_core[seed][TAIL]:
-                    self._grow(self.street[seed], self.ends[seed][TAIL], rank, END_ARM, 0, rank, None, None)
-                if self.in_core[seed][HEAD]:
-                    self._grow(self.street[seed], self.ends[seed][HEAD], rank, START_ARM, 0, rank, None, None)
+                for end, arm in ((TAIL, END_ARM), (HEAD, START_ARM)):
+                    home = self.homes[seed][end]
+                    if home is not None:
+                        self._grow(self.street[seed], self.ends[seed][end], home, rank, arm, 0, rank, None, None)
         self._play_until((_NEVER,))
         return self.claims
 
     def _play_until(self, limit: tuple) -> None:
         while self.events and self.events[0][:2] < limit:
             s, cm, _, _, arm, k, piece, event = heappop(self.events)
-            if len(event) == 7:  # a claim of another tile
+            if event[0] in (HEAD, TAIL):  # a claim of another group
                 if not self.used[piece]:
                     self.used[piece] = 1
                     self._leave(piece, *event)
                 continue
-            street, tip, k_before, cm_before, h, support = event
+            street, tip, home, k_before, cm_before, h, support = event
             if self.used[piece]:
-                self._grow(street, tip, s, arm, k_before, cm_before, h, support)
+                self._grow(street, tip, home, s, arm, k_before, cm_before, h, support)
                 continue
             self.used[piece] = 1
             via = HEAD if self._meets(tip, piece, HEAD) else TAIL
-            self.claims.append((self.seq[piece], via, *s, arm, k, *cm, *(h or (None, None)), support))
+            self.claims.append((piece, home, self.seq[piece], via, *s, arm, k, *cm, *(h or (None, None)), support))
             self._leave(piece, via, s, arm, k, cm, h, support)
 
 
+def _homes(tiles: np.ndarray, start_in: np.ndarray, end_in: np.ndarray, piece: np.ndarray, n: int) -> list[tuple]:
+    """The tile of either end of every piece, from a row for each piece and tile."""
+    out = []
+    for own in (start_in, end_in):
+        home: list = [None] * n
+        for p, t in zip(piece[own].tolist(), tiles[own].tolist()):
+            home[p] = t
+        out.append(home)
+    return list(zip(*out))
+
+
 def play_tiles(frame: pd.DataFrame, tol: float) -> pd.DataFrame:
-    """Claims of every tile in a frame of whole tiles. A tile's rows are its pieces in
-    rank order, then the claims other tiles make on them."""
-    ids = frame["tile"].to_numpy()
+    """Claims of every group of tiles in a frame of whole groups. The rows of a group are its pieces in
+    rank order, one for each of its tiles that knows them, then the claims other groups make on them."""
+    ids = frame["grp"].to_numpy()
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     stops = np.r_[starts[1:], len(ids)]
     claims_before = np.r_[0, np.cumsum(frame["is_claim"].to_numpy(bool))]
     n_foreign = (claims_before[stops] - claims_before[starts]).tolist()
+    seq, tiles, shared = frame["seq"].to_numpy(), frame["tile"].to_numpy(), frame["shared"].to_numpy(bool)
+    start_in, end_in = frame["start_in"].to_numpy(bool), frame["end_in"].to_numpy(bool)
     piece_columns = [frame[c].tolist() for c in PIECE_COLUMNS]
-    claim_columns = [frame[c].tolist() for c in CLAIM_COLUMNS]
+    claim_columns = [frame[c].tolist() for c in (*CLAIM_COLUMNS, "support")]
     has_h = frame["has_h"].tolist()
     out: list[tuple] = []
-    for tile, start, stop, n in zip(ids[starts].tolist(), starts.tolist(), stops.tolist(), n_foreign):
+    for start, stop, n in zip(starts.tolist(), stops.tolist(), n_foreign):
+        end = stop - n
         if stop - start == 1:
             continue  # one piece alone has nothing to join
+        new = np.r_[True, seq[start + 1 : end] != seq[start : end - 1]]
+        first = (np.flatnonzero(new) + start).tolist()
+        homes = _homes(tiles[start:end], start_in[start:end], end_in[start:end], np.cumsum(new) - 1, len(first))
         foreign = [
             (*claim[:8], *(claim[8:10] if h else (None, None)), claim[10])
-            for h, *claim in zip(has_h[stop - n : stop], *[c[stop - n : stop] for c in claim_columns])
+            for h, *claim in zip(has_h[end:stop], *[c[end:stop] for c in claim_columns])
         ]
-        claims = _Tile(tol, *[c[start : stop - n] for c in piece_columns]).play(foreign)
-        out += [(tile, *claim) for claim in claims]
-    claims = pd.DataFrame(out, columns=["tile", *CLAIM_COLUMNS], dtype=object)
-    return claims.astype({c: "Int64" for c in claims.columns})
+        claims = _Tile(tol, homes, *[[c[k] for k in first] for c in piece_columns]).play(foreign)
+        out += [(tile, bool(shared[first[piece]]), *claim) for piece, tile, *claim in claims]
+    names = ["tile", "on_border", *CLAIM_COLUMNS, "support"]
+    claims = pd.DataFrame(out, columns=names, dtype=object)
+    return claims.astype({c: "Int64" for c in ("tile", *CLAIM_COLUMNS)} | {"on_border": bool})
 
 
 def chain_by_node(group: pd.DataFrame) -> pd.DataFrame:

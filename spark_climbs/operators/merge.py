@@ -13,6 +13,7 @@ piece's own direction).
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,7 @@ from spark_climbs.operators.chains import (
     CLAIM_COLUMNS,
     END_ARM,
     HEAD,
+    PIECE_COLUMNS,
     START_ARM,
     TAIL,
     chain_by_node,
@@ -39,6 +41,9 @@ TILE_TOLERANCES = 80
 
 ROWS_PER_TASK = 2_000
 
+#: Rows of a group of tiles at most (some 20 seconds of one task), and the coarsest grid.
+GROUP_ROWS, MAX_LEVEL = 200_000, 40
+
 _CLAIM = ", ".join(f"{c} long" for c in CLAIM_COLUMNS)
 
 
@@ -56,12 +61,15 @@ def endpoint_members(
 
     The map is cut into tiles, and every tile scans its own pieces. A tile claims
     pieces for roads; claims on pieces that another tile also knows are handed to
-    that tile, and tiles with new input scan again, until no claim changes. Claims
+    that tile, and tiles with news scan again, until no claim changes. Claims
     carry their place in the order of the scan and each depends only on earlier
-    ones, so what remains is exactly the result of one scan over everything. A
-    street of any size is thus never brought into one task, and after the first
-    round only tiles along a changed border work. Pieces without valid ends are roads
-    of their own.
+    ones, so what remains is exactly the result of one scan over everything.
+
+    Tiles with news are contracted: in each round those that lie in one cell of a grid four times as
+    wide as in the round before become one group, which scans as one. A road over
+    n tiles thus takes about log4(n) rounds, while a street of any size is never brought into one
+    task: a group has at most ``GROUP_ROWS`` rows, and where that is reached, groups go on handing
+    claims to each other. Only what changed is compared. Pieces without valid ends are roads of their own.
     """
     if tile_deg is not None and tile_deg < tol_deg * 2.5:
         raise ValueError("a tile must be wider than two tolerances")
@@ -71,28 +79,36 @@ def endpoint_members(
     for c in ("start_lat", "start_lon", "end_lat", "end_lon"):
         located = located.filter(F.col(c).isNotNull() & ~F.isnan(c))
     known = materialize(_known_pieces(located, tol_deg, tile_deg or tol_deg * TILE_TOLERANCES), "tiles")
-    shared = known.filter("shared").select("tile", "seq")
+    return _members_of_claims(pieces, _settled_claims(known, tol_deg))
+
 
-    n_tasks = _scan_tasks(known)
-    first = _play(known, None, tol_deg, n_tasks)
+def _settled_claims(known: DataFrame, tol: float) -> DataFrame:
+    """Claims of all tiles after as many rounds as bring news."""
+    shared = known.filter("shared").select("tile", "seq")
+    own = F.min(F.struct("street_key", "row", "col"))
+    sizes = known.groupBy("tile").agg(own.alias("at"), F.count("*").alias("n_rows"))
+    sizes = materialize(sizes.select("tile", "at.*", "n_rows"), "tile_sizes")
+    first = _play(known.withColumn("grp", F.col("tile")), None, tol, _scan_tasks(known))
+    border = materialize(first.filter("on_border").drop("on_border"), "border")
+    changed, groups = border.select("seq", "tile"), None
     later, runs = None, None
-    border = materialize(_on_border(first, shared), "border")
-    before, visible = None, border
-    round_no = 0
-    while not (dirty := materialize(_tiles_with_news(visible, before, shared), "dirty")).isEmpty():
-        round_no += 1
-        again = _play(known.join(dirty, "tile", "left_semi"), visible, tol_deg, n_tasks).withColumn("round", F.lit(round_no))
+    for round_no in count(1):
+        fresh = materialize(_regrouped(sizes, groups, _with_news(changed, shared, groups), round_no), "fresh")
+        n_rows = fresh.agg(F.sum("n_rows")).first()[0]
+        if n_rows is None:
+            break
+        moved = fresh.select("tile", "grp")
+        groups = materialize(moved if groups is None else _replaced(groups, moved, moved), "groups")
+        again = _play(known.join(moved, "tile"), _visible(shared, moved, groups, border), tol, max(1, n_rows // ROWS_PER_TASK))
+        border, changed = _exchanged(border, moved, again.filter("on_border").drop("on_border"))
+        again, run = again.withColumn("round", F.lit(round_no)), moved.select("tile", F.lit(round_no).alias("round"))
         later = again if later is None else later.unionByName(again)
-        run = dirty.withColumn("round", F.lit(round_no))
         runs = run if runs is None else runs.unionByName(run)
-        redone = border.join(dirty, "tile", "left_anti").unionByName(_on_border(again.drop("round"), shared))
-        border = materialize(redone, "border")
-        before, visible = visible, _supported(border)
     if runs is None:
-        return _members_of_claims(pieces, first)
+        return first.drop("on_border", "support")
     last = runs.groupBy("tile").agg(F.max("round").alias("round"))
     final = first.join(last, "tile", "left_anti").unionByName(later.join(last, ["tile", "round"], "left_semi").drop("round"))
-    return _members_of_claims(pieces, final)
+    return final.drop("on_border", "support")
 
 
 def _tile_key(street: Column, lat: Column, lon: Column, size: float) -> Column:
@@ -102,21 +118,24 @@ def _tile_key(street: Column, lat: Column, lon: Column, size: float) -> Column:
 def _known_pieces(pieces: DataFrame, tol: float, size: float) -> DataFrame:
     """``(tile, piece)`` rows: a piece is known to the tiles of its ends and to those
     whose core lies within the tolerance of an end. ``start_in`` / ``end_in`` tell
-    which ends lie in the core; ``shared`` pieces are known to other tiles too."""
+    which ends lie in the core; ``shared`` pieces are known to other tiles too. ``street_key, row,
+    col`` say where the tile is."""
     reach = tol * 1.001
 
-    def key(lat: Column, lon: Column) -> Column:
-        return _tile_key(F.col("street"), lat, lon, size)
+    def place(lat: Column, lon: Column) -> Column:
+        key = _tile_key(F.col("street"), lat, lon, size)
+        return F.struct(key.alias("tile"), F.floor(lat / size).alias("row"), F.floor(lon / size).alias("col"))
 
     corners = [
-        key(F.col(f"{end}_lat") + F.lit(i * reach), F.col(f"{end}_lon") + F.lit(j * reach))
+        place(F.col(f"{end}_lat") + F.lit(i * reach), F.col(f"{end}_lon") + F.lit(j * reach))
         for end in ("start", "end")
         for i in (-1, 1)
         for j in (-1, 1)
     ]
     tiles = F.array_distinct(F.array(*corners))
-    known = pieces.withColumn("shared", F.size(tiles) > 1).withColumn("tile", F.explode(tiles))
-    homes = {end: key(F.col(f"{end}_lat"), F.col(f"{end}_lon")) for end in ("start", "end")}
+    known = pieces.withColumn("shared", F.size(tiles) > 1).withColumn("of", F.explode(tiles)).select("*", "of.*").drop("of")
+    homes = {end: _tile_key(F.col("street"), F.col(f"{end}_lat"), F.col(f"{end}_lon"), size) for end in ("start", "end")}
+    known = known.withColumn("street_key", F.xxhash64("street"))
     return known.withColumns({f"{end}_in": home == F.col("tile") for end, home in homes.items()})
 
 
@@ -127,57 +146,96 @@ def _scan_tasks(rows: DataFrame) -> int:
 
 
 def _play(known: DataFrame, visible: DataFrame | None, tol: float, n_tasks: int) -> DataFrame:
-    """One round of scanning, given what other tiles claim. Rows arrive sorted by tile,
-    so a task walks through many small tiles in one Arrow stream instead of paying
+    """One round of scanning, given what other groups claim. Rows arrive sorted by group,
+    so a task walks through many small groups in one Arrow stream instead of paying
     per group."""
-    piece = known.drop("shared")
-    rows = piece.withColumns(
-        {"is_claim": F.lit(False), "has_h": F.lit(False), **{c: F.lit(0).cast("long") for c in CLAIM_COLUMNS[1:]}}
+    rows = known.select("grp", "tile", "shared", "start_in", "end_in", *PIECE_COLUMNS).withColumns(
+        {"is_claim": F.lit(False), "has_h": F.lit(False), "support": F.lit(""), **{c: F.lit(0).cast("long") for c in CLAIM_COLUMNS[1:]}}
     )
     if visible is not None:
-        theirs = visible.drop("support").withColumnsRenamed({"tile": "from", "name": "support"})
-        theirs = known.select("tile", "seq").join(theirs, "seq").filter(F.col("tile") != F.col("from"))
-        rows = rows.unionByName(
-            theirs.drop("from").withColumns({"is_claim": F.lit(True), "has_h": F.col("h_seq").isNotNull()}),
-            allowMissingColumns=True,
-        )
+        theirs = visible.withColumns({"is_claim": F.lit(True), "has_h": F.col("h_seq").isNotNull()})
+        rows = rows.unionByName(theirs, allowMissingColumns=True)
         # Whole numbers stay whole in pandas only without NULLs.
-        rows = rows.fillna(0, ["n_nodes", "h_n", "h_seq"]).fillna(False, ["start_in", "end_in"])
+        rows = rows.fillna(0, ["tile", "n_nodes", "h_n", "h_seq"]).fillna(False, ["shared", "start_in", "end_in"])
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, "tile"):
+        for frame in whole_groups(batches, "grp"):
             yield play_tiles(frame, tol)
 
-    in_order = rows.repartition(n_tasks, "tile").sortWithinPartitions("tile", "is_claim", F.desc("n_nodes"), "seq")
-    return materialize(in_order.mapInPandas(walk, f"tile long, {_CLAIM}"), "claims")
+    in_order = rows.repartition(n_tasks, "grp").sortWithinPartitions("grp", "is_claim", F.desc("n_nodes"), "seq")
+    return materialize(in_order.mapInPandas(walk, f"tile long, on_border boolean, {_CLAIM}, support string"), "claims")
 
 
-def _on_border(claims: DataFrame, shared: DataFrame) -> DataFrame:
-    """Claims that other tiles need to know, each with a name made of its content."""
-    return claims.join(shared, ["tile", "seq"], "left_semi").withColumn("name", F.xxhash64("tile", *CLAIM_COLUMNS))
+def _in_group(rows: DataFrame, groups: DataFrame | None, tile: str, grp: str) -> DataFrame:
+    """The rows with the group of a tile; one that never had news is a group by itself."""
+    if groups is None:
+        return rows.withColumn(grp, F.col(tile))
+    of = groups.select(F.col("tile").alias(f"{grp}_tile"), F.col("grp").alias(f"{grp}_own"))
+    rows = rows.join(of, F.col(tile) == F.col(f"{grp}_tile"), "left")
+    return rows.withColumn(grp, F.coalesce(f"{grp}_own", tile)).drop(f"{grp}_tile", f"{grp}_own")
 
 
-def _supported(border: DataFrame) -> DataFrame:
-    """Claims whose arm can be traced back, tile by tile, to its seed. A claim built on
-    one that has been withdrawn must not be seen, or two tiles could keep handing an
-    arm without a beginning to each other."""
-    while True:
-        names = border.select(F.col("name").alias("support")).distinct()
-        lost = border.filter(F.col("support").isNotNull()).join(names, "support", "left_anti").select("name")
-        lost = materialize(lost, "lost")
-        if lost.isEmpty():
-            return border
-        border = materialize(border.join(lost, "name", "left_anti"), "supported")
-
-
-def _tiles_with_news(now: DataFrame, before: DataFrame | None, shared: DataFrame) -> DataFrame:
-    """Tiles that know a piece on which another tile has changed its claim."""
-    changed = now.select("seq", "tile", "name")
-    if before is not None:
-        old = before.select("seq", "tile", "name")
-        changed = changed.join(old, "name", "left_anti").unionByName(old.join(changed, "name", "left_anti"))
+def _with_news(changed: DataFrame, shared: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Groups with a tile that knows a piece on which another group has changed a claim."""
     news = changed.select("seq", F.col("tile").alias("from")).distinct()
-    return shared.join(news, "seq").filter(F.col("tile") != F.col("from")).select("tile").distinct()
+    told = _in_group(_in_group(shared.join(news, "seq"), groups, "tile", "grp"), groups, "from", "from_grp")
+    return told.filter(F.col("grp") != F.col("from_grp")).select("grp").distinct()
+
+
+def _regrouped(sizes: DataFrame, groups: DataFrame | None, news: DataFrame, round_no: int) -> DataFrame:
+    """``tile, n_rows, grp`` of the tiles of groups with news: by the cell of this round's grid, or the group
+    they had where that would have too many rows. Every second grid is shifted by half a cell, as
+    some roads follow the edge of the last."""
+    level = min(2 * round_no, MAX_LEVEL)
+    shift = (1 << level - 1) * (round_no % 2)
+    cell = [F.shiftright(F.col(c) + F.lit(shift), level) for c in ("row", "col")]
+    of = _in_group(sizes, groups, "tile", "grp").join(news, "grp", "left_semi")
+    of = of.withColumn("cell", F.xxhash64("street_key", F.lit(round_no), *cell))
+    total = F.sum("n_rows").over(Window.partitionBy("cell"))
+    return of.select("tile", "n_rows", F.when(total <= GROUP_ROWS, F.col("cell")).otherwise(F.col("grp")).alias("grp"))
+
+
+def _replaced(rows: DataFrame, tiles: DataFrame, new: DataFrame) -> DataFrame:
+    return rows.join(tiles.select("tile"), "tile", "left_anti").unionByName(new)
+
+
+def _visible(shared: DataFrame, moved: DataFrame, groups: DataFrame, border: DataFrame) -> DataFrame:
+    """Claims of other groups on the pieces of the groups that scan again, by name."""
+    pieces = shared.join(moved, "tile").select("grp", "seq").distinct()
+    theirs = _in_group(pieces.join(border.drop("support"), "seq"), groups, "tile", "from_grp")
+    theirs = theirs.filter(F.col("grp") != F.col("from_grp")).drop("tile", "from_grp")
+    return theirs.withColumn("support", _name())
+
+
+def _name() -> Column:
+    """A claim's name, which tells it from any other one."""
+    return F.md5(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in CLAIM_COLUMNS]))
+
+
+def _exchanged(border: DataFrame, moved: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims on the border after the groups of the ``moved`` tiles scanned again, and the
+    pieces and tiles of the claims that came or went.
+
+    A claim built on one that has been withdrawn goes as well, link by link, or groups could
+    go on handing each other an arm without a beginning."""
+    keys = ["tile", *CLAIM_COLUMNS]
+    old = border.join(moved, "tile", "left_semi")
+    both = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+    without = lambda a, b: a.alias("l").join(b.alias("r"), both, "left_anti")
+    gone = without(old, new).select("seq", "tile", _name().alias("name"))
+    changed = materialize(gone.unionByName(without(new, old).select("seq", "tile", F.lit(None).cast("string").alias("name"))), "changed")
+    border = materialize(_replaced(border, moved, new), "border")
+    lost = changed.filter("name is not null").select("name").distinct()
+    while True:
+        # one of the same name that is still there, by another tile, supports as well
+        named = border.withColumn("name", _name())
+        lost = lost.join(named.select("name"), "name", "left_anti").select(F.col("name").alias("lost"))
+        orphans = materialize(named.join(lost, F.col("support") == F.col("lost"), "left_semi"), "orphans")
+        if orphans.isEmpty():
+            return border, changed.select("seq", "tile")
+        changed = changed.unionByName(orphans.select("seq", "tile", "name"))
+        border = materialize(without(border, orphans), "border")
+        lost = orphans.select("name").distinct()
 
 
 def _members_of_claims(pieces: DataFrame, claims: DataFrame) -> DataFrame:

@@ -122,3 +122,27 @@ def test_pieces_without_ends_are_roads_of_their_own(spark):
     for m in members:
         roads.setdefault(m.road_id, set()).add(m.seq)
     assert sorted(map(sorted, roads.values())) == [[0], [1], [2, 3]]
+
+
+def _members(spark, pieces, **options):
+    found = {}
+    for m in merge.endpoint_members(merge.segment_ends(segments(spark, pieces)), **options).collect():
+        found.setdefault(m.road_id, []).append(m)
+    return sorted([m.seq for m in sorted(group, key=lambda m: m.attach_no)] for group in found.values())
+
+
+def test_a_road_over_many_tiles_takes_few_scans(spark, monkeypatch):
+    scans, play = [], merge._play
+    monkeypatch.setattr(merge, "_play", lambda *a: scans.append(1) or play(*a))
+    # over 64 tiles of 0.16 degrees, along the edge of a coarse cell
+    pieces = [(k, "A", [(0.1 * k - 5.0, 0.001 * (k % 2) - 0.0005), (0.1 * (k + 1) - 5.0, 0.001 * ((k + 1) % 2) - 0.0005)]) for k in range(110)]
+    assert _members(spark, pieces) == sorted(ids for ids, _ in build_roads(pieces))
+    assert len(scans) <= 8
+
+
+@pytest.mark.parametrize("rows", [1, 40])
+def test_groups_that_may_not_grow(spark, monkeypatch, rows):
+    """Groups at their limit go on handing claims to each other, with the same result."""
+    monkeypatch.setattr(merge, "GROUP_ROWS", rows)
+    pieces = random_pieces(5, 100, 0.04)
+    assert _members(spark, pieces, tile_deg=0.01) == sorted(ids for ids, _ in build_roads(pieces))
