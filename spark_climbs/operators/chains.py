@@ -1,4 +1,4 @@
-"""The two greedy road-building scans, as seen by one task.
+"""The greedy road-building scan, as seen by one task.
 
 Frames hold whole groups, sorted by group and, inside one, in scan order. They
 carry ids and end points only, never geometry.
@@ -7,7 +7,7 @@ carry ids and end points only, never geometry.
 from __future__ import annotations
 
 import math
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import count
@@ -209,28 +209,3 @@ def play_tiles(frame: pd.DataFrame, tol: float) -> pd.DataFrame:
     names = ["tile", "on_border", *CLAIM_COLUMNS, "support"]
     claims = pd.DataFrame(out, columns=names, dtype=object)
     return claims.astype({c: "Int64" for c in ("tile", *CLAIM_COLUMNS)} | {"on_border": bool})
-
-
-def chain_by_node(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy forward chaining by shared node, inside a scope and street."""
-    inside = list(zip(group["scope"].tolist(), group["street_name"].tolist()))
-    heads = list(zip(inside, group["head_id"].tolist()))
-    tails = list(zip(inside, group["tail_id"].tolist()))
-    waiting: dict[tuple, deque[int]] = defaultdict(deque)
-    for piece, head in enumerate(heads):
-        waiting[head].append(piece)
-    used = bytearray(len(heads))
-    road_of, place = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int32)
-    for seed in range(len(heads)):
-        if used[seed]:
-            continue
-        piece, k = seed, 0
-        while piece is not None:
-            used[piece] = 1
-            road_of[piece], place[piece] = seed, k
-            queue = waiting.get(tails[piece], ())
-            while queue and used[queue[0]]:
-                queue.popleft()
-            piece, k = (queue.popleft() if queue else None), k + 1
-    seq = group["seq"].to_numpy()
-    return pd.DataFrame({"road_id": seq[road_of], "seq": seq, "attach_no": place})

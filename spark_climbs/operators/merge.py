@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_climbs.materialize import materialize
+from spark_climbs.materialize import discard, materialize
 from spark_climbs.operators.chains import (
     CLAIM_COLUMNS,
     END_ARM,
@@ -27,11 +27,9 @@ from spark_climbs.operators.chains import (
     PIECE_COLUMNS,
     START_ARM,
     TAIL,
-    chain_by_node,
     play_tiles,
     whole_groups,
 )
-from spark_climbs.operators.graph import components
 from spark_climbs.operators.roads import segment_ends
 
 DEFAULT_TOLERANCE_DEG = 0.002
@@ -308,33 +306,103 @@ def node_members(ways: DataFrame) -> DataFrame:
     """In-chunk merge of ways ``(seq, scope, street_name, head_id, tail_id)`` that
     share a node: from each unused way in order, append the first unused way that
     begins at the node the road ends at. Ways meet only inside a scope (a chunk) and
-    street, so the connected ways of one chunk are the unit of work. Hashes only
-    shard the work; the scan compares the ids themselves."""
+    street; a way without the id of an end does not meet others there.
+
+    Arrivals at a node in the order of their time (seed of the road, then place in it) each take
+    the first way left that begins there and comes after the seed, as all before the seed are in use. That
+    follows from the times, node by node; the times follow from the links by ranking the chains, pointers
+    doubling their reach. The two steps alternate until no link changes, which is the scan's result:
+    links depend on earlier times only, so each round settles the earliest ones left. No task holds more than
+    the ways at one node.
+    """
     ways = materialize(ways.select("seq", "scope", "street_name", "head_id", "tail_id"), "ways")
-    head, tail = F.xxhash64("scope", "street_name", "head_id"), F.xxhash64("scope", "street_name", "tail_id")
-    labels = components(ways.select(head.alias("u"), tail.alias("v")))
-    shards = ways.join(labels, head == F.col("vertex")).select(*ways.columns, F.col("component").alias("shard"))
-
-    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, "shard"):
-            yield chain_by_node(frame)
-
-    chained = (
-        shards.repartition(_scan_tasks(ways), "shard")
-        .sortWithinPartitions("shard", "seq")
-        .mapInPandas(walk, "road_id long, seq long, attach_no int")
-    )
-    return chained.select(
-        "road_id",
+    node = ["scope", "street_name", "node"]
+    heads = ways.select("seq", "scope", "street_name", F.col("head_id").alias("node")).filter("node is not null")
+    tails = ways.select("seq", "scope", "street_name", F.col("tail_id").alias("node")).filter("node is not null")
+    same = [heads[c].eqNullSafe(tails[c]) for c in node]
+    # nodes where none begins or none ends have nothing to link
+    starts = materialize(heads.join(tails, same, "left_semi"), "starts")
+    same = [tails[c].eqNullSafe(starts[c]) for c in node]
+    stops = materialize(tails.join(starts, same, "left_semi"), "stops")
+    seqs = ways.select("seq")
+    times = ways.select("seq", F.col("seq").alias("seed"), F.lit(0).alias("step"))
+    links = None
+    while True:
+        before, links = links, materialize(_node_links(starts, stops, times), "links")
+        if before is not None and _same_links(before, links):
+            break
+        discard(before)
+        times = _ranked(seqs, links)
+    return times.select(
+        F.col("seed").alias("road_id"),
         "seq",
-        "attach_no",
-        F.col("attach_no").alias("road_pos"),
+        F.col("step").alias("attach_no"),
+        F.col("step").alias("road_pos"),
         F.lit(False).alias("reversed"),
-        (F.col("attach_no") > 0).alias("drop_head"),
+        (F.col("step") > 0).alias("drop_head"),
         F.lit(False).alias("drop_tail"),
     )
 
 
+def _node_links(starts: DataFrame, stops: DataFrame, times: DataFrame) -> DataFrame:
+    """``seq, next``: which way every arrival takes. The j-th arrival at a node takes the way
+    at place max(place of the one before + 1, number of ways up to its seed), a running maximum."""
+    none = F.lit(None).cast("long")
+    begin = starts.select("scope", "street_name", "node", F.col("seq").alias("time"), F.lit(0).alias("step"), none.alias("seq"), F.col("seq").alias("next"))
+    arrive = stops.join(times, "seq").select("scope", "street_name", "node", F.col("seed").alias("time"), "step", "seq", none.alias("next"))
+    here = Window.partitionBy("scope", "street_name", "node")
+    # a way comes before an arrival of its own time
+    in_time = here.orderBy("time", F.col("next").isNull(), "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_way, is_arrival = F.col("next").isNotNull().cast("long"), F.col("seq").isNotNull().cast("long")
+    rows = begin.unionByName(arrive).withColumns({"ways": F.sum(is_way).over(in_time), "arrivals": F.sum(is_arrival).over(in_time)})
+    lead = F.max(F.when(F.col("seq").isNotNull(), F.col("ways") - F.col("arrivals"))).over(in_time)
+    placed = rows.withColumn("place", F.when(F.col("seq").isNotNull(), F.col("arrivals") + lead).otherwise(F.col("ways") - 1))
+    met = placed.groupBy("scope", "street_name", "node", "place").agg(F.max("seq").alias("seq"), F.max("next").alias("next"))
+    return met.filter("seq is not null and next is not null").select("seq", "next")
+
+
+def _same_links(before: DataFrame, after: DataFrame) -> bool:
+    return before.count() == after.count() and after.join(before, ["seq", "next"], "left_anti").isEmpty()
+
+
+def _ranked(seqs: DataFrame, links: DataFrame) -> DataFrame:
+    """``seq, seed, step``: first way of every chain of links and the place in it. Every row points at one
+    before it in its chain, and takes over where that one points, so reach doubles each round. A chain that
+    is closed (before all links are settled) is opened at its first way."""
+    from_ = links.select(F.col("next").alias("of"), F.col("seq").alias("before"))
+    rows = seqs.join(from_, F.col("seq") == F.col("of"), "left").select(
+        "seq",
+        F.coalesce("before", "seq").alias("seed"),
+        F.col("before").isNotNull().cast("int").alias("step"),
+        F.least("seq", F.coalesce("before", "seq")).alias("low"),
+        F.col("before").isNull().alias("done"),
+    )
+    rows = materialize(rows, "times")
+    open_, done, rounds = rows.filter(~F.col("done")), [rows.filter("done")], 0
+    n_open = open_.count()
+    all_rounds, made = n_open.bit_length(), [rows]
+    while n_open and rounds <= all_rounds:
+        ahead = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+        on = open_.join(ahead, F.col("seed") == F.col("a_seq"))
+        on = on.select("seq", F.col("a_seed").alias("seed"), (F.col("step") + F.col("a_step")).alias("step"), F.least("low", "a_low").alias("low"), F.col("a_done").alias("done"))
+        on = materialize(on, "times")
+        made.append(on)
+        done.append(on.filter("done"))
+        open_ = on.filter(~F.col("done"))
+        rows = _union(*done, open_)
+        n_open, rounds = open_.count(), rounds + 1
+    if n_open:
+        closed = open_.filter("seq = low").select(F.col("seq").alias("first"))
+        return _ranked(seqs, materialize(links.join(closed, F.col("next") == F.col("first"), "left_anti"), "links"))
+    return materialize(_union(*done).select("seq", "seed", "step"), "ranked")
+
+
+def _union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def merged_roads(members: DataFrame, ends: DataFrame) -> DataFrame:
     """Attributes of merged roads: way ids in order of joining, the start and end of
     the road, and surface / track type of the first joined piece that knows one."""

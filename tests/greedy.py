@@ -51,3 +51,17 @@ def build_roads(pieces, tol=0.002) -> list[tuple[list, list]]:
                     break
             roads.append((ids, nodes))
     return roads
+
+
+def chains(ways) -> list[list[int]]:
+    """``ways``: (seq, inside, head, tail). Chains by shared nodes."""
+    left, out = sorted(ways), []
+    while left:
+        chain = [left.pop(0)]
+        while True:
+            k = next((k for k, w in enumerate(left) if w[1] == chain[-1][1] and w[2] == chain[-1][3]), None)
+            if k is None:
+                break
+            chain.append(left.pop(k))
+        out.append([w[0] for w in chain])
+    return out

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from greedy import build_roads
+from greedy import build_roads, chains
 from pyspark.sql import functions as F
 
 from spark_climbs.operators import merge
@@ -146,3 +146,50 @@ def test_groups_that_may_not_grow(spark, monkeypatch, rows):
     monkeypatch.setattr(merge, "GROUP_ROWS", rows)
     pieces = random_pieces(5, 100, 0.04)
     assert _members(spark, pieces, tile_deg=0.01) == sorted(ids for ids, _ in build_roads(pieces))
+
+
+WAY_SCHEMA = "seq long, scope int, street_name string, head_id string, tail_id string"
+
+
+def _chains(spark, ways):
+    rows = spark.createDataFrame([(seq, *inside, head, tail) for seq, inside, head, tail in ways], WAY_SCHEMA)
+    found = {}
+    for r in merge.node_members(rows).collect():
+        found.setdefault(r.road_id, []).append((r.attach_no, r.seq))
+    return sorted([seq for _, seq in sorted(c)] for c in found.values())
+
+
+@pytest.mark.parametrize("seed, n, nodes", [(1, 60, 8), (2, 80, 40), (3, 40, 3)])
+def test_chains_as_one_scan(spark, seed, n, nodes):
+    """Many ways at few nodes: loops, closed chains, and arrivals that depend on each other."""
+    rnd = random.Random(seed)
+    insides = [(0, "A"), (0, "B"), (1, "A"), (0, None)]
+    ways = [(seq, rnd.choice(insides), f"n{rnd.randrange(nodes)}", f"n{rnd.randrange(nodes)}") for seq in rnd.sample(range(1000), n)]
+    assert _chains(spark, ways) == sorted(chains(ways))
+
+
+def test_closed_chains_are_opened(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 5), (7, 9), (9, 8)], "seq long, next long")
+    seqs = spark.createDataFrame([(k,) for k in range(1, 10)], "seq long")
+    times = {r.seq: (r.seed, r.step) for r in merge._ranked(seqs, links).collect()}
+    assert times == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0), 9: (7, 1), 8: (7, 2)}
+
+
+def test_ways_without_ends_stay_alone(spark):
+    ways = [(0, (0, "A"), None, None), (1, (0, "A"), None, "x"), (2, (0, "A"), "x", None), (3, (0, "A"), None, None)]
+    assert _chains(spark, ways) == [[0], [1, 2], [3]]
+
+
+def test_a_long_street_of_ways(spark):
+    """100,000 ways of one street: one chain in order, and one whose ways all come before the last."""
+    n = 100_000
+    ways = spark.range(n).select(
+        F.col("id").alias("seq"),
+        F.lit(0).alias("scope"),
+        F.lit("A").alias("street_name"),
+        # up to the middle, a way ends where the next begins; from there on, where the one before begins
+        F.when(F.col("id") < n // 2, F.col("id")).otherwise(F.col("id") * 10 + 10).cast("string").alias("head_id"),
+        F.when(F.col("id") < n // 2, F.col("id") + 1).otherwise(F.col("id") * 10).cast("string").alias("tail_id"),
+    )
+    roads = merge.node_members(ways).groupBy("road_id").agg(F.count("*").alias("n"), F.max("attach_no").alias("last")).collect()
+    assert sorted((r.n, r.last) for r in roads) == [(1, 0)] * (n // 2) + [(n // 2, n // 2 - 1)]
