@@ -45,8 +45,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_staged
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that start anywhere else too."""
-    return suffix_dedup.cut(docs)
+    """Documents without the passages (some 40 words or more) that start anywhere else too."""
+    return suffix_dedup.cut(docs, suffix_dedup.PASSAGE)
 
 
 @_staged

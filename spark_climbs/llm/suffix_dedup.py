@@ -1,7 +1,7 @@
 """Removal of repeated passages by column-wise construction over many documents.
 
-A byte goes when a string of ``LENGTH`` = 400 bytes that covers it also starts anywhere
-else. Equal strings hold equal anchors: grams of ``GRAM`` bytes whose hash is the least in
+A byte goes when a string of ``length`` bytes (400, or what a ``Shape`` says) that covers it also starts anywhere
+else. Equal strings hold equal anchors: grams (of 256 bytes) whose hash is the least in
 some stretch of a string's grams. So only places around anchors that occur twice or
 more can be repeated, and two equal strings lie alike around theirs.
 
@@ -9,7 +9,7 @@ more can be repeated, and two equal strings lie alike around theirs.
    that later joins with the texts do not shuffle them.
 2. Each text lists its anchors, with a hash of the bytes around each. Anchors that occur once
    are dropped; around those that always have the same surroundings all is repeated.
-3. For the rest, the strings around an anchor are cut into ``RANGES`` ranges of starts.
+3. For the rest, the strings around an anchor are cut into ranges of starts.
    The strings of a range share a core; only the bytes left and right of it differ. Cores are
    grouped, and the columns of all fragments of a group inserted from the right to the
    left: each round inserts one symbol per fragment (the core is one symbol), updates the order of
@@ -29,7 +29,7 @@ Tasks hold one text, or twice ``BATCH`` fragments (some 650 bytes each at work)
 of rows. Grams, cores, fragments and texts are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes and lose none; matches never cross
-documents; equal texts of 400 bytes or more are removed whole, in all rows, whatever
+documents; equal texts of that length or more are removed whole, in all rows, whatever
 their ids; a null doc_id is kept; an empty table gives an empty result; texts are
 processed whole; other columns are not read by ``spans`` and are carried by ``cut``.
 """
@@ -38,6 +38,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +49,45 @@ from pyspark.sql import functions as F
 from spark_climbs.llm import words
 from spark_climbs.materialize import discard, materialize, save_bucketed
 
-LENGTH, GRAM, RANGES = 400, 256, 5
-STARTS = LENGTH - GRAM + 1
-WIDTH = STARTS // RANGES
-SIDE, CORE = WIDTH - 1, LENGTH - WIDTH + 1
+
+
+class Shape(NamedTuple):
+    """Sizes of what is compared: strings of ``length`` bytes around grams of ``gram`` (a power of
+    two), whose starts are cut into ``ranges`` of equal width."""
+
+    length: int
+    gram: int
+    ranges: int
+
+    @property
+    def starts(self) -> int:
+        return self.length - self.gram + 1
+
+    @property
+    def width(self) -> int:
+        return self.starts // self.ranges
+
+    @property
+    def side(self) -> int:
+        return self.width - 1
+
+    @property
+    def core(self) -> int:
+        return self.length - self.width + 1
+
+
+#: Strings of 400 bytes, and of some 40 words for passages of over 50.
+LONG, PASSAGE = Shape(400, 256, 5), Shape(199, 128, 4)
 #: Fragments whose columns are inserted together.
 BATCH = 60_000
 _PAD = 256
 _ONE, _SPREAD = np.uint64(1), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from every place, by doubling."""
+def gram_hashes(data: np.ndarray, shape: Shape = LONG) -> np.ndarray:
+    """Hash of the ``gram`` bytes from every place, by doubling."""
     h, factor, size = data.astype(np.uint64) + _ONE, 0x9E3779B97F4A7C15, 1
-    while size < GRAM:
+    while size < shape.gram:
         h = h[:-size] * np.uint64(factor) + h[size:]
         factor = factor * factor % (1 << 64)
         size *= 2
@@ -76,27 +103,27 @@ def _slide(values: np.ndarray, width: int, take) -> np.ndarray:
     return take(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, shape: Shape = LONG) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are the least of some string's grams."""
-    if len(data) < LENGTH:
+    if len(data) < shape.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(data)
-    edge = np.zeros(STARTS - 1, np.uint64)
-    least = _slide(h, STARTS, np.minimum)
-    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), STARTS, np.maximum) == h)
+    h = gram_hashes(data, shape)
+    edge = np.zeros(shape.starts - 1, np.uint64)
+    least = _slide(h, shape.starts, np.minimum)
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), shape.starts, np.maximum) == h)
     return at, h[at]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             raw = text.encode() if text else b""
-            at, grams = anchors(np.frombuffer(raw, dtype=np.uint8))
+            at, grams = anchors(np.frombuffer(raw, dtype=np.uint8), shape)
             if not len(at):
                 continue
-            around = [xxhash.xxh64_intdigest(raw[max(0, a - STARTS + 1) : a + LENGTH], max(0, STARTS - 1 - a)) for a in at.tolist()]
+            around = [xxhash.xxh64_intdigest(raw[max(0, a - shape.starts + 1) : a + shape.length], max(0, shape.starts - 1 - a)) for a in at.tolist()]
             columns = [
                 pa.array(np.full(len(at), key, dtype=np.int64)),
                 pa.array(at.astype(np.int32)),
@@ -106,7 +133,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["key", "at", "gram", "around"])
 
 
-def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fragment_rows(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     """Core, both sides (with their lengths, shorter at a text's ends), a hash of both and the
     first start of every range."""
     import xxhash
@@ -114,13 +141,13 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places"))):
             raw = text.encode()
-            cores, sides, kinds, starts, last = [], [], [], [], len(raw) - LENGTH
-            for base in sorted({a - STARTS + 1 + r * WIDTH for a in places for r in range(RANGES)}):
-                low, high = max(base, 0), min(base + SIDE, last)
+            cores, sides, kinds, starts, last = [], [], [], [], len(raw) - shape.length
+            for base in sorted({a - shape.starts + 1 + r * shape.width for a in places for r in range(shape.ranges)}):
+                low, high = max(base, 0), min(base + shape.side, last)
                 if low > high:
                     continue
-                core = xxhash.xxh64_intdigest(raw[base + SIDE : base + LENGTH])
-                left, right = raw[low : base + SIDE], raw[base + LENGTH : high + LENGTH]
+                core = xxhash.xxh64_intdigest(raw[base + shape.side : base + shape.length])
+                left, right = raw[low : base + shape.side], raw[base + shape.length : high + shape.length]
                 # the sides with their lengths, so that padding is told from bytes
                 sides.append(bytes([len(left), len(right)]) + left + right)
                 cores.append(core)
@@ -153,30 +180,30 @@ def _insert(order: np.ndarray, common: np.ndarray, group: np.ndarray, symbol: np
     return order[by], out
 
 
-def repeated_starts(group: np.ndarray, sides: list[bytes]) -> np.ndarray:
-    """For fragments in order of their group, which of the ``WIDTH`` strings of each also
+def repeated_starts(group: np.ndarray, sides: list[bytes], shape: Shape = LONG) -> np.ndarray:
+    """For fragments in order of their group, which of the ``width`` strings of each also
     occur in another fragment of the group at the same column."""
     m = len(sides)
-    columns = np.full((m, 2 * SIDE), _PAD, dtype=np.int64)
+    columns = np.full((m, 2 * shape.side), _PAD, dtype=np.int64)
     for k, s in enumerate(sides):
         n_left, n_right = s[0], s[1]
-        columns[k, SIDE - n_left : SIDE] = np.frombuffer(s, np.uint8, n_left, 2)
-        columns[k, SIDE : SIDE + n_right] = np.frombuffer(s, np.uint8, n_right, 2 + n_left)
+        columns[k, shape.side - n_left : shape.side] = np.frombuffer(s, np.uint8, n_left, 2)
+        columns[k, shape.side : shape.side + n_right] = np.frombuffer(s, np.uint8, n_right, 2 + n_left)
     order, common = np.arange(m), np.zeros(m, dtype=np.int64)
-    for c in range(2 * SIDE - 1, SIDE - 1, -1):
+    for c in range(2 * shape.side - 1, shape.side - 1, -1):
         order, common = _insert(order, common, group, columns[:, c])
     first = np.r_[True, group[order[1:]] != group[order[:-1]]]
-    common = np.where(first, 0, common + CORE)
-    out = np.zeros((m, WIDTH), dtype=bool)
-    for c in range(SIDE, -1, -1):
-        if c < SIDE:
+    common = np.where(first, 0, common + shape.core)
+    out = np.zeros((m, shape.width), dtype=bool)
+    for c in range(shape.side, -1, -1):
+        if c < shape.side:
             order, common = _insert(order, common, group, columns[:, c])
-        long = common >= LENGTH
+        long = common >= shape.length
         out[order, c] = long | np.r_[long[1:], False]
     n_left = np.array([s[0] for s in sides])
     n_right = np.array([s[1] for s in sides])
-    at = np.arange(WIDTH)
-    return out & (at >= SIDE - n_left[:, None]) & (at <= n_right[:, None])
+    at = np.arange(shape.width)
+    return out & (at >= shape.side - n_left[:, None]) & (at <= n_right[:, None])
 
 
 def _spans_of(flags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -188,12 +215,12 @@ def _spans_of(flags: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(row.tolist(), first.tolist(), (np.nonzero(step == -1)[1] - 1).tolist()))
 
 
-def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated_rows(batches: Iterator[pa.RecordBatch], shape: Shape = LONG) -> Iterator[pa.RecordBatch]:
     """Runs of repeated starts of every fragment of sorted ``core, sides, kind``."""
 
     def done(cores: np.ndarray, sides: list[bytes], kinds: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.r_[False, cores[1:] != cores[:-1]])
-        found = _spans_of(repeated_starts(group, sides))
+        found = _spans_of(repeated_starts(group, sides, shape))
         columns = [
             pa.array(kinds[np.array([r for r, _, _ in found], dtype=np.int64)]),
             pa.array([a for _, a, _ in found], pa.int32()),
@@ -220,13 +247,13 @@ def _length(side: int) -> Column:
     return F.conv(F.hex(F.substring("sides", side, 1)), 16, 10).cast("int")
 
 
-def _crowded_runs(varied: DataFrame) -> DataFrame:
+def _crowded_runs(varied: DataFrame, shape: Shape) -> DataFrame:
     """Repeated starts of fragments whose core has too many for one task. Strings of one core
-    that start at the same place are equal if the ``SIDE`` bytes that they add to it are, so
+    that start at the same place are equal if the ``side`` bytes that they add to it are, so
     counts by place and bytes give what the columns would, for any number of fragments."""
     places = varied.select("core", "sides", "kind", _length(1).alias("left"), _length(2).alias("right"))
-    places = places.withColumn("first", F.explode(F.sequence(F.lit(SIDE) - F.col("left"), F.col("right"))))
-    added = F.col("sides").substr(F.lit(3 - SIDE) + F.col("first") + F.col("left"), F.lit(SIDE))
+    places = places.withColumn("first", F.explode(F.sequence(F.lit(shape.side) - F.col("left"), F.col("right"))))
+    added = F.col("sides").substr(F.lit(3 - shape.side) + F.col("first") + F.col("left"), F.lit(shape.side))
     strings = places.select("kind", "first", F.xxhash64("core", "first", added).alias("string"))
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("string").alias("twice"))
     found = strings.join(twice, F.col("string") == F.col("twice"))
@@ -242,32 +269,34 @@ def unique_texts(documents: DataFrame) -> DataFrame:
     return save_bucketed(found, "unique_texts", "key")
 
 
-def repeated(texts: DataFrame) -> DataFrame:
+def repeated(texts: DataFrame, shape: Shape = LONG) -> DataFrame:
     """``key, spans`` (starts and ends of repeated strings) of texts with any."""
-    listed = texts.select("key", "text").mapInArrow(_anchor_rows, "key long, at int, gram long, around long")
+    listed = texts.select("key", "text").mapInArrow(partial(_anchor_rows, shape=shape), "key long, at int, gram long, around long")
     listed = materialize(listed, "anchors")
     grams = listed.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
     grams = grams.filter("n > 1").select(F.col("gram").alias("twice"), (F.col("low") != F.col("high")).alias("mixed"))
+    # written first: a join of two shuffles is what Spark can split where one gram has many places
+    grams = materialize(grams, "grams")
     hits = materialize(listed.join(grams, F.col("gram") == F.col("twice")).select("key", "at", "mixed"), "hits")
-    discard(listed)
+    discard(listed, grams)
     mixed = hits.filter("mixed").groupBy("key").agg(F.collect_list("at").alias("places")).withColumnRenamed("key", "own")
     fragments = texts.join(mixed, F.col("key") == F.col("own")).select("key", "text", "places")
     schema = "core long, sides binary, kind long, key long, base int"
-    rows = materialize(fragments.mapInArrow(_fragment_rows, schema), "fragments")
+    rows = materialize(fragments.mapInArrow(partial(_fragment_rows, shape=shape), schema), "fragments")
     kinds = materialize(rows.groupBy("core", "sides", "kind").agg(F.count("*").alias("members")), "kinds")
     cores = kinds.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core").alias("shared"), "n")
     cores = materialize(cores, "cores")
     of = lambda some: kinds.join(some, F.col("core") == F.col("shared")).select("core", "sides", "kind")
     varied, crowded = of(cores.filter(F.col("n") <= BATCH)), cores.filter(F.col("n") > BATCH)
     dealt = varied.repartition("core").sortWithinPartitions("core")
-    runs = dealt.mapInArrow(_repeated_rows, "kind long, first int, last int")
+    runs = dealt.mapInArrow(_repeated_rows if shape == LONG else partial(_repeated_rows, shape=shape), "kind long, first int, last int")
     if not crowded.isEmpty():
-        runs = runs.unionByName(_crowded_runs(of(crowded)))
-    whole = kinds.filter("members > 1").select("kind", (F.lit(SIDE) - _length(1)).alias("first"), _length(2).alias("last"))
+        runs = runs.unionByName(_crowded_runs(of(crowded), shape))
+    whole = kinds.filter("members > 1").select("kind", (F.lit(shape.side) - _length(1)).alias("first"), _length(2).alias("last"))
     runs = runs.unionByName(whole).select(F.col("kind").alias("found"), "first", "last")
     some = rows.select("kind", "key", "base").join(runs, F.col("kind") == F.col("found"))
-    some = some.select("key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + LENGTH).alias("end"))
-    alike = hits.filter(~F.col("mixed")).select("key", (F.col("at") - (STARTS - 1)).alias("start"), (F.col("at") + LENGTH).alias("end"))
+    some = some.select("key", (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + shape.length).alias("end"))
+    alike = hits.filter(~F.col("mixed")).select("key", (F.col("at") - (shape.starts - 1)).alias("start"), (F.col("at") + shape.length).alias("end"))
     every = some.unionByName(alike).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = materialize(every, "spans")
     discard(hits, rows, kinds, cores)
@@ -285,13 +314,13 @@ def merged(spans, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_rows(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for key, n, text, spans in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "text", "spans"))):
             raw = text.encode() if text else b""
             size = len(raw)
-            if n > 1 and size >= LENGTH:
+            if n > 1 and size >= shape.length:
                 runs = [(0, size)]
             else:
                 runs = merged([(s["start"], s["end"]) for s in spans or ()], size)
@@ -307,30 +336,30 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
-def _cut_texts(documents: DataFrame) -> DataFrame:
+def _cut_texts(documents: DataFrame, shape: Shape) -> DataFrame:
     texts = unique_texts(documents)
-    found = repeated(texts).withColumnRenamed("key", "own")
+    found = repeated(texts, shape).withColumnRenamed("key", "own")
     joined = texts.join(found, F.col("key") == F.col("own"), "left").select("key", "n", "text", "spans")
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    return joined.mapInArrow(_cut_rows, schema)
+    return joined.mapInArrow(partial(_cut_rows, shape=shape), schema)
 
 
 def _key() -> Column:
     return F.xxhash64(words.whole(F.col("text")))
 
 
-def spans(documents: DataFrame) -> DataFrame:
+def spans(documents: DataFrame, shape: Shape = LONG) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    cut = _cut_texts(documents).drop("kept").withColumnRenamed("key", "own")
+    cut = _cut_texts(documents, shape).drop("kept").withColumnRenamed("key", "own")
     rows = documents.select("doc_id", _key().alias("key")).join(cut, F.col("key") == F.col("own"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def cut(documents: DataFrame) -> DataFrame:
+def cut(documents: DataFrame, shape: Shape = LONG) -> DataFrame:
     """The documents with what is left of their texts (characters cut in two go whole);
     those of which nothing is left are dropped. ``n_chars``, if there, is counted anew."""
     inner, outer = words.carried(documents, "text", "n_chars")
-    kept = _cut_texts(inner).filter("kept != ''").select(F.col("key").alias("own"), F.col("kept").alias("text"))
+    kept = _cut_texts(inner, shape).filter("kept != ''").select(F.col("key").alias("own"), F.col("kept").alias("text"))
     rows = inner.withColumn("key", _key()).drop("text").join(kept, F.col("key") == F.col("own"))
     counted = {"n_chars": F.length("text").cast("long")} if "n_chars" in documents.columns else {}
     return outer(rows.withColumns(counted))

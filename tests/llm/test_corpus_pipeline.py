@@ -32,7 +32,7 @@ def test_stages_take_effect(spark):
         if name == "simhash":
             assert ids == {r["component_id"] for r in simhash.near_duplicates(before).collect()}
         if name == "suffix_dedup":
-            left = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup.spans(before).collect()}
+            left = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup.spans(before, suffix_dedup.PASSAGE).collect()}
             assert {k for k, n in left.items() if n >= 4} <= ids
             assert all(len(r["text"].encode()) <= left[r["doc_id"]] for r in docs.collect())
         if name == "mixing":

@@ -6,28 +6,28 @@ import cases
 from spark_climbs.llm import suffix_dedup as S
 
 
-def plain(rows) -> list[tuple]:
+def plain(rows, length=400) -> list[tuple]:
     raws = [(doc, (text or "").encode()) for doc, text in rows]
     count: dict = {}
     for _, raw in raws:
-        for p in range(len(raw) - 399):
-            count[raw[p : p + 400]] = count.get(raw[p : p + 400], 0) + 1
+        for p in range(len(raw) - length + 1):
+            count[raw[p : p + length]] = count.get(raw[p : p + length], 0) + 1
     out = []
     for doc, raw in raws:
         gone = bytearray(len(raw))
-        for p in range(len(raw) - 399):
-            if count[raw[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+        for p in range(len(raw) - length + 1):
+            if count[raw[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
         runs = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(raw)))
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out.append((doc, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
     return out
 
 
-def same(spark, rows):
+def same(spark, rows, shape=S.LONG):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [tuple(r) for r in S.spans(docs).collect()]
-    assert sorted(got, key=repr) == sorted(plain(rows), key=repr)
+    got = [tuple(r) for r in S.spans(docs, shape).collect()]
+    assert sorted(got, key=repr) == sorted(plain(rows, shape.length), key=repr)
 
 
 def test_awkward_rows(spark):
@@ -43,6 +43,15 @@ def test_passages_cut_short_shifted_and_overlapping(spark):
     same(spark, rows)
 
 
+def test_shorter_passages(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choices("abcdé\n ", k=n))
+    base = noise(900)
+    rows = [(k, noise(rng.randint(0, 200)) + base[a : a + rng.choice([150, 190, 198, 199, 200, 260])] + noise(rng.randint(0, 90))) for k in range(40) for a in [rng.randint(0, 600)]]
+    same(spark, [*rows, (100, base[:195]), (101, base[:199]), (102, "x" * 260)], S.PASSAGE)
+    assert S.PASSAGE.width * S.PASSAGE.ranges == S.PASSAGE.starts and S.LONG.width * S.LONG.ranges == S.LONG.starts
+
+
 def test_periodic_texts(spark):
     same(spark, [(1, "abc " * 120), (2, "abc " * 99), (3, "x" * 401), (4, "x" * 400), (5, "y" * 400), (6, "z" * 399), (7, "bc abc " + "abc " * 300 + "end")])
 
