@@ -70,6 +70,15 @@ def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long nodes of ways with long edges: a way of every customer, through the first node of each of the
+    customer's orders."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer"))
+    first = way_nodes(spark, sf_dir).filter("idx = 0").join(orders, F.col("way_id") == F.col("order"))
+    along = Window.partitionBy("customer").orderBy("order")
+    return first.select(F.col("customer").alias("way_id"), (F.row_number().over(along) - 1).alias("idx"), "lat", "lon")
+
+
 def elevation(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
     """One elevation per coordinate; about a tenth of the nodes has none."""
     return (

@@ -26,6 +26,36 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     )
 
 
+def _unit_vector(lat, lon) -> list[Column]:
+    lat, lon = F.radians(as_column(lat)), F.radians(as_column(lon))
+    return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def arc_distance_km(lat, lon, from_lat, from_lon, to_lat, to_lon) -> Column:
+    """Distance in km from a point to the great-circle arc between two others: to the foot of the
+    perpendicular where it falls on the arc, else to the nearer end."""
+    p, a, b = _unit_vector(lat, lon), _unit_vector(from_lat, from_lon), _unit_vector(to_lat, to_lon)
+    pole = _cross(a, b)
+    size = F.sqrt(_dot(pole, pole))
+    beside = (_dot(p, _cross(pole, a)) > 0) & (_dot(p, _cross(b, pole)) > 0) & (size > 0)
+    across = F.lit(EARTH_RADIUS_KM) * F.abs(F.asin(_dot(p, pole) / size))
+    ends = F.least(haversine_km(lat, lon, from_lat, from_lon), haversine_km(lat, lon, to_lat, to_lon))
+    return F.when(beside, across).otherwise(ends)
+
+
+def arc_bulge_degrees(dlon: Column) -> Column:
+    """More than an arc's latitude can exceed that of its ends, from their difference in longitude."""
+    return dlon * dlon / 300.0
+
+
 def coord_key(value: Column, decimals: int = 6) -> Column:
     """Integer join key of a coordinate at the given number of decimals."""
     return F.floor(value * F.lit(10.0**decimals) + F.lit(0.5)).cast("long")

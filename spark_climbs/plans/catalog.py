@@ -167,6 +167,12 @@ def ways_within_radius(spark, d):
     return near.select("way_id", F.size("nodes").alias("n_nodes"))
 
 
+@query
+def long_edges_within_radius(spark, d):
+    """Ways with edges of many km, some within the radius by an edge alone."""
+    return area.within_radius(X.long_way_nodes(spark, d), *CENTER, 5.0)
+
+
 @query
 def chunk_grid(spark, d):
     grid = area.chunk_grid(_areas(spark, d), 8.0)
@@ -190,6 +196,21 @@ def assign_chunks_circle(spark, d):
     return _assigned(spark, d, "circle")
 
 
+def _long_assigned(spark, d, cover: str) -> DataFrame:
+    grid = area.chunk_grid(_area(spark, 60.0), 8.0)
+    return area.assign_chunks(X.long_way_nodes(spark, d), grid, 8.0, cover).select("chunk_index", "way_id")
+
+
+@query
+def assign_chunks_long_edges(spark, d):
+    return _long_assigned(spark, d, "square")
+
+
+@query
+def assign_chunks_circle_long_edges(spark, d):
+    return _long_assigned(spark, d, "circle")
+
+
 @query
 def valid_coords(spark, d):
     e = X.table(spark, d, "events").select(

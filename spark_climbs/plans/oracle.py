@@ -201,13 +201,61 @@ select street_name as "Street Name", city as "City", state as "State", round(cen
 from {climbs}"""
 
 
-def _near(lat: str, lon: str, radius_km: float) -> str:
-    return f"{_hav(_LAT, _LON, lat, lon)} <= {radius_km!r}"
+def _arc_km(p_lat, p_lon, edge: str = "") -> str:
+    """Distance of a point from the edge between (lat, lon) and (to_lat, to_lon), by the angles and sides
+    of the triangle that the three form: across from the nearer end, or beyond it."""
+    def bearing(a, b):
+        (a_lat, a_lon), (b_lat, b_lon) = a, b
+        return (
+            f"atan2(sin(radians({b_lon} - {a_lon})) * cos(radians({b_lat})), cos(radians({a_lat})) * sin(radians({b_lat})) "
+            f"- sin(radians({a_lat})) * cos(radians({b_lat})) * cos(radians({b_lon} - {a_lon})))"
+        )
+
+    p, a, b = (p_lat, p_lon), (f"{edge}lat", f"{edge}lon"), (f"{edge}to_lat", f"{edge}to_lon")
+    to_a, to_b = _hav(*p, *a), _hav(*p, *b)
+    turn = f"({bearing(a, p)} - {bearing(a, b)})"
+    other = f"({bearing(b, p)} - {bearing(b, a)})"
+    across = f"abs(asin(sin({to_a} / 6371.0) * sin({turn}))) * 6371.0"
+    return f"case when {_hav(*a, *b)} > 0 and cos({turn}) > 0 and cos({other}) > 0 then {across} else least({to_a}, {to_b}) end"
+
+
+def _near(radius_km: float) -> str:
+    return f"{_arc_km(_LAT, _LON)} <= {radius_km!r}"
+
+
+# Every node with the next one of its way; a lone one with itself.
+_EDGES = """(
+  select *, coalesce(next_lat, lat) as to_lat, coalesce(next_lon, lon) as to_lon from (
+    select *, lead(lat) over w as next_lat, lead(lon) over w as next_lon, count(*) over (partition by way_id) as n_nodes
+    from {nodes} window w as (partition by way_id order by idx))
+  where next_lat is not null or n_nodes = 1)"""
+
+_LONG = """,
+long_nodes as (
+  select o_custkey as way_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx, lat, lon
+  from nodes join orders on o_orderkey = way_id where idx = 0)
+"""
+
+# Where an edge is inside a cell on either axis, in parts of its length.
+_CROSSED = """
+select distinct chunk_index, way_id from chunk c, (
+  select e.*, (e.lat - center_lat) / (8.0 / 111.0) as y0, (e.to_lat - center_lat) / (8.0 / 111.0) as y1,
+    (e.lon - center_lon) / (8.0 / (111.0 * cos(radians(center_lat)))) as x0,
+    (e.to_lon - center_lon) / (8.0 / (111.0 * cos(radians(center_lat)))) as x1
+  from {edges} e, area) e
+where greatest(
+    case when x0 = x1 then case when abs(x0 - j) <= 0.5 then 0 else 2 end else least((j - 0.5 - x0) / (x1 - x0), (j + 0.5 - x0) / (x1 - x0)) end,
+    case when y0 = y1 then case when abs(y0 - i) <= 0.5 then 0 else 2 end else least((i - 0.5 - y0) / (y1 - y0), (i + 0.5 - y0) / (y1 - y0)) end, 0)
+  <= least(
+    case when x0 = x1 then 1 else greatest((j - 0.5 - x0) / (x1 - x0), (j + 0.5 - x0) / (x1 - x0)) end,
+    case when y0 = y1 then 1 else greatest((i - 0.5 - y0) / (y1 - y0), (i + 0.5 - y0) / (y1 - y0)) end, 1)
+"""
+
 
 
 def _area_report(imperial: bool, radius_km: float, kind: str) -> str:
     """Selection works on whole ways, merging on what is selected."""
-    where = f"{_FILTERS[kind]} and way_id in (select way_id from nodes where {_near('lat', 'lon', radius_km)})"
+    where = f"{_FILTERS[kind]} and way_id in (select way_id from {_EDGES.format(nodes='nodes')} where {_near(radius_km)})"
     kept = "(select *, first_way as road_order from rated where climb_score >= 6000)"
     return _merged(1.00013, where) + _PLACES + _located(kept).format(order="road_order") + _report(1.00013, "located", imperial)
 
@@ -319,6 +367,9 @@ hit as (select query, lat::double as lat, lon::double as lon, address from known
 
 def all_sql() -> dict[str, str]:
     nodes, ways = _nodes(), _nodes() + _WAYS
+    edges, long_edges = _EDGES.format(nodes="nodes"), _EDGES.format(nodes="long_nodes")
+    one_grid = _AREA_GRID.replace("{area}", _ONE_AREA)
+    in_disc = "select distinct c.chunk_index, x.way_id from {edges} x join chunk c on " + _arc_km("c.lat", "c.lon", "x.") + " <= c.chunk_radius_km"
     sql = {
         "road_attributes": ways + "select way_id, street_name, surface, tracktype, tracktype_definition from way",
         "distinct_ways": ways + _COPIES + """
@@ -329,18 +380,16 @@ def all_sql() -> dict[str, str]:
             select doc, way_id, count(*) as n_nodes, arg_min(node_id, idx) as first_node, arg_max(node_id, idx) as last_node,
               sum(lon_e6)::bigint as lon_sum
             from usable where ok and doc % 10 <> 9 group by doc, way_id having count(*) > 1""",
-        "within_radius": nodes + f"select distinct way_id from nodes where {_near('lat', 'lon', 60.0)}",
+        "within_radius": nodes + f"select distinct way_id from {edges} where {_near(60.0)}",
         "ways_within_radius": nodes + f"""
-            select way_id, any_value(n)::int as n_nodes from nodes group by way_id having bool_or({_near('lat', 'lon', 60.0)})""",
+            select way_id, any_value(n)::int as n_nodes from {edges} group by way_id having bool_or({_near(60.0)})""",
+        "long_edges_within_radius": nodes + _LONG + f"select distinct way_id from {long_edges} where {_near(5.0)}",
         "chunk_grid": "with " + _AREA_GRID.replace("{area}", _SUPPLIER_AREAS) + """
             select area_id, chunk_index, round(lat, 6) as lat, round(lon, 6) as lon, chunk_radius_km::double as chunk_radius_km from chunk""",
-        "assign_chunks": nodes + "," + _AREA_GRID.replace("{area}", _ONE_AREA) + """
-            select distinct c.chunk_index, x.way_id from nodes x join chunk c
-              on c.i = floor((x.lat - center_lat) / (8.0 / 111.0) + 0.5)
-              and c.j = floor((x.lon - center_lon) / (8.0 / (111.0 * cos(radians(center_lat)))) + 0.5)""",
-        "assign_chunks_circle": nodes + "," + _AREA_GRID.replace("{area}", _ONE_AREA) + f"""
-            select distinct c.chunk_index, x.way_id from nodes x join chunk c
-              on x.lat between c.lat - 0.05 and c.lat + 0.05 and {_hav('c.lat', 'c.lon', 'x.lat', 'x.lon')} <= c.chunk_radius_km""",
+        "assign_chunks": nodes + "," + one_grid + _CROSSED.format(edges=edges),
+        "assign_chunks_circle": nodes + "," + one_grid + in_disc.format(edges=edges),
+        "assign_chunks_long_edges": nodes + _LONG + "," + one_grid + _CROSSED.format(edges=long_edges),
+        "assign_chunks_circle_long_edges": nodes + _LONG + "," + one_grid + in_disc.format(edges=long_edges),
         "valid_coords": """
             select event_id, case when ok then value - 20.0 end as lat, case when ok then value * 4 - 40.0 end as lon
             from (select *, value - 20.0 between -90 and 90 and value * 4 - 40.0 between -180 and 180 as ok from events)""",

@@ -1,6 +1,11 @@
+import math
+import random
+
 import pytest
 from greedy import metres
+from pyspark.sql import functions as F
 
+from spark_climbs.functions import geo
 from spark_climbs.operators import area
 
 
@@ -39,3 +44,81 @@ def test_assign_chunks_against_all_pairs(spark, cover, lat, lon):
 def test_radius_across_the_antimeridian(spark):
     df = spark.createDataFrame([(1, 0.0, 179.99), (2, 0.0, -179.99), (3, 0.0, 179.0)], "way_id long, lat double, lon double")
     assert sorted(r.way_id for r in area.within_radius(df, 0.0, 180.0, 5.0).collect()) == [1, 2]
+
+
+def vector(lat, lon):
+    lat, lon = math.radians(lat), math.radians(lon)
+    return (math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat))
+
+
+def along(a, b, n=4000):
+    """Places of the great-circle arc between two others."""
+    u, v = vector(*a), vector(*b)
+    angle = math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(u, v)))))
+    for k in range(n + 1):
+        t = k / n
+        f, g = (1 - t, t) if angle < 1e-9 else (math.sin((1 - t) * angle) / math.sin(angle), math.sin(t * angle) / math.sin(angle))
+        x, y, z = (f * p + g * q for p, q in zip(u, v))
+        yield math.degrees(math.atan2(z, math.hypot(x, y))), math.degrees(math.atan2(y, x))
+
+
+def random_edges(seed, n, center, spread):
+    rnd = random.Random(seed)
+    place = lambda: (center[0] + rnd.uniform(-spread, spread), (center[1] + rnd.uniform(-spread, spread) + 180) % 360 - 180)
+    return [(place(), place()) for _ in range(n)]
+
+
+@pytest.mark.parametrize("center", [(35.0, -82.0), (-70.0, 179.9), (0.0, 0.0), (88.5, 10.0)])
+def test_edges_within_radius(spark, center):
+    edges = random_edges(1, 200, center, 1.4)
+    near = [min(metres(center, p) for p in along(a, b)) / 1000 for a, b in edges]
+    # the nearest of the places tried lies a little behind the nearest of all
+    near = [d if abs(d - 40) > 0.5 else None for d in near]
+    nodes = [(k, idx, *p) for k, e in enumerate(edges) for idx, p in enumerate(e)] + [(999, 0, *center)]
+    df = spark.createDataFrame(nodes, "way_id long, idx int, lat double, lon double")
+    got = {r.way_id for r in area.within_radius(df, *center, 40.0).collect()}
+    assert 999 in got
+    assert all((k in got) == (d <= 40) for k, d in enumerate(near) if d is not None)
+    by_end = {k for k, e in enumerate(edges) if min(metres(center, p) for p in e) <= 40_000}
+    assert by_end < got
+    assert got == {r.way_id for r in area.within_radius(df, *center, 40.0, longest_edge_km=800.0).collect()}
+    whole = df.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("nodes"))
+    assert got == {r.way_id for r in area.ways_within_radius(whole, *center, 40.0).collect()}
+
+
+def test_arc_distance(spark):
+    rows = [(0.0, 0.0, 0.0, 1.0, 2.0), (0.0, 3.0, 0.0, 1.0, 2.0), (1.0, 1.5, 0.0, 1.0, 2.0), (5.0, 5.0, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame([(*r[:3], r[3], r[2], r[4]) for r in rows], "p double, q double, a double, b double, c double, d double")
+    got = [r[0] for r in df.select(geo.arc_distance_km(*[F.col(c) for c in "pqabcd"])).collect()]
+    degree = geo.KM_PER_DEGREE
+    assert got == pytest.approx([degree, degree, degree, 0.0], abs=1e-6)
+
+
+@pytest.mark.parametrize("center", [(35.0, -82.0), (60.0, 179.9)])
+@pytest.mark.parametrize("cover", ["square", "circle"])
+def test_edges_in_chunks(spark, cover, center):
+    chunks = grid(spark, 40.0, 8.0, *center)
+    edges = random_edges(2, 60, center, 0.9)
+    nodes = [(k, idx, *p) for k, e in enumerate(edges) for idx, p in enumerate(e)]
+    df = spark.createDataFrame(nodes, "way_id long, idx int, lat double, lon double")
+    got = {(r.chunk_index, r.way_id) for r in area.assign_chunks(df, chunks, 8.0, cover).collect()}
+    cells = chunks.collect()
+    if cover == "circle":
+        for c in cells:
+            for k, (a, b) in enumerate(edges):
+                d = min(metres((c.lat, c.lon), p) for p in along(a, b, 600)) / 1000
+                assert abs(d - c.chunk_radius_km) < 0.1 or ((c.chunk_index, k) in got) == (d <= c.chunk_radius_km)
+    else:
+        # cells that a straight line passes, seen at many places of it
+        of = {(c.i, c.j): c.chunk_index for c in cells}
+        step = 8.0 / 111.0, 8.0 / (111.0 * math.cos(math.radians(center[0])))
+        seen = set()
+        for k, (a, b) in enumerate(edges):
+            x0 = (a[1] - center[1] + 180) % 360 - 180
+            x1 = x0 + (b[1] - a[1] + 180) % 360 - 180
+            for t in range(4001):
+                y, x = a[0] + (b[0] - a[0]) * t / 4000 - center[0], x0 + (x1 - x0) * t / 4000
+                cell = math.floor(y / step[0] + 0.5), math.floor(x / step[1] + 0.5)
+                if cell in of:
+                    seen.add((of[cell], k))
+        assert seen <= got and len(got - seen) <= 8  # a corner may be cut between two places
