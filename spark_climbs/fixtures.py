@@ -126,6 +126,15 @@ def plain_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turned_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain ways, of which those whose id leaves one when divided by three run the other way."""
+    turned = F.transform(
+        F.reverse("nodes"), lambda p, k: F.struct(k.alias("idx"), p["node_id"].alias("node_id"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+    )
+    same = F.transform("nodes", lambda p, k: F.struct(k.alias("idx"), p["node_id"].alias("node_id"), p["lat"].alias("lat"), p["lon"].alias("lon")))
+    return plain_ways(spark, sf_dir).withColumn("nodes", F.when(F.col("way_id") % 3 == 1, turned).otherwise(same))
+
+
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain ways, ways seen again from the next chunk, and shifted near copies."""
     plain = plain_ways(spark, sf_dir)

@@ -470,6 +470,50 @@ def merge_by_endpoint(
     return _with_geometry(merged_roads(members, ends), members, segments)
 
 
+#: Ends that meet, in the order in which they are tried.
+KINDS = ("end1_to_start2", "end1_to_end2", "start1_to_start2", "start1_to_end2")
+
+
+def connection_kind(a: Column, b: Column, tol_deg: float = DEFAULT_TOLERANCE_DEG) -> Column:
+    """Which ends of two segments (structs) meet in the tolerance box, the first of ``KINDS``; NULL for
+    segments of different streets, without two nodes, or apart."""
+
+    def end(segment: Column, which: str) -> Column:
+        return F.element_at(segment["nodes"], 1 if which.startswith("start") else -1)
+
+    kind = F.lit(None).cast("string")
+    for name in reversed(KINDS):
+        p, q = (end(s, which) for s, which in zip((a, b), name.split("_to_")))
+        meets = (F.abs(p["lat"] - q["lat"]) < tol_deg) & (F.abs(p["lon"] - q["lon"]) < tol_deg)
+        kind = F.when(meets, name).otherwise(kind)
+    whole = (F.size(a["nodes"]) > 1) & (F.size(b["nodes"]) > 1)
+    return F.when((a["street_name"] == b["street_name"]) & whole, kind)
+
+
+def connect(a: Column, b: Column, kind: Column) -> Column:
+    """Two segments (structs) joined by the ends that ``kind`` names, one of the joint nodes left out:
+    way ids in order of joining, what the first one knows, and the second one's surface and track type
+    where the first does not know them. Without a kind, the nodes follow each other."""
+    first, second = a["nodes"], b["nodes"]
+    rest = lambda nodes: F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0)))
+    nodes = (
+        F.when(kind == "end1_to_start2", F.concat(first, rest(second)))
+        .when(kind == "end1_to_end2", F.concat(first, rest(F.reverse(second))))
+        .when(kind == "start1_to_start2", F.concat(F.reverse(first), rest(second)))
+        .when(kind == "start1_to_end2", F.concat(second, rest(first)))
+        .otherwise(F.concat(first, second))
+    )
+    unknown = lambda t: t.isin("unknown", "not_applicable")
+    learns = unknown(a["tracktype"]) & ~unknown(b["tracktype"])
+    return F.struct(
+        F.concat(a["way_ids"], b["way_ids"]).alias("way_ids"),
+        nodes.alias("nodes"),
+        a["street_name"].alias("street_name"),
+        F.when((a["surface"] == "unknown") & (b["surface"] != "unknown"), b["surface"]).otherwise(a["surface"]).alias("surface"),
+        *[F.when(learns, b[c]).otherwise(a[c]).alias(c) for c in ("tracktype", "tracktype_definition")],
+    )
+
+
 def merge_by_node_id(segments: DataFrame, scope: Column | None = None) -> DataFrame:
     """In-chunk merge of segments that share a node id, with merged node arrays."""
     head, tail = F.get("nodes", F.lit(0)), F.get("nodes", F.size("nodes") - 1)

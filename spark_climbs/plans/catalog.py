@@ -280,15 +280,66 @@ def endpoint_joints(spark, d):
 def merge_by_endpoint(spark, d):
     merged = merge.merge_by_endpoint(_plain_segments(spark, d))
     return merged.select(
-        F.array_min("way_ids").alias("first_way"),
-        F.array_join(F.array_sort("way_ids").cast("array<string>"), ",").alias("way_ids"),
+        F.col("first_way_id").alias("first_way"),
+        _joined_ids().alias("way_ids"),
         "street_name",
+        "surface",
+        "tracktype",
+        "tracktype_definition",
         F.size("nodes").cast("long").alias("n_nodes"),
         F.round(F.get("nodes", F.lit(0))["lat"], 6).alias("start_lat"),
         F.round(F.get("nodes", F.size("nodes") - 1)["lat"], 6).alias("end_lat"),
     )
 
 
+def _turned_segments(spark, d) -> DataFrame:
+    return roads.segments_from_ways(X.turned_ways(spark, d))
+
+
+@query
+def merge_turned(spark, d):
+    """Roads of ways that meet by any two of their ends."""
+    node = lambda k, axis: F.round(F.element_at("nodes", k)[axis], 6)
+    return merge.merge_by_endpoint(_turned_segments(spark, d)).select(
+        F.col("first_way_id").alias("first_way"),
+        _joined_ids().alias("way_ids"),
+        "street_name",
+        F.size("nodes").cast("long").alias("n_nodes"),
+        node(1, "lat").alias("start_lat"),
+        node(1, "lon").alias("start_lon"),
+        node(-1, "lat").alias("end_lat"),
+        node(-1, "lon").alias("end_lon"),
+    )
+
+
+@query
+def turned_members(spark, d):
+    """Where every way goes in its road, and the joint nodes that are left out."""
+    members = merge.endpoint_members(materialize(roads.segment_ends(_turned_segments(spark, d)), "ends"))
+    return members.select(F.col("seq").alias("way_id"), F.col("road_id").alias("road"), "attach_no", "road_pos", "reversed", "drop_head", "drop_tail")
+
+
+@query
+def connected_pairs(spark, d):
+    """Pairs of neighbouring ways connected by themselves."""
+    segments = materialize(_turned_segments(spark, d), "segments")
+    one = lambda name: F.struct(*segments.columns).alias(name)
+    left, right = segments.select("seq", one("a")), segments.select((F.col("seq") - 1).alias("seq"), one("b"))
+    kind = merge.connection_kind(F.col("a"), F.col("b"))
+    pairs = left.join(right, "seq").withColumn("kind", kind).filter("kind is not null")
+    joined = pairs.select("kind", merge.connect(F.col("a"), F.col("b"), F.col("kind")).alias("road")).select("kind", "road.*")
+    return joined.select(
+        "kind",
+        _joined_ids().alias("way_ids"),
+        F.size("nodes").cast("long").alias("n_nodes"),
+        F.round(F.element_at("nodes", 1)["lat"], 6).alias("start_lat"),
+        F.round(F.element_at("nodes", -1)["lat"], 6).alias("end_lat"),
+        "surface",
+        "tracktype",
+        "tracktype_definition",
+    )
+
+
 @query
 def merge_by_node_id(spark, d):
     """Ways with shared node ids: consecutive ways of a chain meet in one node."""
@@ -422,7 +473,7 @@ def climb_metrics(spark, d):
     """All climbs of merged roads, after removing copies."""
     climbs = _climbs(spark, d)
     return climbs.select(
-        F.array_min("way_ids").alias("first_way"),
+        F.get("way_ids", F.lit(0)).alias("first_way"),
         "street_name",
         "climb_category",
         F.size("way_ids").cast("long").alias("n_ways"),
@@ -440,7 +491,7 @@ def category_counts(spark, d):
 def rank_climbs(spark, d):
     """The hundred best climbs."""
     best = metrics.rank_climbs(_climbs(spark, d), 6000.0, k=100)
-    return best.select(F.array_min("way_ids").alias("first_way"), "street_name", F.round("climb_score", 4).alias("climb_score"))
+    return best.select(F.get("way_ids", F.lit(0)).alias("first_way"), "street_name", F.round("climb_score", 4).alias("climb_score"))
 
 
 @query
@@ -475,18 +526,14 @@ def _analysis(spark, d, unit_system: str, **options) -> DataFrame:
     )
 
 
-# First way ids depend on the order of joining; the reports are compared without.
-_NOT_COMPARED = ("Surface", "Tracktype", "Way ID", "OSM Link")
-
-
 @query
 def report_imperial(spark, d):
-    return _analysis(spark, d, "imperial", radius_km=500.0).drop(*_NOT_COMPARED)
+    return _analysis(spark, d, "imperial", radius_km=500.0)
 
 
 @query
 def report_metric(spark, d):
-    return _analysis(spark, d, "metric", radius_km=500.0, surface_filter="paved").drop(*_NOT_COMPARED)
+    return _analysis(spark, d, "metric", radius_km=500.0, surface_filter="paved")
 
 
 @query
@@ -512,7 +559,7 @@ def report_roundtrip(spark, d):
 @query
 def flagship(spark, d):
     """Ranked report of an area: select, deduplicate, merge, measure, locate."""
-    return _analysis(spark, d, "imperial", radius_km=scoring.radius_to_km(150.0, "imperial")).drop(*_NOT_COMPARED)
+    return _analysis(spark, d, "imperial", radius_km=scoring.radius_to_km(150.0, "imperial"))
 
 
 def _bounds(spark, d) -> DataFrame:

@@ -106,6 +106,52 @@ road_node as (
   where not (x.idx = 0 and exists (select 1 from member p where p.chain = m.chain and p.island = m.island and p.step = m.step - 1)))
 """
 
+# The order of joining: the way with most nodes first, then whichever neighbour of the stretch has more. A way
+# seen from two chunks counts in the first.
+_SEQ = "case when {m}way_id % 10 = 0 and {m}chain % 8 = 7 then 0 else {m}chain % 8 end * 100000000000 + {m}way_id"
+_JOINED = """,
+grown as (
+  select chain, island, 0 as no, way_id, step as low, step as high from (
+    select * from member qualify row_number() over (partition by chain, island order by n desc, {seq}) = 1)
+  union all
+  select chain, island, no, way_id, low, high from (
+    select g.chain, g.island, g.no + 1 as no, m.way_id, least(low, m.step) as low, greatest(high, m.step) as high,
+      row_number() over (partition by g.chain, g.island order by m.n desc, {m_seq}) as turn
+    from grown g join member m on m.chain = g.chain and m.island = g.island and (m.step = low - 1 or m.step = high + 1))
+  where turn = 1),
+told as (
+  select g.chain, g.island, string_agg(way_id::varchar, ',' order by no) as joined_ids, arg_min(way_id, no) as seed,
+    coalesce(arg_min(surface, no) filter (surface <> 'unknown'), 'unknown') as surface,
+    coalesce(arg_min(tracktype, no) filter (tracktype not in ('unknown', 'not_applicable')), arg_min(tracktype, no)) as tracktype,
+    coalesce(arg_min(tracktype_definition, no) filter (tracktype not in ('unknown', 'not_applicable')), arg_min(tracktype_definition, no)) as tracktype_definition
+  from grown g join way using (way_id) group by g.chain, g.island)
+"""
+
+# Every way of which the id leaves one when divided by three runs the other way, so ways meet by any two ends.
+# ``ahead``: whether the road runs with the steps; ``rightward``: whether a way joins after the last step.
+_TURNED = """,
+turned as (select *, way_id % 3 = 1 as turned, n as n_ from member),
+joint as (
+  select chain, island, 0 as no, way_id, null::bigint as beside, null::varchar as kind, step as low, step as high, not turned as ahead from (
+    select * from turned qualify row_number() over (partition by chain, island order by n desc, way_id) = 1)
+  union all
+  select chain, island, no, way_id, beside,
+    case when rightward = ahead then 'end1_to_' else 'start1_to_' end || case when rightward <> turned then 'start2' else 'end2' end,
+    low, high,
+    case when rightward <> ahead and rightward <> turned then not ahead else ahead end
+  from (
+    select g.chain, g.island, g.no + 1 as no, m.way_id, m.turned, g.ahead, m.step = high + 1 as rightward,
+      m.way_id + case when m.step = high + 1 then -1 else 1 end as beside,
+      least(low, m.step) as low, greatest(high, m.step) as high,
+      row_number() over (partition by g.chain, g.island order by m.n desc, m.way_id) as turn
+    from joint g join turned m on m.chain = g.chain and m.island = g.island and (m.step = low - 1 or m.step = high + 1))
+  where turn = 1),
+way_road as (
+  select chain, island, arg_min(way_id, no) as seed, string_agg(way_id::varchar, ',' order by no) as way_ids,
+    min(low) as low, max(high) as high, arg_max(ahead, no) as ahead
+  from joint group by chain, island)
+"""
+
 _CLIMBS = f""",
 stepped as (
   select *, lag(lat) over w as p_lat, lag(lon) over w as p_lon, lag(elevation) over w as p_elevation
@@ -163,7 +209,7 @@ located as (
 
 
 def _nodes(scale: float = 1.0) -> str:
-    return "with " + _NODES.format(scale=scale)
+    return "with recursive " + _NODES.format(scale=scale)
 
 
 def _single(scale: float = 1.0) -> str:
@@ -175,8 +221,12 @@ def _single(scale: float = 1.0) -> str:
     return _nodes(scale) + _WAYS + roads + _CLIMBS
 
 
+def _joined(seq: str) -> str:
+    return _JOINED.format(seq=seq.format(m=""), m_seq=seq.format(m="m."))
+
+
 def _merged(scale: float = 1.0, where: str = "true") -> str:
-    return _nodes(scale) + _WAYS + _ROADS.format(source=f"(select * from way where n >= 2 and {where})") + _CLIMBS
+    return _nodes(scale) + _WAYS + _ROADS.format(source=f"(select * from way where n >= 2 and {where})") + _joined(_SEQ) + _CLIMBS
 
 
 _FILTERS = {
@@ -256,9 +306,14 @@ where greatest(
 def _area_report(imperial: bool, radius_km: float, kind: str) -> str:
     """Selection works on whole ways, merging on what is selected."""
     where = f"{_FILTERS[kind]} and way_id in (select way_id from {_EDGES.format(nodes='nodes')} where {_near(radius_km)})"
-    kept = "(select *, first_way as road_order from rated where climb_score >= 6000)"
-    return _merged(1.00013, where) + _PLACES + _located(kept).format(order="road_order") + _report(1.00013, "located", imperial)
+    kept = "(select * from rated join told using (chain, island) where climb_score >= 6000)"
+    order = _SEQ.format(m="").replace("way_id", "seed")
+    return _merged(1.00013, where) + _PLACES + _located(kept).format(order=order) + _report(1.00013, "located", imperial, _WAY_COLUMNS)
+
 
+_WAY_COLUMNS = """,
+  surface as "Surface", tracktype as "Tracktype", seed::varchar as "Way ID",
+  '[' || seed || '](https://www.openstreetmap.org/way/' || seed || ')' as "OSM Link\""""
 
 _AREA_GRID = """
 area as (select {area}),
@@ -368,6 +423,8 @@ hit as (select query, lat::double as lat, lon::double as lon, address from known
 def all_sql() -> dict[str, str]:
     nodes, ways = _nodes(), _nodes() + _WAYS
     edges, long_edges = _EDGES.format(nodes="nodes"), _EDGES.format(nodes="long_nodes")
+    roads = ways + _ROADS.format(source="(select * from way where n >= 2)") + _joined("{m}way_id")
+    turned = roads + _TURNED
     one_grid = _AREA_GRID.replace("{area}", _ONE_AREA)
     in_disc = "select distinct c.chunk_index, x.way_id from {edges} x join chunk c on " + _arc_km("c.lat", "c.lon", "x.") + " <= c.chunk_radius_km"
     sql = {
@@ -402,9 +459,46 @@ def all_sql() -> dict[str, str]:
         "endpoint_joints": ways + _ROADS.format(source="(select * from way where n >= 2)") + """
             select a.way_id as left_way, b.way_id as right_way from member a join member b
               on a.chain = b.chain and a.island = b.island and b.step = a.step + 1""",
-        "merge_by_endpoint": ways + _ROADS.format(source="(select * from way where n >= 2)") + """
-            select first_way, way_ids, street_name, n_nodes::bigint as n_nodes, round(start_lat, 6) as start_lat, round(end_lat, 6) as end_lat
-            from road""",
+        "merge_by_endpoint": roads + """
+            select seed as first_way, joined_ids as way_ids, street_name, surface, tracktype, tracktype_definition,
+              n_nodes::bigint as n_nodes, round(start_lat, 6) as start_lat, round(end_lat, 6) as end_lat
+            from road join told using (chain, island)""",
+        "merge_turned": turned + """
+            select seed as first_way, r.way_ids, any_value(m.street_name) as street_name, sum(n) - count(*) + 1 as n_nodes,
+              round(case when ahead then arg_min(start_lat, step) else arg_max(end_lat, step) end, 6) as start_lat,
+              round(case when ahead then arg_min(start_lon, step) else arg_max(end_lon, step) end, 6) as start_lon,
+              round(case when ahead then arg_max(end_lat, step) else arg_min(start_lat, step) end, 6) as end_lat,
+              round(case when ahead then arg_max(end_lon, step) else arg_min(start_lon, step) end, 6) as end_lon
+            from way_road r join turned m using (chain, island) group by seed, r.way_ids, ahead""",
+        "turned_members": turned + """
+            select m.way_id, r.seed as road, j.no::int as attach_no,
+              case when r.ahead then step - r.low else r.high - step end::int as road_pos, turned = r.ahead as reversed,
+              coalesce(j.kind like '%start2', false) or coalesce(bool_or(o.kind = 'start1_to_end2' and (o.way_id < m.way_id) <> turned), false) as drop_head,
+              coalesce(j.kind = 'end1_to_end2', false) or coalesce(bool_or(o.kind = 'start1_to_end2' and (o.way_id < m.way_id) = turned), false) as drop_tail
+            from turned m join joint j using (way_id) join way_road r on r.chain = m.chain and r.island = m.island
+            left join joint o on o.beside = m.way_id
+            group by m.way_id, r.seed, j.no, r.ahead, step, r.low, r.high, turned, j.kind""",
+        "connected_pairs": turned + """,
+            side as (
+              select *, case when turned then end_lat else start_lat end as a_lat, case when turned then end_lon else start_lon end as a_lon,
+                case when turned then start_lat else end_lat end as b_lat, case when turned then start_lon else end_lon end as b_lon
+              from turned),
+            duo as (
+              select x.way_id as left_way, y.way_id as right_way, x.n + y.n - 1 as n_nodes, x.surface as s1, y.surface as s2,
+                x.tracktype as t1, y.tracktype as t2, x.tracktype_definition as d1, y.tracktype_definition as d2,
+                x.a_lat as xa, x.b_lat as xb, y.a_lat as ya, y.b_lat as yb,
+                case when greatest(abs(x.b_lat - y.a_lat), abs(x.b_lon - y.a_lon)) < 0.002 then 'end1_to_start2'
+                  when greatest(abs(x.b_lat - y.b_lat), abs(x.b_lon - y.b_lon)) < 0.002 then 'end1_to_end2'
+                  when greatest(abs(x.a_lat - y.a_lat), abs(x.a_lon - y.a_lon)) < 0.002 then 'start1_to_start2'
+                  when greatest(abs(x.a_lat - y.b_lat), abs(x.a_lon - y.b_lon)) < 0.002 then 'start1_to_end2' end as kind
+              from side x join side y on y.way_id = x.way_id + 1 and y.street_name = x.street_name)
+            select kind, left_way || ',' || right_way as way_ids, n_nodes::bigint as n_nodes,
+              round(case kind when 'end1_to_start2' then xa when 'end1_to_end2' then xa when 'start1_to_start2' then xb else ya end, 6) as start_lat,
+              round(case kind when 'end1_to_start2' then yb when 'end1_to_end2' then ya when 'start1_to_start2' then yb else xb end, 6) as end_lat,
+              case when s1 = 'unknown' then s2 else s1 end as surface,
+              case when t1 in ('unknown', 'not_applicable') and t2 not in ('unknown', 'not_applicable') then t2 else t1 end as tracktype,
+              case when t1 in ('unknown', 'not_applicable') and t2 not in ('unknown', 'not_applicable') then d2 else d1 end as tracktype_definition
+            from duo where kind is not null""",
         "merge_by_node_id": ways + _ROADS.format(source="(select * from way where n >= 2)") + """
             select first_way, string_agg(way_id::varchar, ',' order by m.way_id) as way_ids, any_value(m.street_name) as street_name,
               arg_min(surface, way_id) as surface, arg_min(tracktype, way_id) as tracktype, any_value(n_nodes)::bigint as n_nodes
@@ -438,11 +532,12 @@ def all_sql() -> dict[str, str]:
         "single_way_climbs": _single() + f"""
             select island as way_id, street_name, climb_category, {_METRICS} from rated where climb_score >= 6000""",
         "climb_metrics": _merged() + f"""
-            select first_way, street_name, climb_category, n_ways, n_ways as n_links, {_METRICS} from rated""",
+            select seed as first_way, street_name, climb_category, n_ways, n_ways as n_links, {_METRICS}
+            from rated join told using (chain, island)""",
         "category_counts": _merged() + "select climb_category, count(*) as n_climbs from rated group by 1",
         "rank_climbs": _merged() + """
-            select first_way, street_name, round(climb_score, 4) as climb_score from rated where climb_score >= 6000
-            order by rated.climb_score desc limit 100""",
+            select seed as first_way, street_name, round(climb_score, 4) as climb_score
+            from rated join told using (chain, island) where climb_score >= 6000 order by rated.climb_score desc limit 100""",
         "run_metrics": _merged() + """,
             place_ as (
               select m.way_id, x.lat_e6, x.lon_e6 from member m join nodes x using (way_id)
