@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spark_climbs.functions.geo import KM_PER_DEGREE, arc_bulge_degrees, arc_distance_km, haversine_km, lon_difference
 
@@ -91,6 +92,61 @@ def ways_within_radius(ways: DataFrame, lat: float, lon: float, radius_km: float
     return ways.filter(node | F.coalesce(edge, F.lit(False)))
 
 
+#: Columns of the coarsest and the finest grid around the globe, as powers of two.
+_COARSEST, _FINEST = 3, 15
+
+
+def _cover_level(radius_km: Column) -> Column:
+    """The finest grid of which about eight cells span an area."""
+    degrees = F.greatest(radius_km / F.lit(KM_PER_DEGREE), F.lit(1e-6))
+    level = F.floor(F.log2(F.lit(4 * 360.0) / degrees)).cast("int")
+    return F.greatest(F.least(level, F.lit(_FINEST)), F.lit(_COARSEST))
+
+
+def _area_cells(areas: DataFrame) -> DataFrame:
+    """``level, i, j`` of the cells that the box of every area touches: some hundred for each,
+    more columns where degrees of longitude are short."""
+    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
+    margin = F.col("radius_km") / F.lit(KM_PER_DEGREE) * 1.000001 + 1e-9
+    sine = F.sin(F.radians(F.least(margin, F.lit(90.0)))) / F.cos(F.radians("center_lat"))
+    lon_margin = F.when(F.abs("center_lat") + margin >= 89.0, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) * 1.000001)
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int")))
+
+    of = areas.withColumn("level", _cover_level(F.col("radius_km"))).withColumns({"margin": margin, "lon_margin": lon_margin})
+    lat, lon = F.col("center_lat") + 90.0, F.col("center_lon") + 180.0
+    of = of.withColumn("i", cells(lat - F.col("margin"), lat + F.col("margin")))
+    of = of.withColumn("j", cells(lon - F.col("lon_margin"), lon + F.col("lon_margin")))
+    columns = F.pow(F.lit(2), F.col("level")).cast("int")
+    return of.withColumn("j", F.pmod(F.col("j"), columns)).drop("margin", "lon_margin").distinct()
+
+
+def ways_of_areas(way_nodes: DataFrame, areas: DataFrame) -> DataFrame:
+    """``(area_id, way_id)`` of the ways with a node or an edge in each area ``(area_id, center_lat,
+    center_lon, radius_km)``, however many and however they overlap.
+
+    Areas are covered by cells of a grid that goes with their radius, edges are looked up in the cells that
+    they cross, in each of the (thirteen at most) grids in use, and only pairs of one cell are tested. No edge
+    is compared with every area."""
+    cells = _area_cells(areas.select("area_id", "center_lat", "center_lon", "radius_km"))
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())
+    if not levels:
+        return way_nodes.sparkSession.createDataFrame([], StructType([areas.schema["area_id"], way_nodes.schema["way_id"]]))
+    edges = with_edges(way_nodes.select(*[c for c in ("way_id", "idx", "lat", "lon") if c in way_nodes.columns]))
+    edges = edges.filter("lat is not null and lon is not null").withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels])))
+    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
+    dlon = lon_difference(F.col("to_lon"), F.col("lon"))
+    x = (F.col("lon") + 180.0) / size - 0.5
+    placed = edges.withColumns(
+        {"y0": (F.col("lat") + 90.0) / size - 0.5, "y1": (F.col("to_lat") + 90.0) / size - 0.5, "x0": x, "x1": x + dlon / size}
+    )
+    touched = _crossed_cells(placed, F.lit(1 << 20), F.lit(0.5) + arc_bulge_degrees(dlon) / size, F.lit(0.5))
+    touched = touched.withColumn("j", F.pmod(F.col("j"), F.pow(F.lit(2), F.col("level")).cast("int")))
+    near = arc_distance_km(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
+    return touched.join(cells, ["level", "i", "j"]).filter(near <= F.col("radius_km")).select("area_id", "way_id").distinct()
+
+
 def _cell_center(i: Column, j: Column, size_km: float) -> tuple[Column, Column]:
     size = F.lit(float(size_km))
     return (

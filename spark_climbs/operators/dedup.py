@@ -1,6 +1,7 @@
 """Removal of duplicate segments, first one wins.
 
-Both steps work on the narrow form of segments (``segment_ends``).
+Both steps work on the narrow form of segments (``segment_ends``). Segments with an ``area_id`` are
+compared inside their area only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from spark_climbs.materialize import discard, materialize
 DEFAULT_TOLERANCE_M = 10.0
 
 _ENDS = ("start_lat", "start_lon", "end_lat", "end_lon")
+_PLACED = ("scope", *_ENDS)
+
+
+def _scope(segments: DataFrame) -> Column:
+    return (F.col("area_id") if "area_id" in segments.columns else F.lit(0)).alias("scope")
 
 
 def dedup_exact(segments: DataFrame) -> DataFrame:
@@ -22,7 +28,7 @@ def dedup_exact(segments: DataFrame) -> DataFrame:
     keyed = segments.filter(F.size("way_ids") > 0)
     rest = [c for c in segments.columns if c != "seq"]
     first = (
-        keyed.groupBy(F.array_sort("way_ids").alias("id_set"))
+        keyed.groupBy(_scope(segments), F.array_sort("way_ids").alias("id_set"))
         .agg(F.min_by(F.struct("seq", *rest), "seq").alias("first"))
         .select("first.*")
         .select(*segments.columns)
@@ -56,7 +62,7 @@ def _has_valid_ends() -> Column:
 
 
 def _valid_ends(segments: DataFrame) -> DataFrame:
-    return segments.filter(_has_valid_ends()).select("seq", *_ENDS)
+    return segments.filter(_has_valid_ends()).select("seq", _scope(segments), *_ENDS)
 
 
 def _first_kept(ends: DataFrame, tol_m: float) -> DataFrame:
@@ -72,7 +78,7 @@ def _first_kept(ends: DataFrame, tol_m: float) -> DataFrame:
     pairs of rows. Undecided rows are the only input of the next round, whatever
     their number; the first of them is decided in each, so the rounds end.
     """
-    first = ends.groupBy(*_ENDS).agg(F.min("seq").alias("seq"))
+    first = ends.groupBy(*_PLACED).agg(F.min("seq").alias("seq"))
     undecided = materialize(_with_cells(first, tol_m), "undecided")
     kept = None
     while kept is None or not undecided.isEmpty():
@@ -93,12 +99,12 @@ def _with_cells(ends: DataFrame, tol_m: float) -> DataFrame:
     """Add the cells of both ends. The diagonal of a cell is below the tolerance."""
     side = tol_m * 0.57
     xyz = (*cartesian_m(F.col("start_lat"), F.col("start_lon")), *cartesian_m(F.col("end_lat"), F.col("end_lon")))
-    return ends.select("seq", *_ENDS, *[F.floor(x / side).cast("int").alias(c) for x, c in zip(xyz, _CELLS)])
+    return ends.select("seq", *_PLACED, *[F.floor(x / side).cast("int").alias(c) for x, c in zip(xyz, _CELLS)])
 
 
 def _offers(undecided: DataFrame) -> DataFrame:
     """First undecided segment of every cell pair, and whether it is the only one."""
-    return undecided.groupBy(*_CELLS).agg(
+    return undecided.groupBy("scope", *_CELLS).agg(
         F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in _ENDS], (F.count("*") == 1).alias("alone")
     )
 
@@ -109,7 +115,7 @@ def _block_of(cell: Column) -> Column:
 
 def _in_block(rows: DataFrame) -> DataFrame:
     """Add the join key of the block. A hash collision only adds a tested pair."""
-    return rows.withColumn("block", F.xxhash64(*[_block_of(F.col(c)) for c in _CELLS]))
+    return rows.withColumn("block", F.xxhash64("scope", *[_block_of(F.col(c)) for c in _CELLS]))
 
 
 def _in_reached_blocks(rows: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def _in_reached_blocks(rows: DataFrame) -> DataFrame:
         low, high = _block_of(F.col(c) - _REACH_CELLS), _block_of(F.col(c) + _REACH_CELLS)
         rows = rows.withColumn(f"b_{c}", F.explode(F.sequence(low, high)))
     blocks = [f"b_{c}" for c in _CELLS]
-    return rows.withColumn("block", F.xxhash64(*blocks)).drop(*blocks)
+    return rows.withColumn("block", F.xxhash64("scope", *blocks)).drop(*blocks)
 
 
 def _alike(a: str, b: str, tol_m: float) -> Column:
@@ -127,11 +133,15 @@ def _alike(a: str, b: str, tol_m: float) -> Column:
             F.col(f"{a}.{end}_lat"), F.col(f"{a}.{end}_lon"), F.col(f"{b}.{end}_lat"), F.col(f"{b}.{end}_lon")
         ) * F.lit(1000.0)
 
-    return (apart("start") < tol_m) & (apart("end") < tol_m)
+    return _same_scope(a, b) & (apart("start") < tol_m) & (apart("end") < tol_m)
+
+
+def _same_scope(a: str, b: str) -> Column:
+    return F.col(f"{a}.scope").eqNullSafe(F.col(f"{b}.scope"))
 
 
 def _within_reach(a: str, b: str) -> Column:
-    near = F.lit(True)
+    near = _same_scope(a, b)
     for c in _CELLS:
         near &= F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) <= _REACH_CELLS
     return near
@@ -144,7 +154,7 @@ def _unopposed(offers: DataFrame, tol_m: float) -> DataFrame:
     blocked = (
         (F.col("r.seq") < F.col("m.seq")) & _within_reach("m", "r") & (~F.col("r.alone") | _alike("m", "r", tol_m))
     )
-    return mine.join(rivals, (F.col("m.block") == F.col("r.block")) & blocked, "left_anti").select("seq", *_ENDS, *_CELLS)
+    return mine.join(rivals, (F.col("m.block") == F.col("r.block")) & blocked, "left_anti").select("seq", *_PLACED, *_CELLS)
 
 
 def _without_alike(undecided: DataFrame, winners: DataFrame, tol_m: float) -> DataFrame:

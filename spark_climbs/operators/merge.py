@@ -67,11 +67,14 @@ def endpoint_members(
     wide as in the round before become one group, which scans as one. A road over
     n tiles thus takes about log4(n) rounds, while a street of any size is never brought into one
     task: a group has at most ``GROUP_ROWS`` rows, and where that is reached, groups go on handing
-    claims to each other. Only what changed is compared. Pieces without valid ends are roads of their own.
+    claims to each other. Only what changed is compared. Pieces without valid ends are roads of their own;
+    those with an ``area_id`` join pieces of their area only.
     """
     if tile_deg is not None and tile_deg < tol_deg * 2.5:
         raise ValueError("a tile must be wider than two tolerances")
     parts = ["street_name", "surface"] if split_on_surface else ["street_name"]
+    if "area_id" in ends.columns:
+        parts.append("area_id")
     pieces = ends.select("seq", F.concat_ws("\0", *parts).alias("street"), "n_nodes", "start_lat", "start_lon", "end_lat", "end_lon")
     located = pieces
     for c in ("start_lat", "start_lon", "end_lat", "end_lon"):
@@ -420,10 +423,11 @@ def merged_roads(members: DataFrame, ends: DataFrame) -> DataFrame:
     start = F.struct(oriented("end", "start", "lat").alias("lat"), oriented("end", "start", "lon").alias("lon"))
     end = F.struct(oriented("start", "end", "lat").alias("lat"), oriented("start", "end", "lon").alias("lon"))
     by_joining = F.array_sort(F.collect_list(F.struct(no, F.col("way_ids"))))
+    area = [c for c in ("area_id",) if c in ends.columns]
     roads = m.groupBy("road_id").agg(
         F.flatten(F.transform(by_joining, lambda x: x["way_ids"])).alias("way_ids"),
         F.min_by(F.get("way_ids", F.lit(0)), no).alias("first_way_id"),
-        F.min_by("street_name", no).alias("street_name"),
+        *[F.min_by(c, no).alias(c) for c in ("street_name", *area)],
         F.coalesce(first_where(F.col("surface"), F.col("surface") != "unknown"), F.lit("unknown")).alias("surface"),
         F.coalesce(first_where(track, known_track), F.min_by(track, no)).alias("track"),
         F.count("*").alias("n_pieces"),
@@ -433,6 +437,7 @@ def merged_roads(members: DataFrame, ends: DataFrame) -> DataFrame:
     )
     return roads.select(
         "road_id",
+        *area,
         "way_ids",
         "first_way_id",
         "street_name",

@@ -118,6 +118,7 @@ def climb_metrics(nodes: DataFrame, roads: DataFrame) -> DataFrame:
     """Climbs with the attributes of their roads (``merged_roads`` columns)."""
     attributes = roads.select(
         "road_id",
+        *[c for c in ("area_id",) if c in roads.columns],
         "street_name",
         "surface",
         "tracktype",

@@ -26,8 +26,9 @@ def state(address: Column) -> Column:
     return F.coalesce(first_filled(*[address[k] for k in STATE_KEYS]), F.lit(_UNKNOWN))
 
 
-def attach_location(climbs: DataFrame, places: DataFrame, center: tuple[float, float] | None) -> DataFrame:
-    """Add ``city``, ``state`` and ``center_km`` by the 3-decimal cell of the start.
+def attach_location(climbs: DataFrame, places: DataFrame, center: tuple[float, float] | DataFrame | None) -> DataFrame:
+    """Add ``city``, ``state`` and ``center_km`` by the 3-decimal cell of the start. The centre is one place, or
+    that of every climb's area in ``(area_id, center_lat, center_lon)``.
 
     Climbs of one cell share the start of the last of them in rank order. That is an
     aggregate joined back, not a window, so a crowded cell is combined map-side. A
@@ -40,7 +41,11 @@ def attach_location(climbs: DataFrame, places: DataFrame, center: tuple[float, f
     located = climbs.withColumns(
         {"lat_e3": coord_key(F.col("start_lat"), 3), "lon_e3": coord_key(F.col("start_lon"), 3)}
     )
-    shared = located.groupBy(*cell).agg(
+    per, at = cell, center
+    if isinstance(center, DataFrame):
+        per, at = ["area_id", *cell], (F.col("center_lat"), F.col("center_lon"))
+        located = located.join(center.select("area_id", "center_lat", "center_lon"), "area_id")
+    shared = located.groupBy(*per).agg(
         F.max_by(
             F.struct(F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")),
             F.struct(-F.col("climb_score"), F.col("road_id")),
@@ -55,9 +60,9 @@ def attach_location(climbs: DataFrame, places: DataFrame, center: tuple[float, f
         *cell, or_failed(city(F.col("address"))).alias("city"), or_failed(state(F.col("address"))).alias("state")
     )
     no_start = F.col("start_lat").isNull() | F.col("start_lon").isNull()
-    distance = haversine_km(*center, F.col("shared.lat"), F.col("shared.lon"))
+    distance = haversine_km(*at, F.col("shared.lat"), F.col("shared.lon"))
     return (
-        located.join(shared, cell, "left")
+        located.join(shared, per, "left")
         .join(named, cell, "left")
         .withColumns(
             {
@@ -66,7 +71,7 @@ def attach_location(climbs: DataFrame, places: DataFrame, center: tuple[float, f
                 "center_km": F.when(no_start, 0.0).otherwise(distance),
             }
         )
-        .drop(*cell, "shared")
+        .drop(*cell, "shared", "center_lat", "center_lon")
     )
 
 
@@ -165,6 +170,18 @@ def resolve_region(names: DataFrame, bounds: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def region_areas(regions: DataFrame) -> DataFrame:
+    """Areas to analyse from ``resolve_region`` rows, by their names."""
+    return regions.select(F.col("name").alias("area_id"), F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), "radius_km")
+
+
+def address_areas(found: DataFrame, radius_km: float | Column) -> DataFrame:
+    """Areas of a radius around ``geocode`` rows, by their ids; addresses without a hit have none."""
+    radius = radius_km if isinstance(radius_km, Column) else F.lit(float(radius_km))
+    areas = found.select(F.col("address_id").alias("area_id"), F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), radius.alias("radius_km"))
+    return areas.filter("center_lat is not null and center_lon is not null")
+
+
 # Fixed value: country names shown; states are listed in full.
 SHOWN_COUNTRIES = 20
 

@@ -11,7 +11,8 @@ from spark_climbs.functions.scoring import height_units, is_imperial, length_uni
 
 def report(climbs: DataFrame, unit_system: str = "imperial") -> DataFrame:
     """The 17 report columns of located climbs, best first. Whole numbers are cut, not
-    rounded; anything but ``imperial`` is metric."""
+    rounded; anything but ``imperial`` is metric. Climbs of several areas are listed by area,
+    with ``area_id`` before the columns."""
     up, along = ("ft", "mi") if is_imperial(unit_system) else ("m", "km")
 
     def whole(value: Column) -> Column:
@@ -23,8 +24,10 @@ def report(climbs: DataFrame, unit_system: str = "imperial") -> DataFrame:
     def km(name: str, digits: int) -> Column:
         return F.round(length_units(F.col(name), unit_system), digits)
 
-    ranked = climbs.orderBy(F.desc("climb_score"), "road_id")
+    area = [c for c in ("area_id",) if c in climbs.columns]
+    ranked = climbs.orderBy(*area, F.desc("climb_score"), "road_id")
     return ranked.select(
+        *area,
         F.col("street_name").alias("Street Name"),
         F.col("city").alias("City"),
         F.col("state").alias("State"),

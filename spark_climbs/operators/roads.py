@@ -77,15 +77,16 @@ def first_of_ways(ways: DataFrame, order: Column | None = None) -> DataFrame:
     return dedup_ways(ways, order=order)
 
 
-def segments_from_ways(ways: DataFrame, seq: Column | None = None) -> DataFrame:
+def segments_from_ways(ways: DataFrame, seq: Column | None = None, *more: str) -> DataFrame:
     """One segment per named way with more than one node. Without an explicit
-    total order the way id is the order."""
+    total order the way id is the order. ``more`` columns are carried along."""
     named = derive_road_attributes(ways.filter(F.size("nodes") > 1))
     return named.select(
         (F.col("way_id") if seq is None else seq).alias("seq"),
         F.array("way_id").alias("way_ids"),
         *SEGMENT_ATTRIBUTES,
         "nodes",
+        *more,
     )
 
 

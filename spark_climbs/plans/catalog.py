@@ -324,7 +324,7 @@ def connected_pairs(spark, d):
     """Pairs of neighbouring ways connected by themselves."""
     segments = materialize(_turned_segments(spark, d), "segments")
     one = lambda name: F.struct(*segments.columns).alias(name)
-    left, right = segments.select("seq", one("a")), segments.select((F.col("seq") - 1).alias("seq"), one("b"))
+    left, right = segments.select("seq", one("a")), segments.select(F.explode(F.array(F.col("seq") - 1, F.col("seq") + 1)).alias("seq"), one("b"))
     kind = merge.connection_kind(F.col("a"), F.col("b"))
     pairs = left.join(right, "seq").withColumn("kind", kind).filter("kind is not null")
     joined = pairs.select("kind", merge.connect(F.col("a"), F.col("b"), F.col("kind")).alias("road")).select("kind", "road.*")
@@ -562,6 +562,30 @@ def flagship(spark, d):
     return _analysis(spark, d, "imperial", radius_km=scoring.radius_to_km(150.0, "imperial"))
 
 
+def _nation_areas(spark, d) -> DataFrame:
+    """Overlapping areas of several sizes over the network."""
+    k = F.col("n_nationkey")
+    return X.table(spark, d, "nation").filter("n_nationkey < 12").select(
+        k.cast("long").alias("area_id"),
+        (F.lit(35.1) + k * 0.25).alias("center_lat"),
+        (F.lit(-81.98) + (k % 5) * 0.03).alias("center_lon"),
+        (F.lit(6.0) + (k % 4) * (k % 4) * 5.0).alias("radius_km"),
+    )
+
+
+@query
+def ways_of_areas(spark, d):
+    """Which ways, with edges of many km, are in which area."""
+    return area.ways_of_areas(X.long_way_nodes(spark, d), _nation_areas(spark, d))
+
+
+@query
+def multi_area_report(spark, d):
+    """The reports of several areas in one run."""
+    ways, elevation = _road_table(spark, d), X.elevation(spark, d, X.REPORT_SCALE)
+    return pipeline.analyze_areas(ways, elevation, X.places(spark, d), _nation_areas(spark, d), seq=X.seq())
+
+
 def _bounds(spark, d) -> DataFrame:
     k = F.col("n_nationkey")
     return X.table(spark, d, "nation").select(

@@ -311,6 +311,32 @@ def _area_report(imperial: bool, radius_km: float, kind: str) -> str:
     return _merged(1.00013, where) + _PLACES + _located(kept).format(order=order) + _report(1.00013, "located", imperial, _WAY_COLUMNS)
 
 
+_AREAS = """,
+areas as (
+  select n_nationkey::bigint as area_id, 35.1 + n_nationkey * 0.25 as center_lat, -81.98 + (n_nationkey % 5) * 0.03 as center_lon,
+    6.0 + (n_nationkey % 4) * (n_nationkey % 4) * 5.0 as radius_km
+  from nation where n_nationkey < 12)"""
+
+
+def _multi_area() -> str:
+    """Ways of every area as ways of their own, whose chains are a million apart from one area to the next."""
+    inside = (
+        f", inside as (select distinct area_id, way_id from {_EDGES.format(nodes='nodes')} e, areas"
+        f" where {_arc_km('center_lat', 'center_lon', 'e.')} <= radius_km)"
+    )
+    own = (
+        f"(select way.* replace (way.chain + area_id * 1000000 as chain) from way join inside using (way_id) where n >= 2 and {_FILTERS['all']})"
+    )
+    located = _located("(select * from rated join told using (chain, island) where climb_score >= 6000)").format(order=_SEQ.format(m="").replace("way_id", "seed"))
+    located = located.replace("partition by lat_e3", "partition by chain // 1000000, lat_e3")
+    located = located.replace(_hav(_LAT, _LON, "shared_lat", "shared_lon"), _hav("a.center_lat", "a.center_lon", "shared_lat", "shared_lon"))
+    located = located.replace("from shared s left join place", "from shared s join areas a on a.area_id = chain // 1000000 left join place")
+    return (
+        _nodes(1.00013) + _WAYS + _AREAS + inside + _ROADS.format(source=own) + _joined(_SEQ) + _CLIMBS + _PLACES + located
+        + _report(1.00013, "located", True, _WAY_COLUMNS).replace("select street_name", "select (chain // 1000000)::bigint as area_id, street_name", 1)
+    )
+
+
 _WAY_COLUMNS = """,
   surface as "Surface", tracktype as "Tracktype", seed::varchar as "Way ID",
   '[' || seed || '](https://www.openstreetmap.org/way/' || seed || ')' as "OSM Link\""""
@@ -491,7 +517,7 @@ def all_sql() -> dict[str, str]:
                   when greatest(abs(x.b_lat - y.b_lat), abs(x.b_lon - y.b_lon)) < 0.002 then 'end1_to_end2'
                   when greatest(abs(x.a_lat - y.a_lat), abs(x.a_lon - y.a_lon)) < 0.002 then 'start1_to_start2'
                   when greatest(abs(x.a_lat - y.b_lat), abs(x.a_lon - y.b_lon)) < 0.002 then 'start1_to_end2' end as kind
-              from side x join side y on y.way_id = x.way_id + 1 and y.street_name = x.street_name)
+              from side x join side y on abs(y.way_id - x.way_id) = 1 and y.street_name = x.street_name)
             select kind, left_way || ',' || right_way as way_ids, n_nodes::bigint as n_nodes,
               round(case kind when 'end1_to_start2' then xa when 'end1_to_end2' then xa when 'start1_to_start2' then xb else ya end, 6) as start_lat,
               round(case kind when 'end1_to_start2' then yb when 'end1_to_end2' then ya when 'start1_to_start2' then yb else xb end, 6) as end_lat,
@@ -555,6 +581,9 @@ def all_sql() -> dict[str, str]:
         .replace("select street_name", "select located.street_name"),
         "report_imperial": _area_report(True, 500.0, "all"),
         "report_metric": _area_report(False, 500.0, "paved"),
+        "ways_of_areas": nodes + _LONG + _AREAS + f"""
+            select distinct area_id, way_id from {long_edges} e, areas where {_arc_km('center_lat', 'center_lon', 'e.')} <= radius_km""",
+        "multi_area_report": _multi_area(),
         "flagship": _area_report(True, 150.0 * 1.60934, "all"),
         "resolve_region": _region("state", "39.0 -98.0 400.0"),
         "resolve_region_country": _region("country", "0.0 0.0 1000.0"),

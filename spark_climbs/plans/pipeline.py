@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_climbs.functions.scoring import DEFAULT_MIN_SCORE
 from spark_climbs.materialize import materialize
-from spark_climbs.operators.area import ways_within_radius
+from spark_climbs.operators.area import ways_of_areas, ways_within_radius
 from spark_climbs.operators.dedup import dedup_exact, dedup_near
 from spark_climbs.operators.elevation import attach_elevation
 from spark_climbs.operators.merge import endpoint_members, merged_roads, road_nodes
@@ -46,7 +46,7 @@ def climbs_from_segments(segments: DataFrame, elevation: DataFrame, split_on_sur
 def locate_and_report(
     climbs: DataFrame,
     places: DataFrame,
-    center: tuple[float, float] | None,
+    center: tuple[float, float] | DataFrame | None,
     unit_system: str = "imperial",
     min_score: float = DEFAULT_MIN_SCORE,
 ) -> DataFrame:
@@ -87,3 +87,39 @@ def analyze_area(
     segments = select_segments(ways, center, radius_km, surface_filter, seq)
     climbs = climbs_from_segments(segments, elevation, split_on_surface)
     return locate_and_report(climbs, places, center, unit_system, min_score)
+
+
+#: Orders of segments are told apart by area in one number: this many bits of it are the order inside the area.
+_SEQ_BITS = 44
+
+
+def analyze_areas(
+    ways: DataFrame,
+    elevation: DataFrame,
+    places: DataFrame,
+    areas: DataFrame,
+    surface: str = "all",
+    unit_system: str = "imperial",
+    min_score: float = DEFAULT_MIN_SCORE,
+    split_on_surface: bool = False,
+    seq: Column | None = None,
+) -> DataFrame:
+    """Ranked reports of many areas ``(area_id, center_lat, center_lon, radius_km)`` in one run: towns, states or
+    countries (``address_areas``, ``region_areas``), overlapping or not. Every area gets the report that
+    ``analyze_area`` gives for it, with its ``area_id`` before the columns.
+
+    Ways are listed for the areas they are in and carry ``area_id`` from there on; duplicates
+    and joints are looked for inside an area. The list of areas is numbered in one task, its rows
+    alone; ``seq`` must lie under 2 ** 44."""
+    order = F.col("way_id") if seq is None else seq
+    chosen = materialize(first_of_ways(surface_filter(ways, surface), seq).withColumn("own_seq", order.cast("long")), "ways")
+    numbers = areas.select("area_id", (F.row_number().over(Window.orderBy("area_id")) - 1).cast("long").alias("area_no"))
+    listed = ways_of_areas(chosen.select("way_id", F.inline("nodes")), areas)
+    inside = chosen.join(listed.join(numbers, "area_id"), "way_id")
+    too_large = (F.col("own_seq") < 0) | (F.col("own_seq") >= 1 << _SEQ_BITS)
+    packed = F.when(too_large, F.raise_error(F.lit("the order of a way is out of range")).cast("long")).otherwise(
+        F.shiftleft("area_no", _SEQ_BITS) + F.col("own_seq")
+    )
+    segments = materialize(segments_from_ways(inside, packed, "area_id"), "segments")
+    climbs = climbs_from_segments(segments, elevation, split_on_surface)
+    return locate_and_report(climbs, places, areas, unit_system, min_score)

@@ -122,3 +122,27 @@ def test_edges_in_chunks(spark, cover, center):
                 if cell in of:
                     seen.add((of[cell], k))
         assert seen <= got and len(got - seen) <= 8  # a corner may be cut between two places
+
+
+AREA = "area_id string, center_lat double, center_lon double, radius_km double"
+
+
+def test_ways_of_many_areas(spark):
+    """Areas of all sizes, over each other, over the antimeridian and round a pole."""
+    rnd = random.Random(3)
+    centers = [(35.0, -82.0), (0.0, 179.95), (-0.3, -179.9), (88.9, 20.0), (-70.0, 0.0)]
+    areas = [(f"{k}", *rnd.choice(centers), rnd.choice([0.5, 5.0, 40.0, 300.0])) for k in range(25)]
+    edges = [e for k, c in enumerate(centers) for e in random_edges(k, 25, c, 0.9)]
+    nodes = [(k, idx, *p) for k, e in enumerate(edges) for idx, p in enumerate(e)] + [(999, 0, *centers[1]), (998, 0, None, None)]
+    df = spark.createDataFrame(nodes, "way_id long, idx int, lat double, lon double")
+    got = {(r.area_id, r.way_id) for r in area.ways_of_areas(df, spark.createDataFrame(areas, AREA)).collect()}
+    for k, (a, b) in enumerate([*edges, (centers[1], centers[1])]):
+        way = k if k < len(edges) else 999
+        of = list(along(a, b, 500))
+        for name, lat, lon, radius in areas:
+            d = min(metres((lat, lon), p) for p in of) / 1000
+            assert abs(d - radius) < 0.3 or ((name, way) in got) == (d <= radius), (name, way, d, radius)
+    # one area alone is what the radius predicate finds
+    for name, lat, lon, radius in areas[:4]:
+        assert {w for n, w in got if n == name} == {r.way_id for r in area.within_radius(df, lat, lon, radius).collect()}
+    assert area.ways_of_areas(df, spark.createDataFrame([], AREA)).count() == 0

@@ -83,3 +83,25 @@ def test_tables_of_earlier_rounds_can_be_deleted(spark):
     folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     discard(table, None, spark.range(2))
     assert not os.path.isdir(folder)
+
+
+def test_areas_of_addresses_and_regions(spark):
+    """What an address or a name leads to is analysed, each as if alone."""
+    from spark_climbs import fixtures as X
+    from spark_climbs.operators import places
+    from spark_climbs.plans import pipeline
+
+    sf = "/root/testdata/sf0.001"
+    gazetteer = spark.createDataFrame([("1 Hill Rd, USA", 35.3, -82.0, "1 Hill Rd")], "query string, lat double, lon double, address string")
+    addresses = spark.createDataFrame([("home", "1 Hill Rd", "USA"), ("lost", "Nowhere", None)], "address_id string, address string, country string")
+    bounds = spark.createDataFrame([("state", 0, "highland", 35.6, -82.0, 30.0)], "kind string, ord int, name string, lat double, lon double, radius_km double")
+    regions = places.resolve_region(spark.createDataFrame([("Highland",)], "name string"), bounds, "state")
+    areas = places.address_areas(places.geocode(addresses, gazetteer), 25.0).unionByName(places.region_areas(regions))
+    rows = {r["area_id"]: r for r in areas.collect()}
+    assert set(rows) == {"home", "Highland"}
+    ways, elevation, towns = X.ways(spark, sf), X.elevation(spark, sf), X.places(spark, sf)
+    many = pipeline.analyze_areas(ways, elevation, towns, areas, seq=X.seq()).toPandas()
+    for name, r in rows.items():
+        alone = pipeline.analyze_area(ways, elevation, towns, (r["center_lat"], r["center_lon"]), r["radius_km"], seq=X.seq()).toPandas()
+        mine = many[many.area_id == name].drop(columns="area_id").reset_index(drop=True)
+        assert len(alone) and mine.equals(alone)
