@@ -1,21 +1,22 @@
 """Token ids of documents as Huffman-coded files, in ascending order of the ids.
 
 Three passes, each written before the next: the documents are tokenized and dealt to
-ranges of doc_id (sorted inside, with their offset in the range); the ids are coded with
-canonical length-limited Huffman codes from the global counts and written as blocks;
-readers decode blocks independently from their checkpoints.
+ranges of doc_id, a task for each (sorted inside, with their offset in the range); the ids are coded with
+canonical length-limited Huffman codes from the global counts, and the coded blocks go to files in
+the order of the ranges; readers decode blocks independently from their checkpoints. Files in the order of
+their names, and blocks inside a file, hold the documents in order, one following the other.
 
 The file format is a folder: ``blocks`` has Parquet rows of (first document's place,
 doc_ids, starts, sizes, bits, checkpoints), ``codes`` the code length of every id. Each
 block is complete with ``codes``; a lost task rewrites its own blocks alone.
 
-What meets on the driver: the range bounds (at most ``MAX_RANGES``), and a count for each
-id of the vocabulary.
+What meets on the driver: the range bounds (one for ``RANGE_ROWS`` documents, or for each shuffle partition), and
+a count for each id of the vocabulary.
 
-Encoding splits texts at ASCII white space: the tokenizer drops white space and no token
-of it crosses any, so the ids of a text are those of its pieces in turn, and a piece seen
-before is not encoded again, nor is one with a full stop or comma after a letter. Texts with a special token's opening ``<|`` are encoded
-whole.
+Where the tokenizer's file says that it lower-cases, drops white space and cuts as ``_CUT`` does, texts are split at
+ASCII white space: no token crosses any, so the ids of a text are those of its pieces in turn, and a piece seen
+before is not encoded again, nor is one with a full stop or comma after a letter. Texts with a special token's opening
+``<|``, and all texts for any other tokenizer, are encoded whole.
 
 Defined results: a null or empty text has no ids but the end id; a null doc_id sorts
 first; equal doc_ids follow the hash of their text; an empty table gives no rows; texts
@@ -24,8 +25,10 @@ are whole and a block holds any number of ids up to ``BLOCK`` plus one document.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +43,28 @@ from spark_climbs.materialize import checkpoint_dir, materialize
 END = 1
 #: Ids after which a block is closed.
 BLOCK = 1 << 18
-#: Documents in a range, if there are not too many of them.
-RANGE_ROWS, MAX_RANGES = 500, 100_000
+#: Documents in a range at most.
+RANGE_ROWS = 50_000
 #: Pieces of each of the two generations whose ids a worker remembers.
 REMEMBERED = 500_000
 
 
+#: The normalizer and the words of the tokenizer whose texts can be cut at white space.
+_NORMALIZER = ["NFC", "Replace \\s+", "Lowercase"]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_at_space(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    normal = [" ".join(filter(None, [n["type"], n.get("pattern", {}).get("Regex")])) for n in (told["normalizer"] or {}).get("normalizers", [])]
+    words = before[0].get("type") == "Split" and before[0]["pattern"].get("Regex") == _CUT and before[0]["behavior"] == "Removed" and before[0]["invert"]
+    rest = all(b["type"] == "ByteLevel" and not b["add_prefix_space"] and not b["use_regex"] for b in before[1:])
+    added = all(t["content"].startswith("<|") for t in told["added_tokens"])
+    return bool(words and rest and added and normal == _NORMALIZER)
+
+
 class _Pieces:
     """Ids of pieces as bytes. Pieces are remembered in two generations: when the young
     one is full it becomes the old one, and what is used again moves on."""
@@ -56,6 +75,8 @@ class _Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.code = "I" if self.wide else "H"
+        self.cut = _cuts_at_space(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         # a full stop or comma after a letter is a token of its own
@@ -65,17 +86,27 @@ class _Pieces:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _ended(self, piece: bytes) -> bool:
         return piece[-1] in self.stops and len(piece) > 1 and 97 <= piece[-2] <= 122
 
+    def learn(self, cuts: list[list[bytes]]) -> None:
+        """Encode together what the texts of a batch have that was not met before."""
+        young = self.young
+        self.found({p for cut in cuts for p in cut if p not in young})
+
     def ids(self, cut: list[bytes]) -> bytes:
-        """Ids of the pieces in turn; those not met before are encoded together."""
+        """Ids of the pieces in turn."""
+        return b"".join(self.found(cut))
+
+    def found(self, cut) -> list[bytes]:
+        """Ids of each piece; those not met before are encoded together."""
+        cut = list(cut)
         found = list(map(self.young.get, cut))
         at = [k for k, f in enumerate(found) if f is None]
         if not at:
-            return b"".join(found)
+            return found
         stems = [cut[k][:-1] if self._ended(cut[k]) else cut[k] for k in at]
         young, old = self.young, self.old
         new = []
@@ -89,10 +120,13 @@ class _Pieces:
         done = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
         young.update((p, self._packed(e.ids)) for p, e in zip(new, done))
         for k, stem in zip(at, stems):
-            found[k] = young[stem] if len(stem) == len(cut[k]) else young[stem] + self.stops[cut[k][-1]]
+            if len(stem) == len(cut[k]):
+                found[k] = young[stem]
+            else:
+                found[k] = young[cut[k]] = young[stem] + self.stops[cut[k][-1]]
         if len(young) > REMEMBERED:
             self.young, self.old = {}, young
-        return b"".join(found)
+        return found
 
 
 def _pieces(path: str) -> _Pieces:
@@ -102,36 +136,37 @@ def _pieces(path: str) -> _Pieces:
     return kept(("tokenizer", path), lambda: _Pieces(path))
 
 
+def _encoded(texts: list[str | None], pieces: _Pieces) -> list[bytes]:
+    """Ids of whole texts, without the end id."""
+    cuts = [None if t and ("<|" in t or not pieces.cut) else t.encode().lower().split() if t else [] for t in texts]
+    pieces.learn([c for c in cuts if c])
+    return [pieces.whole(t) if c is None else pieces.ids(c) for t, c in zip(texts, cuts)]
+
+
 def encode(text: str | None, pieces: _Pieces) -> np.ndarray:
     """Ids of a whole text, without the end id."""
-    if not text:
-        return np.zeros(0, dtype=np.uint32)
-    if "<|" in text:
-        raw = pieces.whole(text)
-    else:
-        raw = pieces.ids(text.encode().lower().split())
-    return np.frombuffer(raw, dtype=pieces.kind).astype(np.uint32)
+    return np.frombuffer(_encoded([text], pieces)[0], dtype=pieces.kind).astype(np.uint32)
+
+
+#: Texts that are encoded together.
+_TOGETHER = 500
 
 
 def _tokenized(path: str, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        kind = pieces.kind
-        for batch in batches:
-            rows = [np.append(encode(t, pieces), END).astype("<u4") for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
-            place = np.searchsorted(bounds, ids.fill_null(0).to_numpy()).astype(np.int32)
-            place[ids.is_null().to_numpy(zero_copy_only=False)] = -1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(place),
-                    ids,
-                    batch.column("text_key"),
-                    pa.array([len(r) for r in rows], pa.int64()),
-                    pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()),
-                ],
-                ["range", "doc_id", "text_key", "n", "ids"],
-            )
+        end, size = pieces._packed([END]), pieces.kind.itemsize
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TOGETHER):
+                batch = whole.slice(at, _TOGETHER)
+                rows = [r + end for r in _encoded(batch.column("text").to_pylist(), pieces)]
+                ids = batch.column("doc_id")
+                place = np.searchsorted(bounds, ids.fill_null(0).to_numpy()).astype(np.int32) + 1
+                place[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(place), ids, batch.column("text_key"), pa.array([len(r) // size for r in rows], pa.int64()), pa.array(rows, pa.binary())],
+                    ["range", "doc_id", "text_key", "n", "ids"],
+                )
 
     return run
 
@@ -162,18 +197,21 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, cuts], np.r_[cuts, len(values)]
 
 
-def tokenize(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """``range, before, doc_id, n, ids`` of every document, written in order."""
+def tokenize(documents: DataFrame, tokenizer: str) -> tuple[DataFrame, int]:
+    """``range, before, doc_id, n, ids`` of every document, written in order, and how many ranges there
+    are: the null ids, then those up to each bound."""
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     n = rows.count()
-    n_ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    cuts = [k / n_ranges for k in range(1, n_ranges)]
-    bounds = sorted(set(rows.approxQuantile("doc_id", cuts, 0.1 / n_ranges))) if cuts and n else []
+    wanted = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    cuts = [k / wanted for k in range(1, wanted)]
+    bounds = sorted(set(rows.approxQuantile("doc_id", cuts, 0.1 / wanted))) if cuts and n else []
+    n_ranges = len(bounds) + 2
     dealt = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     run = _tokenized(tokenizer, np.array(bounds, dtype=np.int64))
     coded = dealt.mapInArrow(run, "range int, doc_id long, text_key long, n long, ids binary")
-    ordered = coded.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text_key")
-    return materialize(ordered.mapInArrow(_offsets, "range int, before long, doc_id long, n long, ids binary"), "ids")
+    # a range is a task, and files are named in their order
+    ordered = coded.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text_key")
+    return materialize(ordered.mapInArrow(_offsets, "range int, before long, doc_id long, n long, ids binary"), "ids"), n_ranges
 
 
 def _counted(kind: str):
@@ -193,36 +231,37 @@ def _counted(kind: str):
 def _blocks(kind: str, code_lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = huffman.canonical(code_lengths)
-        for batch in batches:
-            held, size, starts, sizes, docs = [], 0, [], [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n", "ids")))
-
-            def block():
-                ids = np.frombuffer(b"".join(held), dtype=kind)
-                bits, checkpoints = huffman.encode(ids, code_lengths, codes)
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([starts[0]], pa.int64()),
-                        pa.array([docs], pa.list_(pa.int64())),
-                        pa.array([starts], pa.list_(pa.int64())),
-                        pa.array([sizes], pa.list_(pa.int64())),
-                        pa.array([bits], pa.binary()),
-                        pa.array([checkpoints.astype("<i4").tobytes()], pa.binary()),
-                    ],
-                    ["first", "doc_ids", "starts", "sizes", "bits", "checkpoints"],
-                )
+        held, size, starts, sizes, docs, place = [], 0, [], [], [], 0
+
+        def block():
+            ids = np.frombuffer(b"".join(held), dtype=kind)
+            bits, checkpoints = huffman.encode(ids, code_lengths, codes)
+            columns = {
+                "range": pa.array([place], pa.int32()),
+                "first": pa.array([starts[0]], pa.int64()),
+                "doc_ids": pa.array([docs], pa.list_(pa.int64())),
+                "starts": pa.array([starts], pa.list_(pa.int64())),
+                "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                "bits": pa.array([bits], pa.binary()),
+                "checkpoints": pa.array([checkpoints.astype("<i4").tobytes()], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
-            for doc, start, n, ids in rows:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "start", "n", "ids")))
+            for own, doc, start, n, ids in rows:
+                # a block is full, or what is read next does not follow
+                if held and (size >= BLOCK or own != place or start != starts[-1] + sizes[-1]):
+                    yield block()
+                    held, size, starts, sizes, docs = [], 0, [], [], []
+                place = own
                 held.append(ids)
                 size += n
                 starts.append(start)
                 sizes.append(n)
                 docs.append(doc)
-                if size >= BLOCK:
-                    yield block()
-                    held, size, starts, sizes, docs = [], 0, [], [], []
-            if held:
-                yield block()
+        if held:
+            yield block()
 
     return run
 
@@ -237,7 +276,7 @@ def write(documents: DataFrame, path: str, tokenizer: str) -> None:
     spark = documents.sparkSession
     size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     kind = "<u4" if size > 1 << 16 else "<u2"
-    ids = tokenize(documents, tokenizer)
+    ids, n_ranges = tokenize(documents, tokenizer)
     totals = ids.groupBy("range").agg(F.sum("n").alias("total"))
     so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("range", F.coalesce(F.sum("total").over(so_far), F.lit(0)).alias("base"))
@@ -246,9 +285,11 @@ def write(documents: DataFrame, path: str, tokenizer: str) -> None:
         counts[row["id"]] = row["n"]
     code_lengths = huffman.lengths(counts)
     spark.createDataFrame([(bytearray(code_lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
-    # a row for each range, MAX_RANGES at most
-    placed = ids.join(F.broadcast(bases), "range").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
-    placed.mapInArrow(_blocks(kind, code_lengths), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    # two numbers for each range
+    placed = ids.join(F.broadcast(bases), "range").select("range", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
+    blocks = placed.mapInArrow(_blocks(kind, code_lengths), f"range int, {BLOCK_SCHEMA}")
+    in_order = blocks.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("first")
+    in_order.drop("range").write.parquet(f"{path}/blocks")
 
 
 def _decoded(code_lengths: bytes, digest: bool):

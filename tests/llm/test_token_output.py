@@ -1,9 +1,11 @@
+import glob
 import heapq
 import random
 import zlib
 
 import cases
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from spark_climbs.llm import huffman, tokenizers_at
@@ -69,9 +71,23 @@ def test_files_against_the_tokenizer(spark, monkeypatch, tmp_path):
         at, last = at + r["n_tokens"], r["doc_id"]
     assert not any(want.values())
     assert rows[0]["doc_id"] is None
+    # files in the order of their names, one document following the other
+    tables = [pq.read_table(f) for f in sorted(glob.glob(f"{path}/blocks/*.parquet"))]
+    starts, sizes = ([x for t in tables for block in t[c].to_pylist() for x in block] for c in ("starts", "sizes"))
+    assert len(tables) > 2 and starts == [sum(sizes[:k]) for k in range(len(sizes))]
     digests = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in O.read(spark, path, digest=True).collect()}
     assert all(digests[r["doc_id"], r["start"]] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in rows)
 
 
+def test_any_other_tokenizer_encodes_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    other = tokenizers_at.path("byte_bpe_50k.json")
+    whole, pieces = Tokenizer.from_file(other), O._Pieces(other)
+    assert O._Pieces(PATH).cut and not pieces.cut
+    for text in ("Two  Words\n", "a.", " x", "<|endoftext|>", ""):
+        assert O.encode(text, pieces).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_nothing(spark):
     assert O.round_trip(cases.nothing(spark), PATH).count() == 0
