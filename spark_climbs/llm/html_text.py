@@ -9,7 +9,10 @@ paragraphs themselves, make the article.
 
 Parts that are never an article's text (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out by their tag,
-role or class name, wherever they are.
+role or class name, wherever they are. A class name counts by its whole words (``has-sidebar``,
+``social-science`` or ``entry-header`` name no such part). A form or a part with such a name is kept after all
+where it holds nearly all of the page's prose, as a page-wide form or wrapper does; comments never
+are. A header is kept beside paragraphs of its own container, and a heading alone in a box before the article.
 
 Python in map tasks, a page at a time; nothing is shuffled. A page's tree has as many
 nodes as it has tags, and every pass over it is linear.
@@ -47,6 +50,7 @@ BLOCK = frozenset(
     "br caption".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote h2 h3 h4 h5 h6 li dd".split())
+INLINE = frozenset("b strong i em u s span small big sub sup code tt kbd samp var q cite abbr acronym font mark time ins del label".split())
 CONTAINERS = frozenset("div article section main body blockquote td center html".split())
 #: A start tag closes these open tags, up to the nearest of the second set.
 CLOSES = {
@@ -63,15 +67,24 @@ CLOSES = {
 ENDS_P = BLOCK - {"br", "html", "body", "tbody", "tr", "td", "th", "thead", "tfoot", "caption"}
 SCOPE = frozenset("html body table td th button object caption".split())
 
-#: Words in class and id names, and roles, of what is not the article.
-_OUT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|"
-    r"nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|header|masthead|footer|foot|comments?|commentlist|disqus|respond|"
-    r"replies|reply|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|"
-    r"social|related|recommended|widget|toolbar|pagination|pager|skip|copyright|legal|disclaimer|tags|outbrain|taboola|shoutbox)"
-    r"(?=$|[\s_-]|\d)",
-    re.I,
+#: Words in class and id names of what is not the article, alone or at the end of a compound.
+_OUT = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation "
+    "menu breadcrumb breadcrumbs sidebar header masthead footer foot cookie cookies consent gdpr notice alert popup modal overlay "
+    "newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager skip copyright legal "
+    "disclaimer tags outbrain taboola shoutbox".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: What a compound that begins with such a word may end in, to name the same kind of part.
+_PART = frozenset(
+    "area bar block box button buttons card container form frame group holder inner item items label layer left link links list "
+    "message module nav outer panel placeholder post posts right row section slot text thread title top bottom unit wrap wrapper zone".split()
+)
+#: A compound that begins so tells about a layout and names no part.
+_MODIFIERS = frozenset("has have no not with without is hide show js".split())
+#: Headers of these belong to the article.
+_OWN_HEADER = frozenset("entry post article content story blog section hentry".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _IN = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip".split()
@@ -79,22 +92,40 @@ _ROLES = frozenset(
 
 
 class _Node:
-    __slots__ = ("tag", "name", "parent", "items", "out", "score", "length", "linked", "scored")
+    __slots__ = ("tag", "name", "parent", "items", "out", "soft", "score", "length", "linked", "scored")
 
     def __init__(self, tag: str, parent: "_Node | None", name: str = "", out: bool = False):
         self.tag, self.parent, self.name, self.out = tag, parent, name, out
+        self.soft = False
         self.items: list = []
         self.score, self.length, self.linked, self.scored = 0.0, 0, 0, False
 
 
-def _is_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether a tag opens a part that is left out, and its class and id."""
+def _named_out(name: str) -> tuple[bool, bool]:
+    """Whether class and id names say that a part is not the article, and whether it is comments."""
+    for token in name.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if not words or words[0] in _MODIFIERS:
+            continue
+        first, last = words[0], words[-1]
+        if last in _COMMENTS or first in _COMMENTS and all(w in _PART for w in words[1:]):
+            return True, True
+        if last == "header" and len(words) > 1 and words[-2] in _OWN_HEADER:
+            continue
+        joined = "".join(words)
+        if last in _OUT or joined in _OUT or joined == "sidebar" or first in _OUT and all(w in _PART or w in _OUT for w in words[1:]):
+            return True, False
+    return False, False
+
+
+def _is_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, str]:
+    """Whether a tag opens a part that is left out, whether what it holds may bring it back, and its class and id."""
     if tag in DROPPED:
-        return True, ""
+        return True, tag in ("form", "fieldset"), ""
     if tag == "header" and not inside_article:
-        return True, ""
+        return True, True, ""
     if not attributes:
-        return False, ""
+        return False, False, ""
     found = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
@@ -102,10 +133,45 @@ def _is_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]
     words = attributes.lower().replace("=", " ").split()
     hidden = "hidden" in words or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     if hidden or found.get("role", "").lower() in _ROLES:
-        return True, name
+        return True, False, name
     if tag in ("html", "body", "article", "main") or not name:
-        return False, name
-    return bool(_OUT.search(name)), name
+        return False, False, name
+    out, comments = _named_out(name)
+    return out, out and not comments, name
+
+
+#: A part left out by its name or as a form comes back if it holds this share of the page's prose.
+_NEARLY_ALL = 0.85
+
+
+def _bring_back(root: _Node) -> None:
+    """Keep headers beside paragraphs of their container, and parts left out for their name that hold nearly
+    all prose of the page (text of paragraphs, less what is linked, outside other parts left out)."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in reversed(node.items) if isinstance(x, _Node) and (not x.out or x.soft))
+    prose: dict[int, int] = {}
+    for node in reversed(order):
+        own = prose.get(id(node), 0)
+        if node.tag == "a":
+            own = 0
+        elif node.tag in PARAGRAPHS or node.tag in CONTAINERS or node.tag in INLINE:
+            own += sum(len(x) for x in node.items if isinstance(x, str) and not x.isspace())
+        if node.parent is not None:
+            prose[id(node.parent)] = prose.get(id(node.parent), 0) + own
+        prose[id(node)] = own
+    total = prose.get(id(root), 0)
+    for node in order:
+        if not node.soft:
+            continue
+        if node.tag == "header":
+            up = node.parent
+            beside = up.tag not in ("#root", "html", "body") and any(isinstance(x, _Node) and x.tag == "p" for x in up.items)
+            node.out = not beside and prose[id(node)] < _NEARLY_ALL * total
+        else:
+            node.out = not total or prose[id(node)] < _NEARLY_ALL * total
 
 
 def parse(page: str) -> _Node:
@@ -165,8 +231,9 @@ def parse(page: str) -> _Node:
                 if open_[k].tag == "head":
                     close(k)
                     break
-        out, name = _is_out(tag, attributes, articles > 0)
+        out, soft, name = _is_out(tag, attributes, articles > 0)
         node = _Node(tag, open_[-1], name, out)
+        node.soft = soft
         open_[-1].items.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
@@ -261,6 +328,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _bring_back(root)
     nodes = _ordered(root)
     _measure(nodes)
     for node in nodes:
@@ -291,10 +359,14 @@ def main_text(page: str | None) -> str:
     if best.parent is None or best.tag in ("body", "html", "#root"):
         return " ".join(blocks(best))
     limit = max(10.0, best_score * 0.2)
-    kept = []
+    kept, before, headed = [], True, any(n.tag == "h1" for n in _ordered(best))
     for x in best.parent.items:
         if not isinstance(x, _Node) or x.out:
             continue
+        before = before and x is not best
+        if before and not headed and x.length and _heading_alone(x):
+            kept.append(x)
+            continue
         bonus = best_score * 0.2 if x.name and x.name == best.name else 0.0
         good = x.scored and x.score * (1 - _density(x)) + bonus >= limit
         if not good and x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
@@ -304,6 +376,12 @@ def main_text(page: str | None) -> str:
     return " ".join(t for x in kept for t in blocks(x))
 
 
+def _heading_alone(node: _Node) -> bool:
+    """Whether all text of a box is one first-level heading."""
+    heads = [n for n in _ordered(node) if n.tag == "h1"]
+    return len(heads) == 1 and heads[0].length == node.length and not node.linked
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h) for h in batch.column("html").to_pylist()]
