@@ -775,6 +775,17 @@ def resumable_analyses(spark, d):
     return found.withColumn("percentage", F.round("percentage", 6))
 
 
+@query
+def resumed_report(spark, d):
+    """The report of an analysis that was left after a third of its chunks and taken up by what is stored of it."""
+    base, ways = _folder(spark, "resumed"), materialize(X.plain_ways(spark, d), "ways")
+    analysis_id = resume.begin_analysis(spark, base, "12 Hill Road, Old Town", CENTER, 60.0, size_km=8.0)
+    chunks = area.chunk_grid(_area(spark, 60.0).withColumn("area_id", F.lit(analysis_id)), 8.0)
+    resume.process_chunks(ways, chunks.filter("chunk_index % 3 = 0"), base, analysis_id, size_km=8.0, n_batches=1)
+    sources = X.elevation(spark, d, X.REPORT_SCALE), X.places(spark, d)
+    return resume.analyze_resumably(ways, *sources, base, "12 Hill Road, Old Town", CENTER, 60.0, n_batches=2)
+
+
 @query
 def find_resumable(spark, d):
     found = resume.find_resumable(_analyses(spark, d), _chunk_status(spark, d), _cached(spark, d), "run2")

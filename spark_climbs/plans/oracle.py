@@ -318,6 +318,17 @@ areas as (
   from nation where n_nationkey < 12)"""
 
 
+def _resumed() -> str:
+    """Ways of the chunks they cross, in the order of the first."""
+    crossed = _CROSSED.format(edges=_EDGES.format(nodes="nodes"))
+    grid = _AREA_GRID.replace("{area}", _ONE_AREA)
+    first = f", {grid}, placed as (select way_id, min(chunk_index)::bigint * 1000000000000 + way_id as seq from ({crossed}) group by way_id)"
+    own = f"(select way.*, placed.seq from way join placed using (way_id) where n >= 2 and {_FILTERS['all']})"
+    kept = "(select * from rated join told using (chain, island) where climb_score >= 6000)"
+    climbs = _ROADS.format(source=own) + _joined("{m}seq") + _CLIMBS + _PLACES + _located(kept).format(order="seed")
+    return _nodes(1.00013) + _WAYS + first + climbs + _report(1.00013, "located", True, _WAY_COLUMNS)
+
+
 def _multi_area() -> str:
     """Ways of every area as ways of their own, whose chains are a million apart from one area to the next."""
     inside = (
@@ -584,6 +595,7 @@ def all_sql() -> dict[str, str]:
         "ways_of_areas": nodes + _LONG + _AREAS + f"""
             select distinct area_id, way_id from {long_edges} e, areas where {_arc_km('center_lat', 'center_lon', 'e.')} <= radius_km""",
         "multi_area_report": _multi_area(),
+        "resumed_report": _resumed(),
         "flagship": _area_report(True, 150.0 * 1.60934, "all"),
         "resolve_region": _region("state", "39.0 -98.0 400.0"),
         "resolve_region_country": _region("country", "0.0 0.0 1000.0"),

@@ -7,6 +7,7 @@ next one does the rest.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import types as T
 
 from spark_climbs import schemas
 from spark_climbs.functions.scoring import DEFAULT_MIN_SCORE
+from spark_climbs.functions.text import analysis_key
 from spark_climbs.materialize import materialize
-from spark_climbs.operators.area import DEFAULT_CHUNK_KM, assign_chunks
+from spark_climbs.operators.area import DEFAULT_CHUNK_KM, assign_chunks, chunk_grid
 from spark_climbs.operators.elevation import KEY, distinct_coords, missing_elevations
 from spark_climbs.operators.merge import merge_by_node_id
 from spark_climbs.operators.roads import first_of_ways, segments_from_ways, surface_filter
@@ -25,6 +27,7 @@ from spark_climbs.sources.stages import (
     append_elevation_cache,
     read_stage,
     read_table,
+    write_analysis,
     write_stage,
     write_status,
 )
@@ -73,8 +76,9 @@ def analysis_progress(analyses: DataFrame, status: DataFrame) -> DataFrame:
 
 def resumable_analyses(analyses: DataFrame, status: DataFrame, cached: DataFrame, base_id: str) -> DataFrame:
     """Analyses of ``base_id`` with chunks left, or with all chunks done and elevations
-    cached. ``cached`` holds one ``analysis_id`` per cached coordinate."""
-    mine = analyses.filter(F.col("analysis_id").startswith(f"{base_id}_"))
+    cached. ``cached`` holds one ``analysis_id`` per cached coordinate. Ids are a base id (``analysis_key``,
+    which no other address, filter or radius shares) and what follows the last underscore."""
+    mine = analyses.filter(F.regexp_replace("analysis_id", "_[^_]*$", "") == F.lit(base_id))
     coords = cached.groupBy("analysis_id").agg(F.count("*").alias("elevation_coords"))
     unfinished = F.col("completed") < F.col("total")
     return (
@@ -204,3 +208,87 @@ def finish_analysis(
     segments = saved_segments(spark, base, analysis_id).drop("analysis_id", "chunk_index")
     elevation = enrich_incremental(distinct_coords(long_nodes(segments)), elevation_source, f"{base}/elevation")
     return locate_and_report(climbs_from_segments(segments, elevation), places, center, unit_system, min_score)
+
+
+def begin_analysis(
+    spark: SparkSession,
+    base: str,
+    address: str,
+    center: tuple[float, float],
+    radius_km: float,
+    surface: str = "all",
+    unit_system: str = "imperial",
+    size_km: float = DEFAULT_CHUNK_KM,
+    country: str | None = None,
+    formatted_address: str | None = None,
+    started: int | None = None,
+) -> str:
+    """Write down what an analysis is about, for any later session to take it up by its id: the key of
+    its address, filter and radius, and the second it began in."""
+    key = _key(spark, address, surface, radius_km)
+    analysis_id = f"{key}_{int(time.time()) if started is None else started:010d}"
+    told = (analysis_id, address, country, *map(float, center), float(radius_km), surface, unit_system, float(size_km))
+    columns = [f for f in schemas.ANALYSIS.fields if f.name not in ("total_chunks", "formatted_address")]
+    row = spark.createDataFrame([told], T.StructType(columns))
+    total = _chunks_of(row, size_km).agg(F.count("*").cast("int").alias("total_chunks"))
+    write_analysis(row.join(total).withColumn("formatted_address", F.lit(formatted_address).cast("string")), f"{base}/analysis")
+    return analysis_id
+
+
+def _key(spark: SparkSession, address: str, surface: str, radius_km: float) -> str:
+    of = analysis_key(F.lit(address), F.lit(surface), F.lit(float(radius_km)))
+    return spark.range(1).select(of).first()[0]
+
+
+def _chunks_of(analysis: DataFrame, size_km: float) -> DataFrame:
+    area = analysis.select(F.col("analysis_id").alias("area_id"), "center_lat", "center_lon", "radius_km")
+    return chunk_grid(area, size_km)
+
+
+def resume_analysis(
+    ways: DataFrame,
+    elevation_source: DataFrame | Callable[[DataFrame], DataFrame],
+    places: DataFrame,
+    base: str,
+    analysis_id: str,
+    unit_system: str | None = None,
+    min_score: float = DEFAULT_MIN_SCORE,
+    cover: str = "square",
+    n_batches: int = 10,
+) -> DataFrame:
+    """Take up an analysis where it ended, by what is stored of it: its place, radius, filter, chunks and
+    units. Chunks that are done are not worked on again, nor are known elevations looked up. Gives the report."""
+    spark = ways.sparkSession
+    stored = read_table(spark, f"{base}/analysis", schemas.ANALYSIS).filter(F.col("analysis_id") == analysis_id)
+    told = stored.first()
+    if told is None:
+        raise ValueError(f"no analysis {analysis_id} under {base}")
+    chunks = _chunks_of(stored, told["chunk_size_km"])
+    process_chunks(ways, chunks, base, analysis_id, told["surface_filter"], told["chunk_size_km"], cover, n_batches=n_batches)
+    center = told["center_lat"], told["center_lon"]
+    return finish_analysis(base, analysis_id, elevation_source, places, center, unit_system or told["unit_system"], min_score)
+
+
+def analyze_resumably(
+    ways: DataFrame,
+    elevation_source: DataFrame | Callable[[DataFrame], DataFrame],
+    places: DataFrame,
+    base: str,
+    address: str,
+    center: tuple[float, float],
+    radius_km: float,
+    surface: str = "all",
+    unit_system: str = "imperial",
+    size_km: float = DEFAULT_CHUNK_KM,
+    min_score: float = DEFAULT_MIN_SCORE,
+    **options,
+) -> DataFrame:
+    """The report of an area, from the newest unfinished analysis of the same address, filter and radius if there
+    is one, else from a new one."""
+    spark = ways.sparkSession
+    analyses = read_table(spark, f"{base}/analysis", schemas.ANALYSIS)
+    status = read_table(spark, f"{base}/status", schemas.CHUNK_STATUS)
+    cached = spark.createDataFrame([], "analysis_id string")  # elevations are cached for all analyses together
+    found = find_resumable(analyses, status, cached, _key(spark, address, surface, radius_km)).first()
+    analysis_id = begin_analysis(spark, base, address, center, radius_km, surface, unit_system, size_km) if found is None else found["analysis_id"]
+    return resume_analysis(ways, elevation_source, places, base, analysis_id, unit_system, min_score, **options)

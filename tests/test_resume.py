@@ -107,3 +107,17 @@ def test_chunk_that_is_empty_now_is_not_read(spark, tmp_path):
     paved = run(spark, base, "again", surface="paved").count()
     none = resume.process_chunks(X.plain_ways(spark, SF).limit(0), chunks(spark, "again"), base, "again", size_km=16.0, n_batches=2, resume=False)
     assert paved > 0 and none.count() == 0
+
+
+def test_analyses_that_share_a_cut_name_are_told_apart(spark, tmp_path):
+    base, long = str(tmp_path), "A very long address, number 12345, in some town far away"
+    ids = [resume.begin_analysis(spark, base, long, CENTER, r, f, started=t) for r, f, t in [(30.0, "all", 1), (31.0, "all", 2), (30.0, "dirt", 3), (30.0, "all", 9)]]
+    assert len({i[:40] for i in ids}) == 1 and len(set(ids)) == 4
+    analyses = read_table(spark, f"{base}/analysis", schemas.ANALYSIS)
+    status = read_table(spark, f"{base}/status", schemas.CHUNK_STATUS)
+    none = spark.createDataFrame([], "analysis_id string")
+    key = resume._key(spark, long, "all", 30.0)
+    assert [r.analysis_id for r in resume.resumable_analyses(analyses, status, none, key).orderBy("analysis_id").collect()] == [ids[0], ids[3]]
+    assert resume.find_resumable(analyses, status, none, key).first().analysis_id == ids[3]
+    with pytest.raises(ValueError, match="no analysis"):
+        resume.resume_analysis(X.plain_ways(spark, SF), X.elevation(spark, SF), X.places(spark, SF), base, "other")
