@@ -79,6 +79,99 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def merged(pairs: PairTable, size: int, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words after all merges, from those of their bytes, and how many each has. ``pairs`` gives
+    rank * ``size`` + new id by first id * ``size`` + second id."""
+    n = len(sizes)
+    word = np.repeat(np.arange(n), sizes)
+    done_ids, done_words = [], []
+    while len(ids):
+        value = np.full(len(ids), NEVER, dtype=np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        value[inner] = pairs.get(ids[inner] * size + ids[inner + 1])
+        heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        counts = np.diff(np.r_[heads, len(ids)])
+        least = np.repeat(np.minimum.reduceat(value, heads), counts)
+        ended = least == NEVER
+        if ended.any():
+            done_ids.append(ids[ended])
+            done_words.append(word[ended])
+            ids, word, value, least = ids[~ended], word[~ended], value[~ended], least[~ended]
+        at = np.flatnonzero(value == least)
+        if len(at):
+            # in a row of equal tokens, every second pair from the left
+            chained = np.r_[False, (at[1:] == at[:-1] + 1) & (word[at[1:]] == word[at[:-1]])]
+            if chained.any():
+                lead = np.flatnonzero(~chained)
+                place = np.arange(len(at)) - np.repeat(lead, np.diff(np.r_[lead, len(at)]))
+                at = at[place % 2 == 0]
+            ids[at] = value[at] % size
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids, word = ids[keep], word[keep]
+    ids, word = np.concatenate([*done_ids, np.zeros(0, np.int64)]), np.concatenate([*done_words, np.zeros(0, np.int64)])
+    order = np.argsort(word, kind="stable")
+    return ids[order], np.bincount(word, minlength=n)
+
+
+def merges_of(model: dict, size: int) -> PairTable:
+    """The table of a vocabulary's merges; a pair listed twice has its last rank, as in the library."""
+    vocabulary = model["vocab"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    keys = np.array([vocabulary[a] * size + vocabulary[b] for a, b in pairs], dtype=np.int64)
+    made = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
+    at = np.array(sorted({int(k): n for n, k in enumerate(keys)}.values()), dtype=np.int64)
+    return PairTable(keys[at], at * size + made[at])
+
+
+class Characters:
+    """Classes of characters, each asked of ``classify`` when it is first met."""
+
+    def __init__(self, classify):
+        self.classify = classify
+        self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
+        self._learn(np.arange(128))
+        self.ascii = self.classes[:256].copy()
+
+    def _learn(self, points: np.ndarray) -> None:
+        for k in points.tolist():
+            self.classes[k] = self.classify(chr(k))
+
+    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code point, class and first byte of every character."""
+        if not len(data) or data.max() < 128:
+            return data, self.ascii[data], np.arange(len(data) + 1)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        classes = self.classes[points]
+        new = classes == UNKNOWN
+        if new.any():
+            self._learn(np.unique(points[new]))
+            classes = self.classes[points]
+        sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        return points, classes, np.r_[0, np.cumsum(sizes)]
+
+
+def contractions(points, at, stop, kind, last, joins, token) -> None:
+    """A quote alone and not after a joining space takes the ending s, t, re, ve, m, ll or d."""
+    k = np.flatnonzero((kind == OTHER) & (stop - at == 1) & ~last)
+    k = k[(points[at[k]] == _QUOTE) & (kind[np.minimum(k + 1, len(kind) - 1)] == LETTER)]
+    k = k[~np.where(k > 0, joins[k - 1], False)]
+    if not len(k):
+        return
+    begin, end = at[k + 1], stop[k + 1]
+    one = points[begin]
+    two = np.where(end - begin > 1, points[np.minimum(begin + 1, len(points) - 1)], 0)
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    double = np.zeros(len(k), dtype=bool)
+    for a, b in ("re", "ve", "ll"):
+        double |= (one == ord(a)) & (two == ord(b))
+    taken = np.where(short, 1, np.where(double, 2, 0))
+    some = taken > 0
+    token[begin[some]] = False
+    rest = some & (end - begin > taken)
+    token[begin[rest] + taken[rest]] = True
+
+
 class ByteBpe:
     """A byte-level BPE tokenizer from its file."""
 
@@ -106,37 +199,14 @@ class ByteBpe:
         self.token_sizes = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
         self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.token_data = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs], dtype=np.int64)
-        made = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
-        # rank and new token in one value; a pair listed twice has its last rank, as in the library
-        last = {int(k): n for n, k in enumerate(keys)}
-        at = np.array(sorted(last.values()), dtype=np.int64)
-        self.pairs = PairTable(keys[at], at * self.size + made[at])
+        self.pairs = merges_of(model, self.size)
         self.added = {t.encode(): k for t, k in added.items()}
         self.added_at = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if added else None
-        self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
-        self._learn(np.arange(128))
-        self.ascii = self.classes[:256].copy()
+        self.characters = Characters(self._classify)
 
-    def _learn(self, points: np.ndarray) -> None:
-        for k in points.tolist():
-            c = chr(k)
-            cut = [len(self.tokenizer.pre_tokenizer.pre_tokenize_str(x + c)) for x in "a1!"]
-            self.classes[k] = cut.index(1) if 1 in cut else BLANK
-
-    def _classes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code point, class and first byte of every character."""
-        if not len(data) or data.max() < 128:
-            return data, self.ascii[data], np.arange(len(data) + 1)
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
-        classes = self.classes[points]
-        new = classes == UNKNOWN
-        if new.any():
-            self._learn(np.unique(points[new]))
-            classes = self.classes[points]
-        sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        return points, classes, np.r_[0, np.cumsum(sizes)]
+    def _classify(self, c: str) -> int:
+        cut = [len(self.tokenizer.pre_tokenizer.pre_tokenize_str(x + c)) for x in "a1!"]
+        return cut.index(1) if 1 in cut else BLANK
 
     def words(self, data: np.ndarray, ends: np.ndarray, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """First byte of every word of texts that end at the given bytes, and the id of those
@@ -153,7 +223,7 @@ class ByteBpe:
                 if m.end() <= ends[k]:
                     marks += [m.start(), m.end()]
                     ids[m.start()] = self.added[m[0]]
-        points, classes, first = self._classes(data)
+        points, classes, first = self.characters.of(data)
         n = len(points)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -174,7 +244,7 @@ class ByteBpe:
         token[stop[blank] - 1] = True
         joins = blank & (points[stop - 1] == _SPACE)
         token[stop[joins]] = False
-        self._contractions(points, at, stop, kind, last, joins, token)
+        contractions(points, at, stop, kind, last, joins, token)
         for k in ids:
             a, b = np.searchsorted(first, [k, k + len(self.token_bytes[ids[k]])])
             token[a + 1 : b] = False
@@ -184,60 +254,9 @@ class ByteBpe:
             fixed[np.searchsorted(starts, k)] = v
         return starts, fixed
 
-    def _contractions(self, points, at, stop, kind, last, joins, token) -> None:
-        """A quote alone and not after a joining space takes the ending s, t, re, ve, m, ll or d."""
-        k = np.flatnonzero((kind == OTHER) & (stop - at == 1) & ~last)
-        k = k[(points[at[k]] == _QUOTE) & (kind[np.minimum(k + 1, len(kind) - 1)] == LETTER)]
-        k = k[~np.where(k > 0, joins[k - 1], False)]
-        if not len(k):
-            return
-        begin, end = at[k + 1], stop[k + 1]
-        one = points[begin]
-        two = np.where(end - begin > 1, points[np.minimum(begin + 1, len(points) - 1)], 0)
-        short = np.isin(one, [ord(c) for c in "stmd"])
-        double = np.zeros(len(k), dtype=bool)
-        for a, b in ("re", "ve", "ll"):
-            double |= (one == ord(a)) & (two == ord(b))
-        taken = np.where(short, 1, np.where(double, 2, 0))
-        some = taken > 0
-        token[begin[some]] = False
-        rest = some & (end - begin > taken)
-        token[begin[rest] + taken[rest]] = True
-
     def merge(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, one word after the other, and how many each has."""
-        n = len(starts)
-        ids = self.first[data[spread(starts, sizes)]]
-        word = np.repeat(np.arange(n), sizes)
-        done_ids, done_words = [], []
-        while len(ids):
-            value = np.full(len(ids), NEVER, dtype=np.int64)
-            inner = np.flatnonzero(word[1:] == word[:-1])
-            value[inner] = self.pairs.get(ids[inner] * self.size + ids[inner + 1])
-            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            counts = np.diff(np.r_[heads, len(ids)])
-            least = np.repeat(np.minimum.reduceat(value, heads), counts)
-            ended = least == NEVER
-            if ended.any():
-                done_ids.append(ids[ended])
-                done_words.append(word[ended])
-                ids, word, value, least = ids[~ended], word[~ended], value[~ended], least[~ended]
-            hit = value == least
-            at = np.flatnonzero(hit)
-            if len(at):
-                # in a row of equal tokens, every second pair from the left
-                chained = np.r_[False, (at[1:] == at[:-1] + 1) & (word[at[1:]] == word[at[:-1]])]
-                if chained.any():
-                    lead = np.flatnonzero(~chained)
-                    place = np.arange(len(at)) - np.repeat(lead, np.diff(np.r_[lead, len(at)]))
-                    at = at[place % 2 == 0]
-                ids[at] = value[at] % self.size
-                keep = np.ones(len(ids), dtype=bool)
-                keep[at + 1] = False
-                ids, word = ids[keep], word[keep]
-        ids, word = np.concatenate([*done_ids, np.zeros(0, np.int64)]), np.concatenate([*done_words, np.zeros(0, np.int64)])
-        order = np.argsort(word, kind="stable")
-        return ids[order], np.bincount(word, minlength=n)
+        return merged(self.pairs, self.size, self.first[data[spread(starts, sizes)]], sizes)
 
     def shown(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the tokens, one after the other."""

@@ -13,10 +13,9 @@ block is complete with ``codes``; a lost task rewrites its own blocks alone.
 What meets on the driver: the range bounds (one for ``RANGE_ROWS`` documents, or for each shuffle partition), and
 a count for each id of the vocabulary.
 
-Where the tokenizer's file says that it lower-cases, drops white space and cuts as ``_CUT`` does, texts are split at
-ASCII white space: no token crosses any, so the ids of a text are those of its pieces in turn, and a piece seen
-before is not encoded again, nor is one with a full stop or comma after a letter. Texts with a special token's opening
-``<|``, and all texts for any other tokenizer, are encoded whole.
+Where the tokenizer's file says that it lower-cases, drops white space and cuts as ``_CUT`` does, many texts are cut
+into words together, and a word seen before is not merged again. Texts with a special token's opening
+``<|``, and all texts for any other tokenizer, are encoded by the library as they are.
 
 Defined results: a null or empty text has no ids but the end id; a null doc_id sorts
 first; equal doc_ids follow the hash of their text; an empty table gives no rows; texts
@@ -26,9 +25,9 @@ are whole and a block holds any number of ids up to ``BLOCK`` plus one document.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spark_climbs.llm import huffman
+from spark_climbs.llm import byte_bpe, huffman
 from spark_climbs.llm.kept import kept
 from spark_climbs.materialize import checkpoint_dir, materialize
 
@@ -45,8 +44,8 @@ END = 1
 BLOCK = 1 << 18
 #: Documents in a range at most.
 RANGE_ROWS = 50_000
-#: Pieces of each of the two generations whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words of each of the two generations whose ids a worker remembers.
+REMEMBERED = 300_000
 
 
 #: The normalizer and the words of the tokenizer whose texts can be cut at white space.
@@ -66,69 +65,122 @@ def _cuts_at_space(path: str) -> bool:
 
 
 class _Pieces:
-    """Ids of pieces as bytes. Pieces are remembered in two generations: when the young
-    one is full it becomes the old one, and what is used again moves on."""
+    """Ids of whole texts. Chunks of texts are cut into words as arrays; a word that was met before is known by its
+    bytes, the others are merged together. Words are remembered in two generations: when the young one is full it
+    becomes the old one, and what is used again moves on."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.wide = self.size > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.code = "I" if self.wide else "H"
         self.cut = _cuts_at_space(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        # a full stop or comma after a letter is a token of its own
-        self.stops = {ord(c): self.whole(c) for c in ".,"}
-
-    def whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _ended(self, piece: bytes) -> bool:
-        return piece[-1] in self.stops and len(piece) > 1 and 97 <= piece[-2] <= 122
-
-    def learn(self, cuts: list[list[bytes]]) -> None:
-        """Encode together what the texts of a batch have that was not met before."""
-        young = self.young
-        self.found({p for cut in cuts for p in cut if p not in young})
-
-    def ids(self, cut: list[bytes]) -> bytes:
-        """Ids of the pieces in turn."""
-        return b"".join(self.found(cut))
-
-    def found(self, cut) -> list[bytes]:
-        """Ids of each piece; those not met before are encoded together."""
-        cut = list(cut)
-        found = list(map(self.young.get, cut))
-        at = [k for k, f in enumerate(found) if f is None]
-        if not at:
-            return found
-        stems = [cut[k][:-1] if self._ended(cut[k]) else cut[k] for k in at]
-        young, old = self.young, self.old
+        if self.cut:
+            with open(path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            vocabulary, letters = model["vocab"], byte_bpe.byte_letters()
+            self.inner = np.array([vocabulary[c] for c in letters], dtype=np.int64)
+            self.last = np.array([vocabulary[c + model["end_of_word_suffix"]] for c in letters], dtype=np.int64)
+            self.pairs = byte_bpe.merges_of(model, self.size)
+            self.characters = byte_bpe.Characters(self._classify)
+
+    def _classify(self, c: str) -> int:
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        if not cut(c):
+            return byte_bpe.BLANK
+        return byte_bpe.LETTER if len(cut("a" + c)) == 1 else byte_bpe.OTHER if len(cut("!" + c)) == 1 else byte_bpe.NUMBER
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _normal(self, text: str) -> bytes:
+        """The text as the tokenizer normalizes it, but for the kind of white space. Latin characters compose no
+        further, and each has its own lower case."""
+        if text.isascii():
+            return text.encode().lower()
+        if not _BEYOND_LATIN.search(text):
+            return text.lower().encode()
+        return self.tokenizer.normalizer.normalize_str(text).encode()
+
+    def _words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and size of every word: runs of letters or of other signs, single numbers, contractions."""
+        points, classes, first = self.characters.of(data)
+        n = len(points)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin = np.zeros(n + 1, dtype=bool)
+        begin[np.searchsorted(first, np.r_[0, ends[ends < len(data)]])] = True
+        begin[n] = True
+        run = begin[:n] | (classes == byte_bpe.NUMBER)
+        run[1:] |= classes[1:] != classes[:-1]
+        at = np.flatnonzero(run)
+        stop = np.r_[at[1:], n]
+        token = np.zeros(n + 1, dtype=bool)
+        token[at] = True
+        byte_bpe.contractions(points, at, stop, classes[at], begin[stop], np.zeros(len(at), dtype=bool), token)
+        heads = np.flatnonzero(token[:n])
+        starts = first[heads]
+        sizes = np.diff(np.r_[starts, len(data)])
+        # a contraction's quote and letters are of different classes, its first is a quote
+        some = classes[heads] != byte_bpe.BLANK
+        return starts[some], sizes[some]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; texts with a special token's opening are encoded by themselves."""
+        alone = {k: self.whole(t) for k, t in enumerate(texts) if t and ("<|" in t or not self.cut)}
+        raws = [b"" if not t or k in alone else self._normal(t) for k, t in enumerate(texts)]
+        ends = np.cumsum([len(r) for r in raws])
+        data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        if not len(data):
+            return [alone.get(k, np.zeros(0, self.kind)) for k in range(len(texts))]
+        starts, sizes = self._words(data, ends)
+        one, own = byte_bpe.distinct(data, starts, sizes)
+        known = self._known(data, starts[one], sizes[one])
+        lengths = np.array([len(k) for k in known], dtype=np.int64) // self.kind.itemsize
+        table = np.frombuffer(b"".join(known), dtype=self.kind)
+        counts = lengths[own]
+        ids = table[byte_bpe.spread((np.cumsum(lengths) - lengths)[own], counts)]
+        upto = np.r_[0, np.cumsum(counts)][np.searchsorted(starts, ends)]
+        return [alone.get(k, ids[a:b]) for k, (a, b) in enumerate(zip([0, *upto[:-1].tolist()], upto.tolist()))]
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Packed ids of different words."""
+        raw, young, old = data.tobytes(), self.young, self.old
+        words = [raw[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist())]
+        found = list(map(young.get, words))
         new = []
-        for stem in set(stems):
-            if stem not in young:
-                known = old.get(stem)
-                if known is None:
-                    new.append(stem)
+        for k, f in enumerate(found):
+            if f is None:
+                found[k] = old.get(words[k])
+                if found[k] is None:
+                    new.append(k)
                 else:
-                    young[stem] = known
-        done = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        young.update((p, self._packed(e.ids)) for p, e in zip(new, done))
-        for k, stem in zip(at, stems):
-            if len(stem) == len(cut[k]):
-                found[k] = young[stem]
-            else:
-                found[k] = young[cut[k]] = young[stem] + self.stops[cut[k][-1]]
+                    young[words[k]] = found[k]
+        if new:
+            at = np.array(new)
+            starts, sizes = starts[at], sizes[at]
+            ids = self.inner[data[byte_bpe.spread(starts, sizes)]]
+            ends = np.cumsum(sizes) - 1
+            ids[ends] = self.last[data[starts + sizes - 1]]
+            ids, counts = byte_bpe.merged(self.pairs, self.size, ids, sizes)
+            packed, upto = ids.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
+            a = 0
+            for k, b in zip(new, upto):
+                found[k] = young[words[k]] = packed[a:b]
+                a = b
         if len(young) > REMEMBERED:
             self.young, self.old = {}, young
         return found
 
 
+#: Characters that may compose with others, or whose lower case depends on what is around.
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
 def _pieces(path: str) -> _Pieces:
     import os
 
@@ -136,30 +188,23 @@ def _pieces(path: str) -> _Pieces:
     return kept(("tokenizer", path), lambda: _Pieces(path))
 
 
-def _encoded(texts: list[str | None], pieces: _Pieces) -> list[bytes]:
-    """Ids of whole texts, without the end id."""
-    cuts = [None if t and ("<|" in t or not pieces.cut) else t.encode().lower().split() if t else [] for t in texts]
-    pieces.learn([c for c in cuts if c])
-    return [pieces.whole(t) if c is None else pieces.ids(c) for t, c in zip(texts, cuts)]
-
-
 def encode(text: str | None, pieces: _Pieces) -> np.ndarray:
     """Ids of a whole text, without the end id."""
-    return np.frombuffer(_encoded([text], pieces)[0], dtype=pieces.kind).astype(np.uint32)
+    return pieces.encode([text])[0].astype(np.uint32)
 
 
 #: Texts that are encoded together.
-_TOGETHER = 500
+_TOGETHER = 1000
 
 
 def _tokenized(path: str, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        end, size = pieces._packed([END]), pieces.kind.itemsize
+        end, size = np.array([END], dtype=pieces.kind).tobytes(), pieces.kind.itemsize
         for whole in batches:
             for at in range(0, whole.num_rows, _TOGETHER):
                 batch = whole.slice(at, _TOGETHER)
-                rows = [r + end for r in _encoded(batch.column("text").to_pylist(), pieces)]
+                rows = [r.tobytes() + end for r in pieces.encode(batch.column("text").to_pylist())]
                 ids = batch.column("doc_id")
                 place = np.searchsorted(bounds, ids.fill_null(0).to_numpy()).astype(np.int32) + 1
                 place[ids.is_null().to_numpy(zero_copy_only=False)] = 0

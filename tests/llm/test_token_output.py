@@ -79,6 +79,16 @@ def test_files_against_the_tokenizer(spark, monkeypatch, tmp_path):
     assert all(digests[r["doc_id"], r["start"]] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in rows)
 
 
+def test_latin_letters_and_characters_of_every_plane():
+    from tokenizers import Tokenizer
+
+    whole, pieces, rng = Tokenizer.from_file(PATH), O._Pieces(PATH), random.Random(4)
+    texts = [f"x{chr(c)}y {chr(c)} 1{chr(c)}" for c in range(0x250)]
+    texts += ["".join(f"a{chr(c)} '{chr(c)}" for c in rng.sample([*range(0x250, 0xD800), *range(0xE000, 0x110000)], 20)) for _ in range(300)]
+    texts += ["it's 'tis we're 'REally ''s don'ts x'll'd 'm", " 's", "12345", ""]
+    assert [x.tolist() for x in pieces.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_any_other_tokenizer_encodes_whole_texts(spark):
     from tokenizers import Tokenizer
 
