@@ -27,10 +27,13 @@ def test_no_cross_joins(spark, name):
 
 
 def test_radius_reaches_the_scan(spark, tmp_path):
+    """By nodes alone, and by edges of a known length."""
     X.way_nodes(spark, SF).write.parquet(str(tmp_path / "nodes"))
-    text = plan(area.within_radius(spark.read.parquet(str(tmp_path / "nodes")), 36.0, -81.9, 5.0))
-    assert "PushedFilters: [IsNotNull(lat), IsNotNull(lon), GreaterThanOrEqual(lat" in text
-    assert "ReadSchema: struct<way_id:bigint,lat:double,lon:double>" in text
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    for df, edge, columns in ((nodes.drop("idx"), None, ""), (nodes, 10.0, "idx:int,")):
+        text = plan(area.within_radius(df, 36.0, -81.9, 5.0, longest_edge_km=edge))
+        assert "PushedFilters: [IsNotNull(lat), IsNotNull(lon), GreaterThanOrEqual(lat" in text
+        assert f"ReadSchema: struct<way_id:bigint,{columns}lat:double,lon:double>" in text
 
 
 def test_whole_ways_need_no_shuffle(spark, tmp_path):
