@@ -6,8 +6,8 @@ Forward-backward gives each line's probability of being good given the whole doc
 and the document's score is their mean weighted by the lines' lengths.
 
 Training lines take the label of their document. The model is fitted on the driver from at
-most ``TRAIN_DOCS`` labelled documents, chosen by a hash of the id, and at most ``TRAIN_LINES`` lines of
-each; scoring reads whole texts, in map tasks, without a shuffle.
+most ``TRAIN_DOCS`` labelled documents, chosen by a hash of the id, with all their lines (a few numbers for each);
+scoring reads whole texts, in map tasks, without a shuffle.
 
 Inputs of a score are the text alone. Defined results: a null, empty or blank text gets the
 training documents' share of good ones (0.5 without any); without labels of both kinds
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TRAIN_LINES = 2400, 400
+TRAIN_DOCS = 2400
 FOLDS, HELD_OUT, LIMIT = 5, 0, 0.3
 STEPS, RATE, RIDGE = 80, 0.15, 1e-4
 #: Bounds of the bins into which each measure of a line falls.
@@ -158,8 +158,8 @@ class Model:
 
 
 def train(measures: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Gradient ascent (Adam) on the likelihood of the lines' labels; each document counts alike
-    whatever its label's frequency and its number of lines."""
+    """Gradient ascent (Adam) on the likelihood of the lines' labels. Every line counts alike, so a document weighs
+    as its lines, and a label as the lines of its documents."""
     keep = [k for k, m in enumerate(measures) if len(m)]
     prior = float(labels.mean()) if len(labels) else 0.5
     model = Model(3 * WIDTH + 3, prior)
@@ -184,7 +184,7 @@ def train(measures: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [line_measures(t)[0][:TRAIN_LINES].ravel() for t in batch.column("text").to_pylist()]
+        rows = [line_measures(t)[0].ravel() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["quality", "measures"])
 
 
