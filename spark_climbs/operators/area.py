@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spark_climbs.functions.geo import KM_PER_DEGREE, arc_bulge_degrees, arc_distance_km, haversine_km, lon_difference
+from spark_climbs.materialize import materialize
 
 DEFAULT_CHUNK_KM = 8.0
 
@@ -92,19 +93,21 @@ def ways_within_radius(ways: DataFrame, lat: float, lon: float, radius_km: float
     return ways.filter(node | F.coalesce(edge, F.lit(False)))
 
 
-#: Columns of the coarsest and the finest grid around the globe, as powers of two.
-_COARSEST, _FINEST = 3, 15
+#: Columns of the coarsest and the finest grid around the globe, as powers of two, and how much finer
+#: each grid is than the one before.
+_COARSEST, _FINEST, _FINER = 3, 15, 2
 
 
 def _cover_level(radius_km: Column) -> Column:
-    """The finest grid of which about eight cells span an area."""
+    """The finest grid with cells of a radius or more."""
     degrees = F.greatest(radius_km / F.lit(KM_PER_DEGREE), F.lit(1e-6))
-    level = F.floor(F.log2(F.lit(4 * 360.0) / degrees)).cast("int")
-    return F.greatest(F.least(level, F.lit(_FINEST)), F.lit(_COARSEST))
+    level = F.floor(F.log2(F.lit(360.0) / degrees)).cast("int")
+    level = F.greatest(F.least(level, F.lit(_FINEST)), F.lit(_COARSEST))
+    return level - (level - F.lit(_COARSEST)) % _FINER
 
 
 def _area_cells(areas: DataFrame) -> DataFrame:
-    """``level, i, j`` of the cells that the box of every area touches: some hundred for each,
+    """``level, i, j`` of the cells that the box of every area touches: nine or fewer for most,
     more columns where degrees of longitude are short."""
     size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
     margin = F.col("radius_km") / F.lit(KM_PER_DEGREE) * 1.000001 + 1e-9
@@ -126,25 +129,51 @@ def ways_of_areas(way_nodes: DataFrame, areas: DataFrame) -> DataFrame:
     """``(area_id, way_id)`` of the ways with a node or an edge in each area ``(area_id, center_lat,
     center_lon, radius_km)``, however many and however they overlap.
 
-    Areas are covered by cells of a grid that goes with their radius, edges are looked up in the cells that
-    they cross, in each of the (thirteen at most) grids in use, and only pairs of one cell are tested. No edge
-    is compared with every area."""
-    cells = _area_cells(areas.select("area_id", "center_lat", "center_lon", "radius_km"))
+    Areas are covered by cells of a grid that goes with their radius, and only pairs of one cell are tested.
+    Edges are looked up in the cells that they cross from the coarsest grid to finer ones, in each inside the
+    cells that hold a part of some area: an edge of any length costs a few rows, but for those where areas
+    are. No edge is compared with every area."""
+    cells = materialize(_area_cells(areas.select("area_id", "center_lat", "center_lon", "radius_km")), "cells")
     levels = sorted(r[0] for r in cells.select("level").distinct().collect())
     if not levels:
         return way_nodes.sparkSession.createDataFrame([], StructType([areas.schema["area_id"], way_nodes.schema["way_id"]]))
     edges = with_edges(way_nodes.select(*[c for c in ("way_id", "idx", "lat", "lon") if c in way_nodes.columns]))
-    edges = edges.filter("lat is not null and lon is not null").withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels])))
-    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
+    edges = edges.filter("lat is not null and lon is not null")
+    near = arc_distance_km(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
+    inside, found = edges, None
+    for level in range(_COARSEST, levels[-1] + 1, _FINER):
+        up = F.col("level") - F.lit(level)
+        coarser = [F.expr(f"shiftright({c}, level - {level})").alias(c) for c in ("i", "j")]
+        wanted = cells.filter(up >= 0).select(*coarser).distinct()
+        inside = _cells_inside(inside, level).withColumn("column", F.pmod("j", F.lit(1 << level)))
+        here = (F.col("c.i") == F.col("w.i")) & (F.col("c.column") == F.col("w.j"))
+        inside = inside.alias("c").join(wanted.alias("w"), here, "left_semi")
+        if level in levels:
+            inside = materialize(inside, "inside")
+            own = cells.filter(up == 0).drop("level").withColumnRenamed("j", "column")
+            pairs = inside.join(own, ["i", "column"]).filter(near <= F.col("radius_km")).select("area_id", "way_id")
+            found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
+def _cells_inside(edges: DataFrame, level: int) -> DataFrame:
+    """The cells of a grid that edges cross, inside the cells ``i, j`` of the grid before if they have some.
+    Columns count on across the antimeridian."""
+    size = 360.0 / (1 << level)
     dlon = lon_difference(F.col("to_lon"), F.col("lon"))
     x = (F.col("lon") + 180.0) / size - 0.5
     placed = edges.withColumns(
         {"y0": (F.col("lat") + 90.0) / size - 0.5, "y1": (F.col("to_lat") + 90.0) / size - 0.5, "x0": x, "x1": x + dlon / size}
     )
-    touched = _crossed_cells(placed, F.lit(1 << 20), F.lit(0.5) + arc_bulge_degrees(dlon) / size, F.lit(0.5))
-    touched = touched.withColumn("j", F.pmod(F.col("j"), F.pow(F.lit(2), F.col("level")).cast("int")))
-    near = arc_distance_km(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
-    return touched.join(cells, ["level", "i", "j"]).filter(near <= F.col("radius_km")).select("area_id", "way_id").distinct()
+    if "i" in edges.columns:
+        placed = placed.withColumnsRenamed({"i": "above_i", "j": "above_j"})
+        rows, columns = ((F.col(c) * (1 << _FINER), (F.col(c) + 1) * (1 << _FINER) - 1) for c in ("above_i", "above_j"))
+    else:
+        rows = columns = F.lit(-(1 << 20)), F.lit(1 << 20)
+    # a little over half a cell: what rounds to one side in a grid may round to the other in the next
+    half = F.lit(0.5 + 1e-9)
+    touched = _crossed_cells(placed, rows, columns, half + arc_bulge_degrees(dlon) / size, half)
+    return touched.select("way_id", "lat", "lon", "to_lat", "to_lon", "i", "j")
 
 
 def _cell_center(i: Column, j: Column, size_km: float) -> tuple[Column, Column]:
@@ -231,7 +260,7 @@ def assign_chunks(
     in_disc = arc_distance_km(*center, F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")) <= chunk_radius
     if cover == "square":
         # A single chunk is the whole area: its disc, as in the radius predicate.
-        cells = _crossed_cells(placed, n, F.lit(0.5), F.lit(0.5))
+        cells = _crossed_cells(placed, (-n, n), (-n, n), F.lit(0.5), F.lit(0.5))
         one = placed.filter(single).withColumns({"i": F.lit(0), "j": F.lit(0)}).filter(in_disc)
         touched = cells.filter(~single).unionByName(one.select(cells.columns))
     else:
@@ -240,25 +269,25 @@ def assign_chunks(
         far_lat = F.least(F.greatest(F.abs("lat"), F.abs("to_lat")) + reach + bulge, F.lit(89.9))
         lon_reach = F.least(reach / F.cos(F.radians(far_lat)) * 1.01, F.lit(360.0))
         # at any longitude, an arc strays from the straight line by less than the bulge
-        touched = _crossed_cells(placed, n, (reach + bulge) / lat_step, lon_reach / lon_step).filter(in_disc)
+        touched = _crossed_cells(placed, (-n, n), (-n, n), (reach + bulge) / lat_step, lon_reach / lon_step).filter(in_disc)
     per_cell = touched.select("area_id", "i", "j", "way_id").distinct()
     numbers = chunks.select("area_id", "i", "j", "chunk_index")
     return per_cell.join(numbers, ["area_id", "i", "j"]).select("area_id", "chunk_index", "way_id")
 
 
-def _crossed_cells(edges: DataFrame, n: Column, y_reach: Column, x_reach: Column) -> DataFrame:
-    """A row for each cell ``i, j`` (in units of cells, whose centres are whole numbers) whose centre an
-    edge from ``x0, y0`` to ``x1, y1`` may come within the reach of on both axes."""
+def _crossed_cells(edges: DataFrame, i: tuple[Column, Column], j: tuple[Column, Column], y_reach: Column, x_reach: Column) -> DataFrame:
+    """A row for each cell ``i, j`` (in units of cells, whose centres are whole numbers; first and last of
+    both are given) whose centre an edge from ``x0, y0`` to ``x1, y1`` may come within the reach of on both axes."""
 
-    def cells(low: Column, high: Column) -> Column:
-        low, high = F.greatest(low.cast("int"), -n), F.least(high.cast("int"), n)
+    def cells(low: Column, high: Column, given: tuple[Column, Column]) -> Column:
+        low, high = F.greatest(low.cast("int"), given[0]), F.least(high.cast("int"), given[1])
         return F.explode(F.when(low <= high, F.sequence(low, high)))
 
     reached = edges.withColumns({"y_reach": y_reach, "x_reach": x_reach})
     # a place half way between two cells belongs to the one that follows
     low = F.least("y0", "y1") - F.col("y_reach")
     high = F.greatest("y0", "y1") + F.col("y_reach")
-    rows = reached.withColumn("i", cells(F.floor(low) + 1, F.floor(high)))
+    rows = reached.withColumn("i", cells(F.floor(low) + 1, F.floor(high), i))
     rise = F.col("y1") - F.col("y0")
     at = lambda side: F.greatest(F.least((F.col("i") + side * F.col("y_reach") - F.col("y0")) / rise, F.lit(1.0)), F.lit(0.0))
     whole = F.abs(rise) < 1e-12
@@ -267,4 +296,4 @@ def _crossed_cells(edges: DataFrame, n: Column, y_reach: Column, x_reach: Column
     rows = rows.withColumns({"xa": x(enter), "xb": x(leave)})
     low = F.least("xa", "xb") - F.col("x_reach")
     high = F.greatest("xa", "xb") + F.col("x_reach")
-    return rows.withColumn("j", cells(F.floor(low) + 1, F.floor(high))).drop("y_reach", "x_reach", "xa", "xb")
+    return rows.withColumn("j", cells(F.floor(low) + 1, F.floor(high), j)).drop("y_reach", "x_reach", "xa", "xb")

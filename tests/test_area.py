@@ -146,3 +146,18 @@ def test_ways_of_many_areas(spark):
     for name, lat, lon, radius in areas[:4]:
         assert {w for n, w in got if n == name} == {r.way_id for r in area.within_radius(df, lat, lon, radius).collect()}
     assert area.ways_of_areas(df, spark.createDataFrame([], AREA)).count() == 0
+
+
+def test_long_edges_cost_rows_where_areas_are(spark):
+    """A way across half the globe is looked up in some cells, not in all that it crosses."""
+    areas = spark.createDataFrame([("a", 10.0, 20.0, 2.0)], AREA)
+    nodes = [(1, 0, 10.0, 20.0), (1, 1, 11.0, 150.0), (2, 0, -60.0, -170.0), (2, 1, 60.0, -30.0), (3, 0, 10.0, 20.0)]
+    edges = area.with_edges(spark.createDataFrame(nodes, "way_id long, idx int, lat double, lon double"))
+    got = area.ways_of_areas(spark.createDataFrame(nodes, "way_id long, idx int, lat double, lon double"), areas)
+    assert sorted(r.way_id for r in got.collect()) == [1, 3]
+    inside = edges
+    for level, (i, j) in ((3, (2, 4)), (5, (8, 17)), (7, (35, 71))):
+        inside = area._cells_inside(inside, level)
+        assert inside.count() < 40
+        inside = inside.filter((F.col("i") == i) & (F.col("j") == j))
+    assert {r.way_id for r in inside.collect()} == {1, 3}
