@@ -217,7 +217,7 @@ def chunk_grid(areas: DataFrame, size_km: float = DEFAULT_CHUNK_KM) -> DataFrame
 
 
 def assign_chunks(
-    way_nodes: DataFrame, chunks: DataFrame, size_km: float = DEFAULT_CHUNK_KM, cover: str = "square"
+    way_nodes: DataFrame, chunks: DataFrame, size_km: float = DEFAULT_CHUNK_KM, cover: str = "square", unrolled: bool = False
 ) -> DataFrame:
     """Distinct ``(area_id, chunk_index, way_id)`` of ways with a node or an edge in a chunk.
 
@@ -227,7 +227,8 @@ def assign_chunks(
     rows (combined map-side) before the equi-join that looks up the chunk number.
     ``way_nodes`` carries ``area_id`` when there are several areas, and ``idx`` for edges.
     ``square`` tiles the area without gaps (edges are straight in degrees there), ``circle`` is the disc
-    of the chunk radius (edges are arcs).
+    of the chunk radius (edges are arcs). ``unrolled``: longitudes run on past 180, and square chunks take
+    them as they are, no edge the other way round.
     """
     if cover not in ("square", "circle"):
         raise ValueError(f"unknown cover: {cover}")
@@ -246,8 +247,9 @@ def assign_chunks(
     lat_step = F.lit(size_km / GRID_KM_PER_DEGREE)
     lon_step = F.lit(float(size_km)) / (F.lit(GRID_KM_PER_DEGREE) * F.cos(F.radians("center_lat")))
     chunk_radius = F.when(single, F.col("radius_km")).otherwise(F.lit(size_km / 2.0))
-    first = lon_difference(F.col("lon"), F.col("center_lon"))
-    far = first + lon_difference(F.col("to_lon"), F.col("lon"))
+    apart = (lambda lon, origin: lon - origin) if unrolled and cover == "square" else lon_difference
+    first = apart(F.col("lon"), F.col("center_lon"))
+    far = first + apart(F.col("to_lon"), F.col("lon"))
     placed = located.withColumns(
         {
             "y0": (F.col("lat") - F.col("center_lat")) / lat_step,
