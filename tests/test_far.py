@@ -21,6 +21,6 @@ def far(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["assign_chunks_long_edges", "near_dup_pairs", "climb_metrics", "category_counts", "run_metrics"])
+@pytest.mark.parametrize("name", ["assign_chunks_long_edges", "near_dup_pairs", "climb_metrics", "category_counts", "run_metrics", "connectivity_report"])
 def test_far_longitudes(spark, far, name):
     assert not compare.differences(QUERIES[name](spark, far), SQL[name], compare.duck(far))
