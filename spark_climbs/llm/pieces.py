@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -70,8 +71,8 @@ class Pieces:
         self.cut = fine if whole else re.compile(COARSE, re.S)
         if not all(self.cut.fullmatch(p) for p in own):
             raise ValueError("pieces with a space after other characters")
-        self.young: dict[str, tuple[bytes, float, float]] = {}
-        self.old: dict[str, tuple[bytes, float, float]] = {}
+        self.young: dict[str, tuple[bytes, float, float, bytes]] = {}
+        self.old: dict[str, tuple[bytes, float, float, bytes]] = {}
         # an ASCII byte is a character by itself; others wait for the rest of theirs
         self.shown |= {k: chr(b) for b, k in self.byte_ids.items() if b < 128}
         self.partial = frozenset(k for b, k in self.byte_ids.items() if b >= 128)
@@ -122,13 +123,14 @@ class Pieces:
                 heapq.heappush(heap, (-(best[before] + score + rest), met, before, score + rest, (own, path)))
         return out
 
-    def entry(self, stretch: str) -> tuple[bytes, float, float]:
-        """Ids of the best path as bytes, its score, and the gap to the second."""
+    def entry(self, stretch: str) -> tuple[bytes, float, float, bytes]:
+        """Ids of the best path as bytes, its score, the gap to the second, and that one's ids."""
         found = self.old.get(stretch)
         if found is None:
             paths = self.paths(stretch, 2)
             gap = paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf")
-            found = (np.array(paths[0][1], dtype="<i4").tobytes(), paths[0][0], gap)
+            ids, second = (struct.pack(f"<{len(p)}i", *p) for _, p in (paths[0], paths[-1]))
+            found = (ids, paths[0][0], gap, second if len(paths) > 1 else b"")
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         self.young[stretch] = found
@@ -146,29 +148,45 @@ class Pieces:
         found = list(map(self.young.get, cut))
         if None in found:
             found = [f or self.young.get(s) or self.entry(s) for f, s in zip(found, cut)]
-        ids, scores, gaps = zip(*found)
+        ids, scores, gaps, _ = zip(*found)
         return np.frombuffer(b"".join(ids), dtype="<i4"), sum(scores), min(gaps)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a text with their scores, best first.
+        """The ``n`` best segmentations of a text with their scores, best first."""
+        return [(score, np.frombuffer(ids, dtype="<i4").tolist()) for score, ids in self.n_best_bytes(text, n)]
+
+    def n_best_bytes(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """``n_best`` with the ids as bytes (little-endian, 32 bits).
 
         Choices of a path in every stretch, by their total loss: a heap of choices, each
         followed by those with one more step in its last changed stretch or a later one.
         Only the stretches with the n - 1 smallest first losses can change."""
         cut = self.stretches(text)
         if not cut:
-            return [(0.0, [])]
-        found = [self.young.get(s) or self.entry(s) for s in cut]
-        can = heapq.nsmallest(max(0, n - 1), ((f[2], k) for k, f in enumerate(found) if f[2] != float("inf")))
+            return [(0.0, b"")]
+        found = list(map(self.young.get, cut))
+        if None in found:
+            found = [f or self.young.get(s) or self.entry(s) for f, s in zip(found, cut)]
+        own, scores, gaps, seconds = zip(*found)
+        total = sum(scores)
+        if n == 2:  # the best two paths of a stretch are remembered
+            gap = min(gaps)
+            if gap == float("inf"):
+                return [(total, b"".join(own))]
+            other = list(own)
+            k = gaps.index(gap)
+            other[k] = seconds[k]
+            return [(total, b"".join(own)), (total - gap, b"".join(other))]
+        can = heapq.nsmallest(max(0, n - 1), ((g, k) for k, g in enumerate(gaps) if g != float("inf")))
         paths = [self.paths(cut[k], n) for _, k in can]
         losses = [[p[0][0] - x[0] for x in p] for p in paths]
-        total = sum(f[1] for f in found)
         heap, out, seen = [(0.0, (0,) * len(can))], [], {(0,) * len(can)}
         while heap and len(out) < n:
             loss, choice = heapq.heappop(heap)
-            other = {k: p[c][1] for (_, k), p, c in zip(can, paths, choice)}
-            ids = [x for k, f in enumerate(found) for x in other.get(k) or np.frombuffer(f[0], dtype="<i4").tolist()]
-            out.append((total - loss, ids))
+            ids = list(own)
+            for (_, k), p, c in zip(can, paths, choice):
+                ids[k] = np.array(p[c][1], dtype="<i4").tobytes()
+            out.append((total - loss, b"".join(ids)))
             for k, c in enumerate(choice):
                 more = choice[:k] + (c + 1,) + choice[k + 1 :]
                 if c + 1 < len(losses[k]) and more not in seen:
@@ -208,14 +226,16 @@ def _digests(path: str):
             rows = []
             for text in batch.column("text").to_pylist():
                 if text is None:
-                    rows.append((None,) * 5)
+                    rows.append((None,) * 6)
                     continue
-                ids, score, gap = model.best(text)
-                second = score - gap if gap != float("inf") else None
-                rows.append((len(ids), zlib.crc32(ids.tobytes()), score, second, model.decode(ids.tolist()) == text))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+                (score, ids), *others = model.n_best_bytes(text, 2)
+                second, second_ids = others[0] if others else (None, None)
+                second_crc = None if second_ids is None else zlib.crc32(second_ids)
+                decodes = model.decode(np.frombuffer(ids, dtype="<i4").tolist()) == text
+                rows.append((len(ids) // 4, zlib.crc32(ids), score, second, second_crc, decodes))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            names = ["n_pieces", "ids_crc32", "score", "second_score", "decodes"]
+            names = ["n_pieces", "ids_crc32", "score", "second_score", "second_crc32", "decodes"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
     return run
@@ -223,8 +243,9 @@ def _digests(path: str):
 
 def digests(documents: DataFrame, model: str) -> DataFrame:
     """Of every document: number and crc32 (little-endian 32-bit) of the ids of its best
-    segmentation, its score, the second best score, and whether the ids decode to the text."""
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, n_pieces long, ids_crc32 long, score double, second_score double, decodes boolean"
+    segmentation, its score, score and crc32 of the second best one by the n-best search (null where there is
+    only one), and whether the ids decode to the text."""
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, n_pieces long, ids_crc32 long, score double, second_score double, second_crc32 long, decodes boolean"
     return documents.select("doc_id", "text").mapInArrow(_digests(model), schema)
 
 

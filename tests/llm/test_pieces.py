@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import cases
+import numpy as np
 import pytest
 
 from spark_climbs.llm import pieces as M
@@ -73,3 +75,19 @@ def test_documents(spark, model):
         if r["text"] is not None:
             assert r["piece_ids"] == r["n_best"][0]["ids"] == model.best(r["text"])[0].tolist()
     assert M.encode(cases.nothing(spark), PATH).count() == 0
+
+
+def test_digests_of_the_second_best(spark, model):
+    """The second best segmentation is one of the search, not a difference of scores."""
+    texts = ["", "a", "Hello  world", "ab\nTh. of", "é☃ x▁y", "12 a3", "日本 a²."]
+    rows = M.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, dtype="<i4").tobytes())
+    for r in rows:
+        want = every_path(model, texts[r["doc_id"]])
+        assert r["ids_crc32"] in {crc(ids) for s, ids in want if s == r["score"]} and r["score"] == want[0][0]
+        if len(want) == 1:
+            assert r["second_score"] is None and r["second_crc32"] is None
+        else:
+            assert r["second_crc32"] in {crc(ids) for s, ids in want if s == r["second_score"]} and r["second_score"] == want[1][0]
+            assert r["second_crc32"] != r["ids_crc32"]
+    assert any(r["second_crc32"] for r in rows)
