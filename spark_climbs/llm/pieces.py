@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,17 @@ SPACE = "▁"
 REMEMBERED = 350_000
 #: How much worse than every piece a byte edge is, as in the library.
 BYTE_PENALTY = 10.0
+#: More than sums of scores differ by rounding.
+_ROUNDING = 1e-3
 #: Stretches: letters, single digits, runs of other signs, each after its spaces. The
 #: second one is for vocabularies with pieces that cross these.
 FINE, COARSE = r" *[^\W\d_²³¹]+| *\d| *(?:[^\w \n]|[_²³¹])+| +|\n", r" *[^ ]+| +"
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Pieces:
     """Vocabulary and lattice search of a model file."""
 
@@ -57,13 +64,18 @@ class Pieces:
         self.shown = {k: p.replace(SPACE, " ") for k, p in self.surface.items()}
         self.byte_ids = {int(model.id_to_piece(k)[3:-1], 16): k for k in ids if model.is_byte(k)}
         self.bytes_of = {k: b for b, k in self.byte_ids.items()}
-        self.lattice: dict[str, tuple[float, tuple[int, ...]] | None] = {}
+        self.lattice: dict[str, tuple[float, tuple[int, ...]]] = {}
+        #: Pieces (spaces as spaces) by their characters: what ends here, and what goes on.
+        self.trie: dict[str, list] = {}
         scores = [model.get_score(k) for k in plain]
         for k, score in zip(plain, scores):
-            piece = self.surface[k]
-            for end in range(1, len(piece)):
-                self.lattice.setdefault(piece[:end], None)
-            self.lattice[piece] = (score, (k,))
+            self.lattice[self.surface[k]] = (score, (k,))
+            node = [None, self.trie]
+            for c in self.shown[k]:
+                if node[1] is None:
+                    node[1] = {}
+                node = node[1].setdefault(c, [None, None])
+            node[0] = self.lattice[self.surface[k]]
         self.byte_score = min((s for s in scores if s > -1e8), default=0.0) - BYTE_PENALTY
         fine = re.compile(FINE, re.S)
         own = [p.replace(SPACE, " ") for p in self.surface.values()]
@@ -71,46 +83,48 @@ class Pieces:
         self.cut = fine if whole else re.compile(COARSE, re.S)
         if not all(self.cut.fullmatch(p) for p in own):
             raise ValueError("pieces with a space after other characters")
-        self.young: dict[str, tuple[bytes, float, float, bytes]] = {}
-        self.old: dict[str, tuple[bytes, float, float, bytes]] = {}
+        self.young: dict[str, tuple[bytes, float, float]] = {}
+        self.old: dict[str, tuple[bytes, float, float]] = {}
         # an ASCII byte is a character by itself; others wait for the rest of theirs
         self.shown |= {k: chr(b) for b, k in self.byte_ids.items() if b < 128}
         self.partial = frozenset(k for b, k in self.byte_ids.items() if b >= 128)
+        # by id, nothing for the bytes that wait
+        self.shown_at = [None if k in self.partial else self.shown.get(k, "") for k in ids]
 
     def paths(self, stretch: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a stretch (spaces as spaces)."""
-        of = [SPACE if c == " " else c for c in stretch]
-        text = "".join(of)
-        size = len(text)
+        size = len(stretch)
         best = [float("-inf")] * (size + 1)
         best[0] = 0.0
         into: list[list] = [[] for _ in range(size + 1)]
-        lattice = self.lattice
+        trie = self.trie
         for i in range(size):
             here = best[i]
-            if stretch[i] != SPACE:
-                single = False
-                for j in range(i + 1, size + 1):
-                    if stretch[j - 1] == SPACE:
-                        break
-                    found = lattice.get(text[i:j], 0)
-                    if found == 0:
-                        break
-                    if found is not None:
-                        single = single or j == i + 1
-                        into[j].append((i, found))
-                        if here + found[0] > best[j]:
-                            best[j] = here + found[0]
-            else:
-                single = False
+            single = False
+            # the character U+2581 itself is in no piece
+            kids, j = trie, i
+            while kids is not None and j < size:
+                node = kids.get(stretch[j])
+                if node is None:
+                    break
+                j += 1
+                found, kids = node
+                if found is not None:
+                    single = single or j == i + 1
+                    into[j].append((i, found))
+                    if here + found[0] > best[j]:
+                        best[j] = here + found[0]
             if not single:
-                spelt = tuple(self.byte_ids[b] for b in stretch[i].encode())
+                spelt = tuple([self.byte_ids[b] for b in stretch[i].encode()])
                 into[i + 1].append((i, (self.byte_score, spelt)))
                 if here + self.byte_score > best[i + 1]:
                     best[i + 1] = here + self.byte_score
+        # Paths that part in a place are different ones, so for two paths all that is worse than the second
+        # of a place (by more than sums round) can be left out.
+        least, prune = float("-inf"), n <= 2
         heap, met, out = [(-best[size], 0, size, 0.0, None)], 0, []
         while heap and len(out) < n:
-            _, _, at, rest, path = heapq.heappop(heap)
+            top, _, at, rest, path = heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -118,19 +132,24 @@ class Pieces:
                     path = path[1]
                 out.append((rest, tuple(ids)))
                 continue
+            top = -top - _ROUNDING
             for before, (score, own) in into[at]:
+                whole = best[before] + score + rest
+                if whole < least:
+                    continue
+                if prune and least + _ROUNDING < whole < top:
+                    least = whole - _ROUNDING
                 met += 1
-                heapq.heappush(heap, (-(best[before] + score + rest), met, before, score + rest, (own, path)))
+                heappush(heap, (-whole, met, before, score + rest, (own, path)))
         return out
 
-    def entry(self, stretch: str) -> tuple[bytes, float, float, bytes]:
-        """Ids of the best path as bytes, its score, the gap to the second, and that one's ids."""
+    def entry(self, stretch: str) -> tuple[bytes, float, float]:
+        """Ids of the best path as bytes, its score and the gap to the second."""
         found = self.old.get(stretch)
         if found is None:
             paths = self.paths(stretch, 2)
             gap = paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf")
-            ids, second = (struct.pack(f"<{len(p)}i", *p) for _, p in (paths[0], paths[-1]))
-            found = (ids, paths[0][0], gap, second if len(paths) > 1 else b"")
+            found = (_packed(paths[0][1]), paths[0][0], gap)
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         self.young[stretch] = found
@@ -148,7 +167,7 @@ class Pieces:
         found = list(map(self.young.get, cut))
         if None in found:
             found = [f or self.young.get(s) or self.entry(s) for f, s in zip(found, cut)]
-        ids, scores, gaps, _ = zip(*found)
+        ids, scores, gaps = zip(*found)
         return np.frombuffer(b"".join(ids), dtype="<i4"), sum(scores), min(gaps)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
@@ -167,16 +186,15 @@ class Pieces:
         found = list(map(self.young.get, cut))
         if None in found:
             found = [f or self.young.get(s) or self.entry(s) for f, s in zip(found, cut)]
-        own, scores, gaps, seconds = zip(*found)
+        own, scores, gaps = zip(*found)
         total = sum(scores)
-        if n == 2:  # the best two paths of a stretch are remembered
+        if n == 2:  # one stretch differs, the first of the smallest gap
             gap = min(gaps)
             if gap == float("inf"):
                 return [(total, b"".join(own))]
-            other = list(own)
-            k = gaps.index(gap)
-            other[k] = seconds[k]
-            return [(total, b"".join(own)), (total - gap, b"".join(other))]
+            k, ids = gaps.index(gap), b"".join(own)
+            at = sum(map(len, own[:k]))
+            return [(total, ids), (total - gap, ids[:at] + _packed(self.paths(cut[k], 2)[1][1]) + ids[at + len(own[k]) :])]
         can = heapq.nsmallest(max(0, n - 1), ((g, k) for k, g in enumerate(gaps) if g != float("inf")))
         paths = [self.paths(cut[k], n) for _, k in can]
         losses = [[p[0][0] - x[0] for x in p] for p in paths]
@@ -197,8 +215,9 @@ class Pieces:
     def decode(self, ids) -> str:
         """The text of the ids: pieces as they are, runs of byte ids as UTF-8."""
         shown = self.shown
-        if self.partial.isdisjoint(ids):
-            text = "".join([shown.get(k, "") for k in ids])
+        parts = list(map(self.shown_at.__getitem__, ids))
+        if None not in parts:
+            text = "".join(parts)
             return text[1:] if text.startswith(" ") else text
         out: list[str] = []
         spelt = bytearray()

@@ -91,3 +91,21 @@ def test_digests_of_the_second_best(spark, model):
             assert r["second_crc32"] in {crc(ids) for s, ids in want if s == r["second_score"]} and r["second_score"] == want[1][0]
             assert r["second_crc32"] != r["ids_crc32"]
     assert any(r["second_crc32"] for r in rows)
+
+
+def test_left_out_paths_are_worse_than_the_second(model):
+    """The search for two paths looks at fewer of them than the one for five, and finds the same ones."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 14))) for _ in range(300)]
+    pushes = {}
+    for n in (2, 5):
+        done, push = [], M.heappush
+        try:
+            M.heappush = lambda heap, x: (done.append(1), push(heap, x))
+            found = [model.paths(" " + w, n)[:2] for w in words]
+        finally:
+            M.heappush = push
+        pushes[n] = len(done), found
+    assert pushes[2][1] == pushes[5][1]
+    assert pushes[2][0] < 0.7 * pushes[5][0]
+    assert not any(isinstance(v, bytes) for w in words for v in model.entry(w)[1:])
