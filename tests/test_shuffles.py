@@ -1,6 +1,7 @@
 """What is shuffled and read how often."""
 
 from spark_climbs import fixtures as X
+from spark_climbs.operators import merge
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +14,8 @@ def test_nodes_of_ways_are_shuffled_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2  # lines and orders
+
+
+def test_scan_tasks_carry_more_rows_than_they_cost(spark):
+    assert merge._scan_tasks(spark.range(30_000)) == 1
+    assert merge._scan_tasks(spark.range(200_000)) == 10
