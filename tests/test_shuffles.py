@@ -2,6 +2,7 @@
 
 from spark_climbs import fixtures as X
 from spark_climbs.operators import merge
+from spark_climbs.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +20,7 @@ def test_nodes_of_ways_are_shuffled_once(spark):
 def test_scan_tasks_carry_more_rows_than_they_cost(spark):
     assert merge._scan_tasks(spark.range(30_000)) == 1
     assert merge._scan_tasks(spark.range(200_000)) == 10
+
+
+def test_node_merge_reads_its_segments_once(spark):
+    assert not any("lineitem" in f for f in catalog.merge_by_node_id(spark, SF).inputFiles())
