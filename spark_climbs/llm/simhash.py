@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_climbs.llm import words
+from spark_climbs.llm.kept import release
 from spark_climbs.materialize import materialize
 from spark_climbs.operators.graph import components
 
@@ -69,6 +70,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
         columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(values.view(np.int64))]
@@ -106,6 +108,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = (np.array([x[k] for x in links], dtype=np.uint64).view(np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    release()
     held_key, held = None, []
     for batch in batches:
         key = batch.column("key").to_numpy()
