@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spark_climbs.materialize import made_here
 from spark_climbs.sources.overpass import parse_overpass, ways_from_elements
 
 
@@ -22,8 +23,10 @@ def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        ways = ways_from_elements(parse_overpass(batch))
-        ways.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with made_here() as delete:
+            ways = ways_from_elements(parse_overpass(batch))
+            ways.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        delete([])
 
     return (
         documents.writeStream.foreachBatch(save)

@@ -1,8 +1,12 @@
 """What is shuffled and read how often."""
 
+import pytest
+
 from spark_climbs import fixtures as X
+from spark_climbs import materialize
 from spark_climbs.operators import merge
 from spark_climbs.plans import catalog
+from spark_climbs.sources import overpass
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +28,22 @@ def test_scan_tasks_carry_more_rows_than_they_cost(spark):
 
 def test_node_merge_reads_its_segments_once(spark):
     assert not any("lineitem" in f for f in catalog.merge_by_node_id(spark, SF).inputFiles())
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Labels of the tables that ``materialize`` writes, whoever calls it."""
+    labels = []
+
+    def note(df, label, *more):
+        labels.append(label)
+        return materialize.materialize(df, label, *more)
+
+    for module in (catalog, overpass):
+        monkeypatch.setattr(module, "materialize", note, raising=False)
+    return labels
+
+
+def test_documents_are_parsed_once(spark, written):
+    ways = catalog.overpass_ways(spark, SF)
+    assert written == ["elements"] and not any("lineitem" in f for f in ways.inputFiles())
