@@ -47,3 +47,8 @@ def written(monkeypatch):
 def test_documents_are_parsed_once(spark, written):
     ways = catalog.overpass_ways(spark, SF)
     assert written == ["elements"] and not any("lineitem" in f for f in ways.inputFiles())
+
+
+def test_elevation_cache_writes_coordinates_and_source_once(spark, written):
+    catalog.elevation_cache(spark, SF)
+    assert written == ["coords", "elevation"]
