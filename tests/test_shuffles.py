@@ -52,3 +52,8 @@ def test_documents_are_parsed_once(spark, written):
 def test_elevation_cache_writes_coordinates_and_source_once(spark, written):
     catalog.elevation_cache(spark, SF)
     assert written == ["coords", "elevation"]
+
+
+def test_near_duplicates_store_ends_only(spark, written):
+    catalog.near_dup_pairs(spark, SF)
+    assert written == ["ends", "exact"]
