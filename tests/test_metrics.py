@@ -49,3 +49,13 @@ def test_pieces_combine_like_one_line(spark):
 def test_minimum_score_is_inclusive(spark):
     df = spark.createDataFrame([(1, 6000.0), (2, 5999.99)], "road_id long, climb_score double")
     assert [r.road_id for r in metrics.rank_climbs(df).collect()] == [1]
+
+
+def test_single_segments_are_roads_of_one_piece_without_a_second_shuffle(spark):
+    rows = [(s, 0, False, s, p, 35.0 + p * 0.01 * s, -82.0 + p * 0.02, e) for s, heights in enumerate(([1.0, 5.5, 3.25], [7.0, None, 9.0], [2.0], [None], [4.0, 4.0])) for p, e in enumerate(heights)]
+    nodes = spark.createDataFrame(rows, "road_id long, road_pos int, reversed boolean, seq long, pos int, lat double, lon double, elevation double")
+    single = metrics.climbing(metrics.single_profiles(nodes.drop("road_id", "road_pos", "reversed")))
+    merged = metrics.climb_profiles(metrics.piece_profiles(nodes))
+    assert single._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert single.dtypes == merged.dtypes
+    assert sorted(map(tuple, single.collect())) == sorted(map(tuple, merged.collect())) and single.count() == 3

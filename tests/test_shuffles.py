@@ -4,7 +4,7 @@ import pytest
 
 from spark_climbs import fixtures as X
 from spark_climbs import materialize
-from spark_climbs.operators import merge
+from spark_climbs.operators import merge, roads
 from spark_climbs.plans import catalog
 from spark_climbs.sources import overpass
 
@@ -21,6 +21,12 @@ def test_nodes_of_ways_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2  # lines and orders
 
 
+def test_tags_of_ways_are_made_once(spark):
+    named = roads.derive_road_attributes(X.with_tags(spark, SF, spark.range(9).withColumnRenamed("id", "way_id")))
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("map_from_entries") == 1  # not in the filter by name too
+
+
 def test_scan_tasks_carry_more_rows_than_they_cost(spark):
     assert merge._scan_tasks(spark.range(30_000)) == 1
     assert merge._scan_tasks(spark.range(200_000)) == 10
@@ -57,3 +63,9 @@ def test_elevation_cache_writes_coordinates_and_source_once(spark, written):
 def test_near_duplicates_store_ends_only(spark, written):
     catalog.near_dup_pairs(spark, SF)
     assert written == ["ends", "exact"]
+
+
+def test_nodes_of_single_ways_are_made_once_and_stay_long(spark, written):
+    report = catalog.single_way_report(spark, SF)
+    assert written == ["nodes"]  # its climbs are written by the pipeline
+    assert not any("lineitem" in f for f in report.inputFiles())
