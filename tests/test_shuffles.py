@@ -66,6 +66,8 @@ def test_near_duplicates_store_ends_only(spark, written):
 
 
 def test_nodes_of_single_ways_are_made_once_and_stay_long(spark, written):
+    climbs = catalog.single_way_climbs(spark, SF)
+    assert written == ["nodes", "climbs"] and not any("lineitem" in f for f in climbs.inputFiles())
     report = catalog.single_way_report(spark, SF)
-    assert written == ["nodes"]  # its climbs are written by the pipeline
+    assert written == ["nodes", "climbs", "nodes"]  # its climbs are written by the pipeline
     assert not any("lineitem" in f for f in report.inputFiles())
